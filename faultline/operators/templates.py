@@ -24,7 +24,7 @@ LEAF_ROWS = 20_000
 
 @dataclass(frozen=True)
 class Templates:
-    """``catalogue``: event_id, template, count, first_line. ``shapes``: shape, event_id."""
+    """``catalogue``: event_id, template, count, first_line. ``shapes``: key, event_id."""
 
     catalogue: DataFrame
     shapes: DataFrame
@@ -95,7 +95,7 @@ def _leaves(compact: DataFrame, prefix: int, max_children: int) -> DataFrame:
 
 
 def _merge_rounds(compact: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
-    """(leaf, text, template, first, n): cluster the shapes of each leaf.
+    """``compact`` with each shape's template: cluster the shapes of each leaf.
 
     A leaf of up to LEAF_ROWS entries is one group. A bigger one is clustered in parts, and the
     resulting templates are clustered again, so no group ever exceeds the limit.
@@ -108,7 +108,7 @@ def _merge_rounds(compact: DataFrame, threshold: float, rounds: int = 3) -> Data
         merged = _cluster(parted.select("leaf", "part", "text", "first"), ["leaf", "part"], threshold)
         merged = merged.withColumnRenamed("template", "next").withColumnRenamed("text", "template")
         mapping = materialize(
-            mapping.join(merged, ["leaf", "template"]).select("leaf", "text", F.col("next").alias("template"), "first", "n"),
+            mapping.join(merged, ["leaf", "template"]).select("key", "leaf", "text", F.col("next").alias("template"), "first", "n"),
             "mapping",
         )
         if not sizes.where(F.col("parts") > 1).limit(1).count():
@@ -116,45 +116,68 @@ def _merge_rounds(compact: DataFrame, threshold: float, rounds: int = 3) -> Data
     return mapping
 
 
+def shape_key(c: Column) -> Column:
+    """Fixed-length key of a shape; joins carry it instead of the (possibly long) text."""
+    return F.md5(c)
+
+
+def _restore_literals(mapping: DataFrame, shaped: DataFrame) -> DataFrame:
+    """(template, text): wildcard positions whose raw token never varied get their literal back.
+
+    Only positions under a wildcard are looked at, and raw tokens are reduced to their minimum and
+    maximum per shape before they meet the templates.
+    """
+    raw = shaped.select("key", F.posexplode("t").alias("pos", "raw")).where(F.col("raw").rlike(r"\d"))
+    seen = raw.groupBy("key", "pos").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
+    wild = mapping.select(
+        "key", F.md5("template").alias("tkey"), "leaf",
+        F.posexplode(F.zip_with(F.split("template", " "), F.split("text", " "), lambda a, b: F.when(a == WILD, b))).alias("pos", "tok"),
+    ).where(F.col("tok").isNotNull())
+    fixed = (
+        wild.join(seen, ["key", "pos"], "left")
+        .groupBy("leaf", "tkey", "pos")
+        .agg(F.min(F.coalesce("lo", "tok")).alias("lo"), F.max(F.coalesce("hi", "tok")).alias("hi"))
+        .where("lo = hi")
+        .groupBy("leaf", "tkey")
+        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "lo"))).alias("fixed"))
+    )
+    templates = mapping.groupBy("leaf", "template").agg(F.sum("n").alias("count"), F.min("first").alias("first_line"))
+    text = F.transform(F.split("template", " "), lambda t, i: F.coalesce(F.try_element_at(F.col("fixed"), i), t))
+    return (
+        templates.withColumn("tkey", F.md5("template"))
+        .join(fixed, ["leaf", "tkey"], "left")
+        .select("leaf", "tkey", F.array_join(text, " ").alias("template"), "count", "first_line")
+    )
+
+
 def mine(
     df: DataFrame, content: str = "content", line: str = "line_no", depth: int = 4, threshold: float = 0.4, max_children: int = 100
 ) -> Templates:
     """Mine templates from messages; NULL messages are left out."""
     rows = df.where(F.col(content).isNotNull()).select(tokens(F.col(content)).alias("t"), F.col(line).alias("line"))
-    shaped = rows.withColumn("shape", F.array_join(masked(F.col("t")), " "))
+    shaped = rows.withColumn("shape", F.array_join(masked(F.col("t")), " ")).withColumn("key", shape_key(F.col("shape")))
+    grouped = shaped.groupBy("shape").agg(F.count("*").alias("n"), F.min("line").alias("first"))
     compact = materialize(
-        _leaves(
-            shaped.groupBy("shape").agg(F.count("*").alias("n"), F.min("line").alias("first")), max(depth - 3, 0), max_children
-        ).select("leaf", F.col("shape").alias("text"), "first", "n"),
+        _leaves(grouped, max(depth - 3, 0), max_children).select(
+            shape_key(F.col("shape")).alias("key"), "leaf", F.col("shape").alias("text"), "first", "n"
+        ),
         "shapes",
     )
     mapping = _merge_rounds(compact, threshold)
-    # A wildcard position whose raw token never varied keeps its literal.
-    raw = shaped.select("shape", F.posexplode("t").alias("pos", "raw")).where(F.col("raw").rlike(r"\d"))
-    seen = raw.groupBy("shape", "pos").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
-    spots = mapping.select("leaf", F.col("text").alias("shape"), "template", F.posexplode(F.split("text", " ")).alias("pos", "tok"))
-    spots = spots.join(seen, ["shape", "pos"], "left").groupBy("leaf", "template", "pos").agg(
-        F.min(F.coalesce("lo", "tok")).alias("lo"), F.max(F.coalesce("hi", "tok")).alias("hi")
-    )
-    word = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(WILD))
-    final = spots.groupBy("leaf", "template").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))), lambda s: s["w"]), " ").alias("text")
-    )
-    totals = mapping.groupBy("leaf", "template").agg(F.sum("n").alias("count"), F.min("first").alias("first_line"))
-    named = ids_by_first_appearance(totals.join(final, ["leaf", "template"]), "first_line", "event_id")
+    final = _restore_literals(mapping, shaped)
     catalogue = materialize(
-        named.select(F.col("event_id").cast("int").alias("event_id"), "leaf", "template", "text", "count", "first_line"), "catalogue"
+        ids_by_first_appearance(final, "first_line").withColumn("event_id", F.col("event_id").cast("int")), "catalogue"
     )
-    shapes = mapping.join(catalogue.select("leaf", "template", "event_id"), ["leaf", "template"]).select(
-        F.col("text").alias("shape"), "event_id"
+    shapes = mapping.select("key", "leaf", F.md5("template").alias("tkey")).join(
+        catalogue.select("leaf", "tkey", "event_id"), ["leaf", "tkey"]
     )
-    return Templates(catalogue.select("event_id", F.col("text").alias("template"), "count", "first_line"), materialize(shapes, "events"))
+    return Templates(catalogue.select("event_id", "template", "count", "first_line"), shapes.select("key", "event_id"))
 
 
 def assign(df: DataFrame, model: Templates, content: str = "content") -> DataFrame:
     """Add the event id of every message by its shape (JVM only)."""
-    keyed = df.withColumn("shape", shape(F.col(content)))
-    return keyed.join(model.shapes, "shape", "left").drop("shape")
+    keyed = df.withColumn("key", shape_key(shape(F.col(content))))
+    return keyed.join(model.shapes, "key", "left").drop("key")
 
 
 def with_template(df: DataFrame, catalogue: DataFrame) -> DataFrame:

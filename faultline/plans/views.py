@@ -24,7 +24,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _ev(spark: SparkSession, sf: str) -> DataFrame:
-    ev = table(spark, sf, "events")
+    return render_events(table(spark, sf, "events"))
+
+
+def render_events(ev: DataFrame) -> DataFrame:
+    """Events with their log message, level, block and event number."""
     return ev.withColumns(
         {
             "k": F.regexp_extract("props", "([0-9]+)", 1),
@@ -44,7 +48,11 @@ def _ev(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    ev = _ev(spark, sf)
+    return render_lines(_ev(spark, sf))
+
+
+def render_lines(ev: DataFrame) -> DataFrame:
+    """Events as log lines; every 97th line is malformed so that rejects exist."""
     good = F.concat_ws(" ", F.date_format("ts", "yyMMdd HHmmss"), F.col("user_id").cast("string"), "lvl",
                        F.concat(F.lit("svc."), "event_type", F.lit(":")), "msg")
     return ev.select(

@@ -31,13 +31,15 @@ def read_log_lines(
     dataset: str | None = None,
     number_by: str = "file",
     encoding: str = "utf-8",
+    keep_path: bool = False,
+    with_header: bool = False,
     **options: str,
 ) -> DataFrame:
     """Lines with their 1-based number in file order; bad bytes become U+FFFD.
 
     Numbers come from a prefix sum over per-split line counts (one row per file split), so the lines
     themselves are never sorted or shuffled. ``number_by="dataset"`` numbers through all files in path
-    order, for logs stored in parts.
+    order, for logs stored in parts. ``with_header`` adds the first line of each line's file.
     """
     raw = spark.read.options(encoding=encoding, **options).text(paths)
     lines = raw.select(
@@ -47,14 +49,18 @@ def read_log_lines(
         "value",
     )
     # Lines of one split have consecutive row ids, so (first id, count) locates each line.
-    splits = lines.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    order = Window.orderBy("path", "start") if number_by == "dataset" else Window.partitionBy("path").orderBy("start")
-    offsets = splits.select(
-        "path", "start", "first", (F.sum("n").over(order) - F.col("n")).alias("before")
+    splits = lines.groupBy("path", "start").agg(
+        F.count("*").alias("n"), F.min("row").alias("first"), *([F.min_by("value", "row").alias("top")] if with_header else [])
     )
+    in_file = Window.partitionBy("path").orderBy("start")
+    order = Window.orderBy("path", "start") if number_by == "dataset" else in_file
+    header = [F.first("top").over(in_file).alias("header")] if with_header else []
+    offsets = splits.select("path", "start", "first", (F.sum("n").over(order) - F.col("n")).alias("before"), *header)
     numbered = lines.join(offsets, ["path", "start"]).select(
         F.lit(dataset).cast("string").alias("dataset"),
         F.element_at(F.split("path", "/"), -1).alias("file"),
+        *(["path"] if keep_path else []),
+        *(["header"] if with_header else []),
         (F.col("row") - F.col("first") + F.col("before") + 1).alias("line_no"),
         "value",
     )

@@ -1,12 +1,12 @@
 """Readers for a multimodal sample set: manifest, metric files, log files and label documents.
 
-Sample files are small by format (one hour at one point a minute), so metric and label files are
-read one file per row and taken apart with expressions; nothing is shuffled.
+A label document is one small JSON object per file and is read whole; log and metric files are read
+by line, however big they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.sources.logs import read_log_lines
@@ -28,54 +28,46 @@ DEFAULT_START = 30
 _STEM = r"([^/]+)\.[^./]+$"
 
 
-def sample_id_of(path_column: str):
-    return F.regexp_extract(path_column, _STEM, 1)
+def sample_id_of(path: str, key: str = "name") -> Column:
+    """Sample id of a file: its name without extension, or the whole path where names repeat."""
+    return F.col(path) if key == "path" else F.regexp_extract(path, _STEM, 1)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).csv(path, header=True, quote='"', escape='"')
 
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(
-        F.decode(F.encode(sample_id_of("_metadata.file_name"), "utf-8"), "utf-8").alias("sample_id"), "value"
-    )
-
+def read_metric_series(spark: SparkSession, path: str | list[str], key: str = "name", **options: str) -> DataFrame:
+    """Long form (sample_id, idx, ts, metric, value); the columns may differ from file to file.
 
-def read_metric_series(spark: SparkSession, path: str) -> DataFrame:
-    """Long form (sample_id, idx, ts, metric, value); the columns may differ from file to file."""
-    rows = _whole_files(spark, path).select(
-        "sample_id", F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n").alias("lines")
+    Every line travels with the header of its file, so files of all layers are read in one scan.
+    """
+    lines = read_log_lines(spark, path, keep_path=True, with_header=True, **options).where("line_no > 1")
+    cells = lines.select(
+        sample_id_of("path", key).alias("sample_id"), (F.col("line_no") - 2).cast("int").alias("idx"),
+        F.split("value", ",").alias("cells"), F.split("header", ",").alias("names"),
     )
-    points = rows.select(
-        "sample_id",
-        F.split(F.col("lines")[0], ",").alias("names"),
-        F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("idx", "line"),
-    ).withColumn("cells", F.split("line", ","))
-    long = points.select(
-        "sample_id",
-        "idx",
-        F.col("cells")[0].try_cast("timestamp_ntz").alias("ts"),
-        F.posexplode("names").alias("slot", "metric"),
-        "cells",
+    long = cells.select(
+        "sample_id", "idx", F.col("cells")[0].try_cast("timestamp_ntz").alias("ts"), F.posexplode("names").alias("slot", "metric"), "cells"
     )
     return long.where("slot > 0").select(
         "sample_id", "idx", "ts", "metric", F.get("cells", F.col("slot")).try_cast("double").alias("value")
     )
 
 
-def read_sample_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_sample_logs(spark: SparkSession, path: str | list[str], key: str = "name") -> DataFrame:
     """(sample_id, line_no, value), numbered inside each sample's file."""
-    lines = read_log_lines(spark, path)
-    return lines.select(sample_id_of("file").alias("sample_id"), "line_no", "value")
+    lines = read_log_lines(spark, path, keep_path=True)
+    return lines.select(sample_id_of("path", key).alias("sample_id"), "line_no", "value")
 
 
-def read_label_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Typed label documents. A missing start index becomes 30, an explicit null stays null."""
-    docs = _whole_files(spark, path).select(
+def read_label_documents(spark: SparkSession, path: str | list[str], per_line: bool = False) -> DataFrame:
+    """Typed label documents, one per file (or per line). A missing start index becomes 30, an
+    explicit null stays null."""
+    docs = spark.read.text(path, wholetext=not per_line).select(
         F.from_json("value", LABEL_SCHEMA).alias("doc"), F.json_object_keys("value").alias("keys")
     )
     start = F.when(F.array_contains("keys", "anomaly_start_idx"), F.col("doc.anomaly_start_idx")).otherwise(
         F.lit(DEFAULT_START)
     )
-    return docs.select("doc.*", start.alias("start")).withColumn("anomaly_start_idx", F.col("start")).drop("start")
+    return docs.select("doc.*", start.alias("_start")).withColumn("anomaly_start_idx", F.col("_start")).drop("_start")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from faultline.operators.parse import parse_lines
 from faultline.session import scratch_path
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def parsed_stream(lines: DataFrame, fmt: str = "hdfs") -> DataFrame:
     """Records and rejects of a line stream in one frame (``parsed_ok`` tells them apart)."""
@@ -37,6 +39,8 @@ def quiet_sessions(events: DataFrame, session: str = "session_id", ts: str = "ts
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available into a table of the shared folder and read it back."""
     spark: SparkSession = stream.sparkSession
+    # Keyed Python state needs the RocksDB store; it also keeps big state out of the JVM heap.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     query = (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
@@ -44,3 +48,21 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_totals(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run a counting stream in update mode: every batch appends the changed totals, the latest counts."""
+    spark: SparkSession = stream.sparkSession
+    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
+
+    query = (
+        stream.writeStream.outputMode("update").option("checkpointLocation", state)
+        .trigger(availableNow=True).foreachBatch(store).start()
+    )
+    query.awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    seen = spark.read.option("basePath", out).parquet(out)
+    return seen.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])

@@ -76,7 +76,7 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float | Column]) -> DataFrame:
     """Exact interpolated quantiles per key from distinct values with counts, spread over value buckets."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     stats = counts.groupBy(*keys).agg(
@@ -87,7 +87,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     ranked = running_sum(placed, keys, [value], F.coalesce(spot, F.lit(0)), {"_cum": F.col("_n")})
     aggs = []
     for i, p in enumerate(probs.values()):
-        rank = F.lit(float(p)) * (F.col("_all") - 1)
+        rank = (p if isinstance(p, Column) else F.lit(float(p))) * (F.col("_all") - 1)
         low = F.min(F.when(F.col("_cum") > F.floor(rank), F.col(value)))
         high = F.min(F.when(F.col("_cum") > F.ceil(rank), F.col(value)))
         aggs += [low.alias(f"_l{i}"), high.alias(f"_h{i}"), F.max(rank - F.floor(rank)).alias(f"_f{i}")]

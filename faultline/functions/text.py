@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space as Python's str.strip() knows it, level words, block-id pattern, cut lengths.
@@ -17,6 +17,15 @@ PROMPT_CUT = 200
 _WORD = r"[\p{L}\p{N}_]"
 
 
+def compute_once(df: DataFrame, name: str, expensive: Column) -> DataFrame:
+    """Add a column that is evaluated once per row.
+
+    Catalyst copies an expression into every filter pushed below its projection; a filter on the
+    output of a generator stays above it. Use it for patterns whose result is filtered on.
+    """
+    return df.select("*", F.explode_outer(F.array(expensive)).alias(name))
+
+
 def strip_ws(c: Column) -> Column:
     """Remove white space of any kind from both ends (Spark's ``trim`` only knows the blank)."""
     return F.btrim(c, F.lit(WHITESPACE))

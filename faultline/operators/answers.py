@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import extract_or_null, strip_ws
+from faultline.functions.text import compute_once, extract_or_null, strip_ws
 
 # Patterns, key words and the cut of the prose fallback.
 CONFIDENCE = r"confidence[:\s]+(?:level\s+)?(?:of\s+)?(?:\()?(0\.\d+)"
@@ -46,17 +46,18 @@ def keyword_verdict(text: Column) -> Column:
 def parse_answers(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add source ('json', 'text' or 'none'), classification, confidence, root_cause, reasoning and the
     parsed document as VARIANT (NULL for prose)."""
-    text = strip_ws(F.coalesce(F.col(raw), F.lit("")))
-    rows = df.withColumn("_t", text)
+    rows = df.withColumn("_t", strip_ws(F.coalesce(F.col(raw), F.lit(""))))
     document = F.coalesce(*[F.try_parse_json(c) for c in json_candidates(F.col("_t"))])
-    rows = rows.withColumn("document", document)
     found = {
         "classification": keyword_verdict(F.col("_t")),
         "confidence": extract_or_null(F.lower("_t"), "(?dU)" + CONFIDENCE).try_cast("double"),
         "root_cause": strip_ws(extract_or_null(F.col("_t"), "(?idU)" + ROOT_CAUSE)),
     }
-    for name, c in found.items():
-        rows = rows.withColumn(f"_{name}", c)
+    # Prose is only looked at where no JSON was found.
+    rows = compute_once(rows, "document", document)
+    prose = F.when(F.col("document").isNull(), F.struct(*[c.alias(name) for name, c in found.items()]))
+    rows = compute_once(rows, "_prose", prose)
+    rows = rows.select("*", *[F.col(f"_prose.{name}").alias(f"_{name}") for name in found])
     is_json = F.col("document").isNotNull()
     any_hit = F.coalesce(*[F.col(f"_{n}").cast("string") for n in found]).isNotNull()
     field = lambda n, t: F.try_variant_get("document", f"$.{n}", t)

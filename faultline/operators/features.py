@@ -15,7 +15,8 @@ from faultline.sources.values import STOP_WORDS
 def term_counts(docs: DataFrame, doc: str, text: str, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(doc, term, tf). Partial aggregation runs before the shuffle, as a document sits in one task."""
     terms = docs.select(doc, F.explode(words(F.col(text))).alias("term"))
-    return terms.where(~F.col("term").isin(*stop_words)).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+    # The NULL check is stated here so that both users of the counts share one shuffle.
+    return terms.where(F.col("term").isNotNull() & ~F.col("term").isin(*stop_words)).groupBy(doc, "term").agg(F.count("*").alias("tf"))
 
 
 def top_terms(counts: DataFrame, k: int = 500) -> DataFrame:

@@ -49,20 +49,23 @@ def gradient_boosting(rounds: int = 100, depth: int = 5, seed: int = 42, classes
     return booster if classes == 2 else OneVsRest(classifier=booster)
 
 
-def logistic_regression(iterations: int = 1000) -> Estimator:
-    return LogisticRegression(maxIter=iterations, family="auto")
+def logistic_regression(iterations: int = 1000, rows: int | None = None, strength: float = 1.0) -> Estimator:
+    """L2-penalised as sum of losses times ``strength`` plus half the squared weights; needs the number
+    of training rows, without it there is no penalty."""
+    penalty = 0.0 if rows is None else 1.0 / (strength * max(rows, 1))
+    return LogisticRegression(maxIter=iterations, family="auto", regParam=penalty, standardization=False)
 
 
 def perceptron(inputs: int, classes: int, hidden: tuple[int, ...] = (128, 64), iterations: int = 300, seed: int = 42) -> Estimator:
     return MultilayerPerceptronClassifier(layers=[inputs, *hidden, classes], maxIter=iterations, seed=seed)
 
 
-def detectors(inputs: int, classes: int) -> dict[str, Estimator]:
+def detectors(inputs: int, classes: int, rows: int | None = None) -> dict[str, Estimator]:
     """Classifiers to compare; callers may add any ``pyspark.ml`` estimator under a name."""
     return {
         "random_forest": random_forest(),
         "gradient_boosting": gradient_boosting(classes=classes),
-        "logistic_regression": logistic_regression(),
+        "logistic_regression": logistic_regression(rows=rows),
         "perceptron": perceptron(inputs, classes),
     }
 

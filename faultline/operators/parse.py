@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import clip_round
-from faultline.functions.text import strip_ws
+from faultline.functions.text import compute_once, strip_ws
 from faultline.sources.formats import LineFormat, resolve
 
 
@@ -20,17 +20,13 @@ def parse_lines(df: DataFrame, fmt: str | LineFormat = "hdfs", value: str = "val
     joined = F.regexp_replace(
         strip_ws(F.col(value)), layout.regex, "".join(f"\n${g}" for g in layout.groups)
     )
-    hit = F.coalesce(F.startswith(F.col("_joined"), F.lit("\n")), F.lit(False))
+    hit = F.startswith(F.col("_joined"), F.lit("\n"))
     parts = F.when(hit, F.split(F.substr(F.col("_joined"), F.lit(2)), "\n", len(layout.fields)))
     kept = [c for c in df.columns if c not in layout.fields]
-    return (
-        df.withColumn("_joined", joined)
-        .withColumn("_parts", parts)
-        .select(
-            *kept,
-            F.col("_parts").isNotNull().alias(flag),
-            *[F.col("_parts")[i].alias(name) for i, name in enumerate(layout.fields)],
-        )
+    return compute_once(df.withColumn("_joined", joined), "_parts", parts).select(
+        *kept,
+        F.col("_parts").isNotNull().alias(flag),
+        *[F.col("_parts")[i].alias(name) for i, name in enumerate(layout.fields)],
     )
 
 

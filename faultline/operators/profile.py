@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.numbers import equal_width_bin, ratio
 from faultline.functions.ordered import attach, quantiles
-from faultline.functions.text import detect_level, literal_count
+from faultline.functions.text import compute_once, detect_level, literal_count
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
@@ -20,13 +20,9 @@ def top_counts(df: DataFrame, k: int, *columns: str) -> DataFrame:
 
 
 def level_histogram(df: DataFrame, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
-    """Lines per detected level with the share of all lines that carry a level."""
-    return (
-        df.select(*by, detect_level(F.col(value)).alias("level"))
-        .where("level IS NOT NULL")
-        .groupBy(*by, "level")
-        .agg(F.count("*").alias("n"))
-    )
+    """Lines per detected level; lines without a level word are left out."""
+    found = compute_once(df.select(*by, value), "level", detect_level(F.col(value)))
+    return found.where("level IS NOT NULL").groupBy(*by, "level").agg(F.count("*").alias("n"))
 
 
 def line_length(df: DataFrame, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:

@@ -121,50 +121,81 @@ def shape_key(c: Column) -> Column:
     return F.md5(c)
 
 
-def _restore_literals(mapping: DataFrame, shaped: DataFrame) -> DataFrame:
-    """(template, text): wildcard positions whose raw token never varied get their literal back.
+def _shape_statistics(shaped: DataFrame) -> DataFrame:
+    """One pass over the messages: (key, pos, shape, n, first, lo, hi).
 
-    Only positions under a wildcard are looked at, and raw tokens are reduced to their minimum and
-    maximum per shape before they meet the templates.
+    Position -1 stands for the message itself (its shape, count and first line), the others for its
+    masked tokens with the smallest and largest token hash. All buffers are longs, so tasks combine
+    by hash before the shuffle and a frequent shape leaves a task as a handful of rows.
+    """
+    whole = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("h")))
+    spots = F.transform("digits", lambda d, i: F.struct(i.alias("pos"), F.xxhash64(d).alias("h")))
+    kept = F.filter(F.zip_with(spots, "digits", lambda s, d: F.when(d.isNotNull(), s)), lambda s: s.isNotNull())
+    return (
+        shaped.select("key", "shape", "line", F.explode(F.concat(whole, kept)).alias("x"))
+        .groupBy("key", F.col("x.pos").alias("pos"), F.when(F.col("x.pos") < 0, F.col("shape")).alias("shape"))
+        .agg(F.count("*").alias("n"), F.min("line").alias("first"), F.min("x.h").alias("lo"), F.max("x.h").alias("hi"))
+    )
+
+
+def _restore_literals(mapping: DataFrame, seen: DataFrame, shaped: DataFrame) -> DataFrame:
+    """Templates with counts; a wildcard whose raw token never varied gets its literal back.
+
+    Whether it varied is known from the hashes. Only for constant wildcards (rare messages) the
+    tokens are fetched, by the line on which their shape first appeared.
     """
-    raw = shaped.select("key", F.posexplode("t").alias("pos", "raw")).where(F.col("raw").rlike(r"\d"))
-    seen = raw.groupBy("key", "pos").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
     wild = mapping.select(
-        "key", F.md5("template").alias("tkey"), "leaf",
+        "key", F.md5("template").alias("tkey"), "leaf", "first",
         F.posexplode(F.zip_with(F.split("template", " "), F.split("text", " "), lambda a, b: F.when(a == WILD, b))).alias("pos", "tok"),
     ).where(F.col("tok").isNotNull())
-    fixed = (
-        wild.join(seen, ["key", "pos"], "left")
+    token_hash = F.xxhash64("tok")
+    constant = (
+        wild.join(seen.where("pos >= 0").select("key", "pos", "lo", "hi"), ["key", "pos"], "left")
         .groupBy("leaf", "tkey", "pos")
-        .agg(F.min(F.coalesce("lo", "tok")).alias("lo"), F.max(F.coalesce("hi", "tok")).alias("hi"))
+        .agg(
+            F.min(F.coalesce("lo", token_hash)).alias("lo"), F.max(F.coalesce("hi", token_hash)).alias("hi"),
+            F.min("first").alias("line"),
+        )
         .where("lo = hi")
-        .groupBy("leaf", "tkey")
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "lo"))).alias("fixed"))
+        .select("leaf", "tkey", "pos", "line")
     )
+    constant = materialize(constant, "constant")
     templates = mapping.groupBy("leaf", "template").agg(F.sum("n").alias("count"), F.min("first").alias("first_line"))
+    templates = templates.withColumn("tkey", F.md5("template"))
+    if not constant.limit(1).count():
+        return templates
+    origin = mapping.select(F.col("first").alias("line"), "key", "leaf", F.md5("template").alias("tkey"))
+    wanted = constant.join(origin, ["leaf", "tkey", "line"])
+    fixed = (
+        shaped.select("key", "line", "t").join(wanted, ["key", "line"])
+        .select("leaf", "tkey", "pos", F.get("t", F.col("pos")).alias("raw"))
+        .groupBy("leaf", "tkey")
+        .agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("pos", "raw")))).alias("fixed"))
+    )
     text = F.transform(F.split("template", " "), lambda t, i: F.coalesce(F.try_element_at(F.col("fixed"), i), t))
-    return (
-        templates.withColumn("tkey", F.md5("template"))
-        .join(fixed, ["leaf", "tkey"], "left")
-        .select("leaf", "tkey", F.array_join(text, " ").alias("template"), "count", "first_line")
+    return templates.join(fixed, ["leaf", "tkey"], "left").select(
+        "leaf", "tkey", F.array_join(text, " ").alias("template"), "count", "first_line"
     )
 
 
 def mine(
     df: DataFrame, content: str = "content", line: str = "line_no", depth: int = 4, threshold: float = 0.4, max_children: int = 100
 ) -> Templates:
-    """Mine templates from messages; NULL messages are left out."""
+    """Mine templates from messages; NULL messages are left out. ``line`` orders the messages."""
     rows = df.where(F.col(content).isNotNull()).select(tokens(F.col(content)).alias("t"), F.col(line).alias("line"))
-    shaped = rows.withColumn("shape", F.array_join(masked(F.col("t")), " ")).withColumn("key", shape_key(F.col("shape")))
-    grouped = shaped.groupBy("shape").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+    digits = F.transform("t", lambda x: F.when(x.rlike(r"\d"), x))
+    shaped = rows.withColumn("digits", digits).withColumn(
+        "shape", F.array_join(F.zip_with("t", "digits", lambda a, d: F.when(d.isNull(), a).otherwise(F.lit(WILD))), " ")
+    ).withColumn("key", shape_key(F.col("shape")))
+    seen = materialize(_shape_statistics(shaped), "shapes")
     compact = materialize(
-        _leaves(grouped, max(depth - 3, 0), max_children).select(
-            shape_key(F.col("shape")).alias("key"), "leaf", F.col("shape").alias("text"), "first", "n"
+        _leaves(seen.where("pos = -1").select("key", "shape", "n", "first"), max(depth - 3, 0), max_children).select(
+            "key", "leaf", F.col("shape").alias("text"), "first", "n"
         ),
-        "shapes",
+        "leaves",
     )
     mapping = _merge_rounds(compact, threshold)
-    final = _restore_literals(mapping, shaped)
+    final = _restore_literals(mapping, seen, shaped)
     catalogue = materialize(
         ids_by_first_appearance(final, "first_line").withColumn("event_id", F.col("event_id").cast("int")), "catalogue"
     )

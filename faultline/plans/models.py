@@ -12,6 +12,7 @@ from faultline.operators import neighbours as nb
 from faultline.operators import sessions as ss
 from faultline.plans import views as v
 from faultline.plans.registry import query
+from faultline.session import materialize
 
 W = v.with_views
 r6 = lambda c: F.round(c, 6)
@@ -58,13 +59,13 @@ def session_vectors(spark, sf):
     labelled = ss.align_labels(counts, v.session_labels(spark, sf).select("session_id", "label"))
     scaled = ft.standardize(labelled, [f"E{i}" for i in range(1, 6)])
     number = F.abs(F.regexp_extract("session_id", r"(\d+)", 1).cast("long"))
-    return scaled.select(number.alias("id"), F.array(*[f"E{i}" for i in range(1, 6)]).alias("features"), "label")
+    return materialize(scaled.select(number.alias("id"), F.array(*[f"E{i}" for i in range(1, 6)]).alias("features"), "label"), "sessions")
 
 
 @query("X3_lof_on_sessions")
 def lof_on_sessions(spark, sf):
     vec = session_vectors(spark, sf)
-    share = ft.contamination(vec).scalar()
+    share = ft.contamination(vec).first()[0]
     flagged = nb.flag_share(nb.local_outlier_factor(vec), share, "lof")
     return rounded(ev.binary_metrics(flagged.join(vec.select("id", "label"), "id")), "precision", "recall", "f1", "accuracy")
 
@@ -79,7 +80,7 @@ def isolation_forest(spark, sf):
 @query("X2_forest_on_sessions")
 def forest_on_sessions(spark, sf):
     vec = session_vectors(spark, sf)
-    share = ft.contamination(vec).scalar()
+    share = ft.contamination(vec).first()[0]
     flagged = nb.flag_share(iso.isolation_scores(vec), share, "score")
     return rounded(ev.binary_metrics(flagged.join(vec.select("id", "label"), "id")), "precision", "recall", "f1", "accuracy")
 
@@ -117,7 +118,7 @@ def split_vectors(spark, sf, binary: bool = False):
     if binary:
         vec = vec.withColumn("label", (F.col("label") >= 5).cast("int"))
     split = md.stratified_split(vec, "label", "id")
-    return split.select("id", "label", "is_test", md.to_vector("features").alias("features")).persist()
+    return materialize(split.select("id", "label", "is_test", md.to_vector("features").alias("features")), "split")
 
 
 def fit_and_report(frame, estimator, binary: bool):
@@ -145,7 +146,8 @@ def gradient_boosting(spark, sf):
 
 @query("X6_logistic_regression")
 def logistic_regression(spark, sf):
-    return fit_and_report(split_vectors(spark, sf), md.logistic_regression(), False)
+    frame = split_vectors(spark, sf)
+    return fit_and_report(frame, md.logistic_regression(rows=frame.count()), False)
 
 
 @query("X8_perceptron")
@@ -156,14 +158,15 @@ def perceptron(spark, sf):
 @query("X10_cross_validation")
 def cross_validation(spark, sf):
     vec = v.vectors(spark, sf).withColumn("label", (F.col("label") >= 5).cast("int"))
-    folds = md.stratified_folds(vec, "label", "id").select("id", "label", "fold", md.to_vector("features").alias("features")).persist()
-    return rounded(md.fold_summary(md.cross_validate(md.logistic_regression(), folds, 5, "id")), "mean_f1", "std_f1")
+    folds = md.stratified_folds(vec, "label", "id").select("id", "label", "fold", md.to_vector("features").alias("features"))
+    folds = materialize(folds, "folds")
+    return rounded(md.fold_summary(md.cross_validate(md.logistic_regression(rows=folds.count()), folds, 5, "id")), "mean_f1", "std_f1")
 
 
 @query("G4_model_dictionary")
 def model_dictionary(spark, sf):
     frame = split_vectors(spark, sf, True)
-    models = {"logistic_regression": md.logistic_regression(), "random_forest": md.random_forest(20, 5)}
+    models = {"logistic_regression": md.logistic_regression(rows=frame.count()), "random_forest": md.random_forest(20, 5)}
     return rounded(ev.binary_metrics(md.evaluate_each(models, frame, "id"), ["model"]), "precision", "recall", "f1", "accuracy")
 
 
@@ -175,7 +178,7 @@ def sample_frame(spark, sf):
     for target in ("layer", "root_cause_category", "severity", "scenario_id"):
         m, _ = ft.encode_labels(m, target, f"{target}_index")
     wide = m.withColumn("features", F.array(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), F.length("scenario_name").cast("double")))
-    return md.stratified_split(wide, "is_anomaly", "sample_id").withColumn("features", md.to_vector("features")).persist()
+    return materialize(md.stratified_split(wide, "is_anomaly", "sample_id").withColumn("features", md.to_vector("features")), "samples")
 
 
 @query("X11_four_targets")

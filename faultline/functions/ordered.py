@@ -20,11 +20,21 @@ def id_bucket(c: Column | str, width: int = ROWS_PER_BUCKET) -> Column:
     return F.floor(c / F.lit(width))
 
 
-def time_bucket(c: Column | str, unit: str = "day") -> Column:
-    """Bucket for an order by time."""
+def time_bucket(c: Column | str, unit: str = "minute") -> Column:
+    """Bucket for an order by time. A minute keeps even a key with a third of all rows in small pieces."""
     return F.date_trunc(unit, F.col(c) if isinstance(c, str) else c)
 
 
+def value_bucket(value: Column, low: Column, high: Column) -> Column:
+    """Bucket for an order by value: equal-width, then logarithmic above ``low``.
+
+    Both parts grow with the value, so the pair keeps the order; the second one splits the bulk of a
+    heavy-tailed column that would fall into one equal-width bucket.
+    """
+    share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)).cast("double")
+    return F.struct(F.floor(share * VALUE_BUCKETS).alias("w"), F.floor(F.log2(1 + share * 2.0**50) * 128).alias("l"))
+
+
 def _join(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(other, keys, "left")
 
@@ -68,12 +78,11 @@ def carry_last(
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Bring per-key aggregates to the rows; without keys the one-row aggregate enters as scalar subqueries."""
+    """Bring per-key aggregates to the rows; without keys the one-row aggregate enters as a scalar subquery."""
     if keys:
         return df.join(stats, keys)
-    for name in stats.columns:
-        df = df.withColumn(name, stats.select(name).scalar())
-    return df
+    one = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+    return df.withColumn("_st", one).select(*df.columns, *[F.col(f"_st.{c}").alias(c) for c in stats.columns])
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float | Column]) -> DataFrame:
@@ -83,8 +92,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_all")
     )
     placed = attach(counts, stats, keys)
-    spot = F.floor(F.try_divide((F.col(value) - F.col("_lo")) * VALUE_BUCKETS, F.col("_hi") - F.col("_lo")))
-    ranked = running_sum(placed, keys, [value], F.coalesce(spot, F.lit(0)), {"_cum": F.col("_n")})
+    spot = value_bucket(F.col(value), F.col("_lo"), F.col("_hi"))
+    ranked = running_sum(placed, keys, [value], spot, {"_cum": F.col("_n")})
     aggs = []
     for i, p in enumerate(probs.values()):
         rank = (p if isinstance(p, Column) else F.lit(float(p))) * (F.col("_all") - 1)

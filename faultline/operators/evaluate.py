@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import ratio
-from faultline.functions.ordered import VALUE_BUCKETS, attach, running_sum
+from faultline.functions.ordered import attach, running_sum, value_bucket
 
 
 def confusion(df: DataFrame, classes: list | None = None) -> DataFrame:
@@ -75,9 +75,7 @@ def threshold_counts(df: DataFrame) -> DataFrame:
     ).withColumn("o", -F.col("score"))
     stats = per.agg(F.min("o").alias("_lo"), F.max("o").alias("_hi"))
     placed = attach(per, stats, [])
-    spot = F.coalesce(
-        F.floor(F.try_divide((F.col("o") - F.col("_lo")) * VALUE_BUCKETS, F.col("_hi") - F.col("_lo"))), F.lit(0)
-    )
+    spot = value_bucket(F.col("o"), F.col("_lo"), F.col("_hi"))
     totals = df.agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
     )

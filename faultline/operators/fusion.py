@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.ordered import carry_last, time_bucket
 
 
-def align_in_time(errors: DataFrame, anomalies: DataFrame, key: str, ts: str = "ts", unit: str = "day") -> DataFrame:
+def align_in_time(errors: DataFrame, anomalies: DataFrame, key: str, ts: str = "ts", unit: str = "minute") -> DataFrame:
     """Nearest metric anomaly at or before each log error: adds metric_ts, delta_s and alignment.
 
     Both sides are stacked and the last anomaly is carried forward over (key, time bucket), so a busy

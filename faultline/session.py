@@ -19,6 +19,7 @@ def build_session(master: str | None = None, app: str = "faultline", **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():

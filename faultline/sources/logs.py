@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.session import materialize
+
+MAX_BROADCAST_SPLITS = 500_000
 LINE_SCHEMA = "dataset string, file string, line_no bigint, value string"
 TEMPLATE_SCHEMA = T.StructType(
     [
@@ -37,8 +40,9 @@ def read_log_lines(
 ) -> DataFrame:
     """Lines with their 1-based number in file order; bad bytes become U+FFFD.
 
-    Numbers come from a prefix sum over per-split line counts (one row per file split), so the lines
-    themselves are never sorted or shuffled. ``number_by="dataset"`` numbers through all files in path
+    Numbers come from a prefix sum over per-split line counts, taken in a first pass and kept in the
+    shared folder: one row per file split. Up to MAX_BROADCAST_SPLITS of them are broadcast (a count is
+    taken first), so the lines are neither sorted nor shuffled; beyond that it is a plain join. ``number_by="dataset"`` numbers through all files in path
     order, for logs stored in parts. ``with_header`` adds the first line of each line's file.
     """
     raw = spark.read.options(encoding=encoding, **options).text(paths)
@@ -56,6 +60,9 @@ def read_log_lines(
     order = Window.orderBy("path", "start") if number_by == "dataset" else in_file
     header = [F.first("top").over(in_file).alias("header")] if with_header else []
     offsets = splits.select("path", "start", "first", (F.sum("n").over(order) - F.col("n")).alias("before"), *header)
+    offsets = materialize(offsets, "splits")
+    if offsets.count() <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     numbered = lines.join(offsets, ["path", "start"]).select(
         F.lit(dataset).cast("string").alias("dataset"),
         F.element_at(F.split("path", "/"), -1).alias("file"),

@@ -55,10 +55,11 @@ def plain_cut(c: Column, limit: int) -> Column:
 
 
 def display_name(c: Column) -> Column:
-    """Readable metric name; replacements run in this order, then every word is capitalised."""
+    """Readable metric name; replacements run in this order, then every run of letters is capitalised."""
     for old, new in (("_", " "), ("pct", "%"), ("ms", "(ms)"), ("mbps", "(Mbps)"), ("rpm", "(RPM)")):
         c = F.replace(c, F.lit(old), F.lit(new))
-    return F.initcap(c)
+    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
 
 
 def words(c: Column) -> Column:

@@ -157,7 +157,7 @@ def truncate(spark, sf):
 
 @query(
     "P18_display_name",
-    W("metric_points", "SELECT metric, CASE metric WHEN 'response_time_ms' THEN 'Response Time (ms)' WHEN 'latency_ms' THEN 'Latency (ms)' WHEN 'disk_usage_pct' THEN 'Disk Usage %' "
+    W("metric_points", "SELECT metric, CASE metric WHEN 'response_time_ms' THEN 'Response Time (Ms)' WHEN 'latency_ms' THEN 'Latency (Ms)' WHEN 'disk_usage_pct' THEN 'Disk Usage %' "
       "WHEN 'cpu_usage_pct' THEN 'Cpu Usage %' ELSE 'Page Views' END AS shown, count(*) AS n FROM metric_points GROUP BY 1"),
 )
 def display_name(spark, sf):

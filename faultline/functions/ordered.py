@@ -105,3 +105,17 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
         *keys,
         *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(probs)],
     )
+
+
+def smallest_hashes(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """The ``n`` rows with the smallest seeded hash of ``key``: a uniform, repeatable sample.
+
+    On a big table a hash bound derived from its row count first keeps about 2n + 1000 rows, so the
+    final ordering sees those and not n rows from every task. The result is the same either way.
+    """
+    rank = F.xxhash64(F.col(key), F.lit(seed))
+    total = df.count()
+    expected = 2 * n + 1000
+    if total > 2 * expected:
+        df = df.where(rank < F.lit(int(-(2**63) + 2**64 * (expected / total))))
+    return df.orderBy(rank, key).limit(n)

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.functions.ordered import smallest_hashes
+from faultline.session import materialize
+
 EULER = 0.5772156649
 
 
@@ -51,7 +54,7 @@ def grow_trees(df: DataFrame, trees: int = 200, sample: int = 256, seed: int = 4
     pool does not grow with the table.
     """
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
-    pool = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(trees * sample)
+    pool = materialize(smallest_hashes(rows, "id", trees * sample, seed), "pool")
     drawn = pool.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn(
         "r", F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("id", "tree", F.lit(seed)), "id"))
     ).where(F.col("r") <= sample)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import equal_width_bin, ratio
-from faultline.functions.ordered import attach, quantiles
+from faultline.functions.ordered import attach, quantiles, smallest_hashes
 from faultline.functions.text import compute_once, detect_level, literal_count
 
 
@@ -207,7 +207,7 @@ def preview(lines: DataFrame, n: int = 5, files: int = 3) -> DataFrame:
 
 def subsample(df: DataFrame, key: str, n: int = 5000, seed: int = 42) -> DataFrame:
     """Exactly min(n, rows) rows in the order of a seeded hash: uniform and repeatable."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return smallest_hashes(df, key, n, seed)
 
 
 def shared_ids(left: DataFrame, right: DataFrame, key: str = "session_id") -> DataFrame:

@@ -64,3 +64,12 @@ def test_no_window_over_a_bare_key(skewed):
     plan = number_rows(df, ["k"], ["line"], id_bucket("line", 100))._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert any("_b" in w.split("], [")[1] for w in windows if "], [" in w)
+
+
+def test_sample_is_the_same_with_and_without_the_bound(spark):
+    from faultline.functions.ordered import smallest_hashes
+
+    df = spark.range(20_000)
+    got = {r.id for r in smallest_hashes(df, "id", 100).collect()}
+    want = {r.id for r in df.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(100).collect()}
+    assert got == want

@@ -35,10 +35,6 @@ def value_bucket(value: Column, low: Column, high: Column) -> Column:
     return F.struct(F.floor(share * VALUE_BUCKETS).alias("w"), F.floor(F.log2(1 + share * 2.0**50) * 128).alias("l"))
 
 
-def _join(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(other, keys, "left")
-
-
 def _before(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -53,7 +49,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column
     totals = rows.groupBy(*part).agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))])
     offsets = totals.select(*part, *[F.sum(f"_t{i}").over(_before(keys)).alias(f"_o{i}") for i in range(len(sums))])
     local = rows.select("*", *[F.sum(f"_v{i}").over(inside).alias(f"_s{i}") for i in range(len(sums))])
-    return _join(local, offsets, part).select(
+    return local.join(offsets, part, "left").select(
         *df.columns,
         *[(F.col(f"_s{i}") + F.coalesce(F.col(f"_o{i}"), F.lit(0))).alias(name) for i, name in enumerate(sums)],
     )
@@ -74,7 +70,7 @@ def carry_last(
     newest = rows.groupBy(*part).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_l"))
     carried = newest.select(*part, F.last("_l", ignorenulls=True).over(_before(keys)).alias("_c"))
     local = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(inside))
-    return _join(local, carried, part).select(*df.columns, F.coalesce("_in", "_c").alias(out))
+    return local.join(carried, part, "left").select(*df.columns, F.coalesce("_in", "_c").alias(out))
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import min_max
-from faultline.functions.ordered import id_bucket, number_rows, time_bucket
+from faultline.functions.ordered import number_rows, time_bucket
 from faultline.operators.parse import region_flag
 
 
@@ -72,7 +72,3 @@ def observations(stats: DataFrame, rise: float = 1.5, fall: float = 0.67) -> Dat
         .otherwise("normal")
     )
     return stats.withColumn("finding", finding)
-
-
-def series_bucket(idx: str = "idx") -> Column:
-    return id_bucket(idx)

@@ -440,6 +440,13 @@ def mined_documents(spark, sf):
     return tp.mine(docs).catalogue.select("event_id", "count", "first_line", F.length("template").alias("template_length"))
 
 
+@query("D1_document_totals", "SELECT count(*) AS messages, min(doc_id) AS first_line FROM documents WHERE text IS NOT NULL")
+def document_totals(spark, sf):
+    """However prose is clustered, every message is counted once and the first one opens a template."""
+    docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), F.col("text").alias("content"))
+    return tp.mine(docs).catalogue.agg(F.sum("count").alias("messages"), F.min("first_line").alias("first_line"))
+
+
 @query("D2_assigned_events", W("evm", _MINED + f", e AS (SELECT event_id AS line_no, {_TEMPLATE} AS template FROM evm WHERE event_id % 97 <> 0) SELECT line_no, m.event_id FROM e JOIN m USING (template)"))
 def assigned_events(spark, sf):
     rows = contents(spark, sf).where("content IS NOT NULL")

@@ -1,10 +1,12 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from faultline.operators import models as md
 from faultline.plans import models as mq
 from faultline.plans import views as v
+from faultline.session import materialize
 from tests.oracle_check import TABLES, compare
 
 FAST = ("P1_parse_hdfs", "A4_dataset_comparison", "A19_five_numbers", "F1_sessions_in_segments", "F4_tfidf", "F5_padded_sequences",
@@ -65,8 +67,11 @@ def test_split_is_stratified_repeatable_and_disjoint(spark, small):
 
 
 def test_classifiers_learn(spark, small):
-    frame = mq.split_vectors(spark, small, True)
+    """The table's labels are unrelated to its vectors, so the target here is the sign of one dimension."""
+    vec = v.vectors(spark, small).withColumn("label", (F.col("features")[0] > 0).cast("int"))
+    split = md.stratified_split(vec, "label", "id")
+    frame = materialize(split.select("id", "label", "is_test", md.to_vector("features").alias("features")))
     models = {"rf": md.random_forest(20, 6), "lr": md.logistic_regression(rows=400), "gbt": md.gradient_boosting(5, 3)}
     held = md.evaluate_each(models, frame, "id")
     got = {r.model: r.accuracy for r in mq.ev.binary_metrics(held, ["model"]).collect()}
-    assert set(got) == {"rf", "lr", "gbt"} and max(got.values()) > 0.6
+    assert set(got) == {"rf", "lr", "gbt"} and min(got.values()) > 0.7

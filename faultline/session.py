@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_SCRATCH: list[str] = []
+
 
 def build_session(master: str | None = None, app: str = "faultline", **conf: str) -> SparkSession:
     """A session with the settings every job here relies on (UTC, AQE with skew handling)."""
@@ -28,22 +30,37 @@ def build_session(master: str | None = None, app: str = "faultline", **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only when the cluster names none (unit tests) a temporary folder is created and set.
+    In local mode, where driver and executors are one process, a temporary folder stands in when neither is
+    set. A cluster without the setting gets an error, because a driver-local folder would lose rows there.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if root and context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    root = root or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="faultline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, used once."""
-    return f"{shared_dir(spark)}/faultline/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/faultline/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables made by this process; frames that still read them stop working."""
+    jvm = spark.sparkContext._jvm
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, name: str = "stage"):

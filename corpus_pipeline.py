@@ -1,5 +1,74 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: language ID, near-duplicate removal, secret redaction, mixing and tokenisation of ``documents``.
+
+Each stage reads what the one before wrote as Parquet. Rows with a NULL id are never duplicates of others; NULL and
+letterless texts have no language and go in the first stage. Columns beyond those of ``documents`` pass through.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from faultline.llm import byte_bpe, jaccard_join, language_id, mixing, secret_scan
+from faultline.session import materialize
+
+LEAST_SHARE = 0.5
+MARK = "[secret]"
+BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which one known language has at least half of the letters."""
+    found = language_id.identify(docs, language_id.train(docs), with_spans=False)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies; of rows with one id, one."""
+    kept = jaccard_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = materialize(kept, "kept")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and ``n_chars`` as it is then."""
+    found = secret_scan.scan(docs, secret_scan.train(docs), redact=MARK)
+    length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("n_chars", F.when(F.size("secrets") > 0, length).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, by output shard and in its local order."""
+    thin = docs.select(F.col("doc_id").alias("key"), "source", mixing.word_count(F.col("text")).alias("size"))
+    sizes = materialize(thin, "sizes")
+    made, shards = mixing.plan(sizes), mixing.shard_count(sizes)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("key"), "source", mixing.word_count(F.col("text")).alias("size"))
+    mix = mixing.deal(mixing.draw(rows, made), made, shards)
+    return mix.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("row.*")
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids per document as little-endian 32-bit integers, and whether they decode to the text."""
+    encoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), *BPE, packed=True), *BPE)
+    exact = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
+    return encoded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("jaccard_join", drop_near_duplicates),
+    ("secret_scan", redact_secrets),
+    ("mixing", mix_sources),
+    ("byte_bpe", tokenise),
+]
+#: No stage's method is SQL; tests hold the stages against plain versions of their rules.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

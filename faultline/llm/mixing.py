@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from faultline.session import materialize
 
 BLOCK_WORDS = 65_536
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 RUN_BLOCKS = 1024
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -159,6 +159,7 @@ def deal(drawn: DataFrame, made: Plan, count: int) -> DataFrame:
     order = Window.partitionBy("_ps").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranges = dealt.withColumn("_from", F.coalesce(F.sum("_n").over(order), F.lit(0)))
     slots = ranges.select("_ps", "shard", F.explode(F.sequence("_from", F.col("_from") + F.col("_n") - 1)).alias("_pslot"))
+    slots = materialize(slots, "mix-slots")
     times = drawn.where("draws > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)))
     start = F.pmod(F.xxhash64(F.lit(seed), "_s", "epoch"), F.col("_blocks"))
     turned = F.when(F.col("epoch") < F.col("_epochs"), F.pmod(F.col("_block") + start, F.col("_blocks"))).otherwise(F.col("_block"))

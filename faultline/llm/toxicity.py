@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence is a bag of hashed lower-cased words; its logit is the sum of their weights and a bias. A document is toxic
+A sentence is a bag of hashed lower-cased words and word beginnings (so inflected forms of a stem share evidence); its
+logit is the sum of their weights and a bias. A document is toxic
 if any sentence is (noisy-or), so with ``a`` the sum of softplus(logit) over its sentences the document's score is
 ``1 - exp(-a)``. Weights are trained from document labels alone; the sentences that carry a document's score are then
 located in its text.
@@ -20,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from faultline.llm.textbytes import LOWER, hash_spans, segment_sums, spans, text_slices
+from faultline.llm.textbytes import LOWER, hash_spans, mix, segment_sums, spans, text_slices
 
-BUCKET_BITS = 18
+BUCKET_BITS = 20
+BEGINNINGS = (4, 5, 6)
+EVIDENCE = 3.0
 TRAIN_DOCS = 3_000
 ROUNDS = 120
 LEAST_DOCS = 3
+SPARSITY = 5e-5
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STOP = np.zeros(256, bool)
@@ -34,7 +38,7 @@ _STOP[[10, 13, 33, 46, 63]] = True
 
 @dataclass(frozen=True)
 class Sentences:
-    features: np.ndarray
+    features: np.ndarray  # word x kind of feature
     word_starts: np.ndarray
     word_ends: np.ndarray
     offsets: np.ndarray  # of words per sentence
@@ -45,7 +49,11 @@ def sentences_of(data: np.ndarray, docs: np.ndarray) -> Sentences:
     """Sentences with at least one word, for a slice of documents in bytes."""
     low = LOWER[data]
     starts, ends, per_doc = spans(_LETTER[data], docs)
-    features = (hash_spans(low, starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    shift = np.uint64(64 - BUCKET_BITS)
+    features = np.empty((len(starts), 1 + len(BEGINNINGS)), np.int64)
+    features[:, 0] = hash_spans(low, starts, ends) >> shift
+    for i, length in enumerate(BEGINNINGS, 1):
+        features[:, i] = mix(hash_spans(low, starts, np.minimum(starts + length, ends)) + np.uint64(i)) >> shift
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     doc = np.repeat(np.arange(len(docs) - 1), np.diff(per_doc))
     place = stops[starts] + doc
@@ -72,30 +80,67 @@ def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -x))
+
+
 def fit(labels: np.ndarray, importance: np.ndarray, features: np.ndarray, offsets: np.ndarray, doc_offsets: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Minimise the weighted log loss of the noisy-or with Adam over all given documents."""
-    size = 1 << BUCKET_BITS
-    doc_of = np.repeat(np.repeat(np.arange(len(labels)), np.diff(doc_offsets)), np.diff(offsets))
-    seen = np.bincount(np.unique(features * len(labels) + doc_of) // len(labels), minlength=size)
-    used = seen >= LEAST_DOCS
-    local = np.cumsum(used) - 1
+    """Minimise the weighted log loss of the noisy-or over all given documents.
+
+    Features enter if documents of label 1 hold them more often by ``EVIDENCE`` standard errors; an L1 penalty keeps
+    chance ones at 0. Sentences without any are alike and only counted.
+    """
+    size, kinds, docs = 1 << BUCKET_BITS, features.shape[1], len(labels)
+    sentence = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    doc_of_sentence = np.repeat(np.arange(docs), np.diff(doc_offsets))
+    seen = np.unique(features * docs + doc_of_sentence[sentence][:, None])
+    hot = np.bincount(seen // docs, labels[seen % docs], size)
+    all_ = np.bincount(seen // docs, minlength=size)
+    good, bad = max(1, int(labels.sum())), max(1, int(docs - labels.sum()))
+    share = np.clip(all_ / docs, 1e-9, 1 - 1e-9)
+    gap = (hot / good - (all_ - hot) / bad) / np.sqrt(share * (1 - share) * (1 / good + 1 / bad))
+    used = (all_ >= LEAST_DOCS) & (gap >= EVIDENCE)
     keep = used[features]
-    sentence = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[keep]
-    ids, width, count = local[features[keep]], int(used.sum()), len(offsets) - 1
-    doc_of_sentence = np.repeat(np.arange(len(labels)), np.diff(doc_offsets))
+    sentence = np.repeat(sentence, kinds)[keep.ravel()]
+    ids, width = (np.cumsum(used) - 1)[features[keep]], int(used.sum())
+    rich = np.unique(sentence)
+    sentence, count = np.searchsorted(rich, sentence), len(rich)
+    plain = np.diff(doc_offsets) - np.bincount(doc_of_sentence[rich], minlength=docs)
+    doc_of_sentence = doc_of_sentence[rich]
     theta = np.zeros(width + 2)  # word weights, bias, leak
     theta[-2:] = -6.0
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
     scale = importance / importance.sum()
-    for step in range(1, rounds + 1):
-        z = theta[-2] + np.bincount(sentence, theta[ids], count)
-        amount = np.bincount(doc_of_sentence, _softplus(z), len(labels)) + _softplus(theta[-1])
-        clean = np.exp(-amount)
-        push = scale * np.where(labels == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
-        gz = push[doc_of_sentence] / (1 + np.exp(-z))
-        grad = np.concatenate([np.bincount(ids, gz[sentence], width) + 2e-5 * theta[:-2], [gz.sum(), push.sum() / (1 + np.exp(-theta[-1]))]])
-        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-        theta -= 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
+    reach = np.ones_like(theta)
+    reach[-2:] = 0.03  # the bias stands in every sentence, so it moves in smaller steps
+    penalty = np.full_like(theta, SPARSITY)
+    penalty[-2:] = 0
+
+    def loss(at: np.ndarray, slope: bool = False):
+        z = at[-2] + np.bincount(sentence, at[ids], count)
+        amount = np.bincount(doc_of_sentence, _softplus(z), docs) + plain * _softplus(at[-2]) + _softplus(at[-1])
+        amount = np.maximum(amount, 1e-12)
+        value = float(scale @ np.where(labels == 1, -np.log(-np.expm1(-amount)), amount))
+        if not slope:
+            return value
+        push = scale * np.where(labels == 1, -1 / np.expm1(np.minimum(amount, 500)), 1.0)
+        gz = push[doc_of_sentence] * _sigmoid(z)
+        return value, np.concatenate([np.bincount(ids, gz[sentence], width), [gz.sum() + (push @ plain) * _sigmoid(at[-2]), push.sum() * _sigmoid(at[-1])]])
+
+    step, ahead, speed = 64.0, theta, 1.0
+    for _ in range(rounds):  # accelerated proximal gradient with backtracking
+        value, grad = loss(ahead, slope=True)
+        while True:
+            new = ahead - step * reach * grad
+            new = np.sign(new) * np.maximum(np.abs(new) - step * reach * penalty, 0)
+            move = new - ahead
+            if loss(new) <= value + grad @ move + (move * move / reach).sum() / (2 * step) + 1e-12 or step < 1e-6:
+                break
+            step /= 2
+        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        ahead = new + (speed - 1) / faster * (new - theta)
+        if grad @ (new - theta) > 0:
+            ahead, faster = new, 1.0  # overshot: start the momentum anew
+        theta, speed, step = new, faster, step * 1.5
     weights = np.zeros(size, np.float32)
     weights[used] = theta[:width]
     return Model(weights, float(theta[-2]), float(theta[-1]))
@@ -134,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths), dtype=np.int64)])
     doc_offsets = np.concatenate([[0], np.cumsum([len(x) for x in lengths])])
     importance = np.where(labels == 1, 1 / rate[1], 1 / rate[0])
-    return fit(labels, importance, np.concatenate([np.frombuffer(r.features, "<i4") for r in got]).astype(np.int64), offsets, doc_offsets)
+    return fit(labels, importance, np.concatenate([np.frombuffer(r.features, "<i4") for r in got]).astype(np.int64).reshape(-1, 1 + len(BEGINNINGS)), offsets, doc_offsets)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", with_spans: bool = True) -> DataFrame:
@@ -152,7 +197,7 @@ def score(df: DataFrame, model: Model, text: str = "text", with_spans: bool = Tr
     def run(batches):
         for part, data, docs in text_slices(batches, text):
             s = sentences_of(data, docs)
-            z = (model.bias + segment_sums(model.weights[s.features].astype(np.float64), s.offsets)) if len(s.features) else np.zeros(0)
+            z = (model.bias + segment_sums(model.weights[s.features].sum(axis=1, dtype=np.float64), s.offsets)) if len(s.features) else np.zeros(0)
             amount = segment_sums(_softplus(z), s.doc_offsets) + _softplus(np.float64(model.leak))
             value = -np.expm1(-amount)
             columns = [pa.array(value), pa.array((value >= 0.5).astype(np.int32))]

@@ -25,7 +25,7 @@ from faultline.llm.textbytes import LOWER, hash_spans, mix, segment_sums, spans,
 
 BUCKET_BITS = 20
 BEGINNINGS = (4, 5, 6)
-EVIDENCE = 3.0
+EVIDENCE = 3.5
 TRAIN_DOCS = 3_000
 ROUNDS = 120
 LEAST_DOCS = 3

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from faultline.llm import byte_bpe, jaccard_join, language_id, mixing, secret_scan
 from faultline.session import materialize
 
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.3
 MARK = "[secret]"
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one known language has at least half of the letters."""
+    """Documents of which one known language has at least the share LEAST_SHARE of the letters."""
     found = language_id.identify(docs, language_id.train(docs), with_spans=False)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
 

@@ -42,7 +42,7 @@ from faultline.session import materialize
 WORDS = 5
 LARGEST_SMALL = 12
 RANGE_TOKENS = 1_000_000
-SLICE = 6 << 20
+SLICE = 2 << 20
 _KEEP = np.uint64((1 << 48) - 1)
 _PLACE = np.uint64(0xFFFF)
 _FACTORS = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from faultline.session import materialize
 
-SHARD_ROWS = 8192
-QUERY_ROWS = 512
+SHARD_ROWS = 16_384
+QUERY_ROWS = 128
 SCALE = 64.0
 BOUND = 1 << 27
-ROUNDS = 8
+ROUNDS = 4
 
 
 def usable(vector: str, key: str) -> Column:
@@ -73,29 +73,30 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.matrix = ids[order], matrix[order].astype(np.int64)
-        self.rows = np.argsort(self.matrix, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.matrix, self.rows, axis=0)
-        dims, heads = [], []
-        for d in range(matrix.shape[1]):
-            head = np.flatnonzero(np.diff(self.values[:, d], prepend=self.values[0, d] - 1))
-            dims.append(np.full(len(head), d))
-            heads.append(head)
-        self.dims, self.heads = np.concatenate(dims), np.concatenate(heads)
-        self.tails = np.concatenate([np.append(h[1:], len(ids)) for h in heads])
-        self.level = self.values[self.heads, self.dims]
-        self.first = np.searchsorted(self.dims, np.arange(matrix.shape[1]))
-        self.last = np.append(self.first[1:], len(self.dims)) - 1
+        self.ids, matrix = ids[order], matrix[order]
+        self.reach = int(np.abs(matrix).max(initial=0))
+        self.matrix = matrix
+        self.rows = np.ascontiguousarray(np.argsort(matrix, axis=0, kind="stable").T.astype(np.int32))
+        self.values = np.ascontiguousarray(np.take_along_axis(matrix.T, self.rows, axis=1))
+        heads = [np.flatnonzero(np.diff(v, prepend=v[0] - 1)) for v in self.values]
+        self.dims = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+        self.heads = np.concatenate(heads)
+        self.sizes = np.concatenate([np.diff(np.append(h, len(ids))) for h in heads])
+        self.level = self.values[self.dims, self.heads].astype(np.int64)
+        self.whole = matrix.astype(np.float64 if self.reach < 1 << 20 else np.int64)
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact scores of the best k vectors, best first."""
         n, width = self.matrix.shape
+        peak = int(np.abs(query).max(initial=0))
+        kind = np.int32 if 2 * peak * self.reach * width < 1 << 31 else np.int64
+        weights, values = query.astype(kind), self.values
         query = query.astype(np.int64)
-        floor = query * np.where(query >= 0, self.values[0], self.values[-1])
+        floor = query * np.where(query >= 0, values[:, 0], values[:, -1])
         impact = query[self.dims] * self.level - floor[self.dims]
         order = np.argsort(-impact, kind="stable")
-        sizes = np.cumsum((self.tails - self.heads)[order])
-        total = np.zeros(n, np.int64)
+        sizes = np.cumsum(self.sizes[order])
+        total = np.zeros(n, kind)
         mine = self.ids == own
         wanted = min(k, n - int(mine.sum()))
         if wanted <= 0:
@@ -106,17 +107,17 @@ class ImpactIndex:
         for turn in range(1, ROUNDS + 1):
             stop = useful if turn == ROUNDS else min(useful, int(np.searchsorted(sizes, n * width * turn / ROUNDS)))
             segments = order[:stop]
-            now = np.bincount(self.dims[segments], (self.tails - self.heads)[segments], width).astype(np.int64)
+            now = np.bincount(self.dims[segments], self.sizes[segments], width).astype(np.int64)
             for d in np.flatnonzero(now > taken):
                 run = slice(n - now[d], n - taken[d]) if query[d] >= 0 else slice(taken[d], now[d])
-                total[self.rows[run, d]] += query[d] * self.values[run, d] - floor[d]
+                total[self.rows[d, run]] += weights[d] * values[d, run].astype(kind, copy=False) - kind(floor[d])
             taken = now
-            rest = self._rest(query, floor, taken, n)
             low = np.partition(total[possible], len(possible) - wanted)[len(possible) - wanted]
-            possible = possible[total[possible] + rest >= low]
+            possible = possible[total[possible] >= low - self._rest(query, floor, taken, n)]
             if len(possible) <= few or stop == useful:
                 break
-        score = self.matrix[possible] @ query
+        exact = np.float64 if self.whole.dtype == np.float64 and peak < 1 << 20 else np.int64
+        score = (self.whole[possible].astype(exact, copy=False) @ query.astype(exact)).astype(np.int64)
         best = np.lexsort((self.ids[possible], -score))[:k]
         return possible[best], score[best]
 
@@ -124,7 +125,7 @@ class ImpactIndex:
         """The most that any vector can still gain: the next impact of every dimension."""
         open_ = np.flatnonzero(taken < n)
         at = np.where(query[open_] >= 0, n - 1 - taken[open_], taken[open_])
-        return int((query[open_] * self.values[at, open_] - floor[open_]).sum())
+        return int((query[open_] * self.values[open_, at] - floor[open_]).sum())
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:
@@ -147,9 +148,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
             for row in batch.to_pylist():
                 made = ImpactIndex(np.frombuffer(row["shard_ids"], "<i8"), np.frombuffer(row["shard_data"], "<i4").reshape(-1, width))
                 ids = np.frombuffer(row["block_ids"], "<i8")
-                for own, query in zip(ids, np.frombuffer(row["block_data"], "<i4").reshape(-1, width), strict=True):
-                    at, score = made.search(query, int(own), k)
-                    yield pa.RecordBatch.from_pydict({"query_id": np.full(len(at), own), "vec_id": made.ids[at], "score": score})
+                found = [(own, *made.search(query, int(own), k)) for own, query in zip(ids, np.frombuffer(row["block_data"], "<i4").reshape(-1, width), strict=True)]
+                yield pa.RecordBatch.from_pydict({
+                    "query_id": np.repeat(ids, [len(at) for _, at, _ in found]), "vec_id": made.ids[np.concatenate([at for _, at, _ in found])],
+                    "score": np.concatenate([score for *_, score in found]),
+                })
 
     found = pairs.mapInArrow(find, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -23,7 +23,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from faultline.llm.textbytes import repeat_ranges, text_slices
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
+SLICE = 1 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -190,7 +191,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def run(batches):
         vocabulary = load(path, pattern)
-        for rows, _, _ in text_slices(batches, text):
+        for rows, _, _ in text_slices(batches, text, SLICE):
             found, offsets = vocabulary.encode([t or "" for t in rows.column(text).to_pylist()])
             if packed:
                 column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(found.astype("<u4"))])

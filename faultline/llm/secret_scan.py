@@ -3,8 +3,8 @@
 Patterns give the base spans (``assign``, ``access``, ``hex``), each kind leftmost and without overlaps. A candidate is
 a long run of token characters with a digit. The network sees its characters and what stands around it; it is trained
 on findings that the patterns label, with the left context hidden half of the time so that it also learns what the
-secret itself looks like. Scores are calibrated on findings kept out of training, and the threshold is the highest
-that still recalls the wanted share of them. Candidates over the threshold that touch no base span are added as
+secret itself looks like. Scores are calibrated on findings kept out of training, and the threshold is the most
+precise one that recalls the wanted share of them. Candidates over the threshold that touch no base span are added as
 ``cnn``; base spans always stay.
 
 A candidate longer than the window is scored in overlapping windows and keeps its highest score. NULL text counts as
@@ -145,7 +145,7 @@ REGIONS = (slice(0, LEFT - TAPS + 1), slice(LEFT - TAPS + 1, LEFT + BODY - TAPS
 
 
 def fit(codes: np.ndarray, labels: np.ndarray, epochs: int = 12, seed: int = 3, recall: float = RECALL) -> Network | None:
-    """Train on seven tenths of the findings, calibrate and choose the threshold on the rest."""
+    """Train on seven tenths of the findings, calibrate and choose the threshold on the rest, with and without left context."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(labels))
     cut = max(1, len(labels) * 7 // 10)
@@ -171,7 +171,9 @@ def fit(codes: np.ndarray, labels: np.ndarray, epochs: int = 12, seed: int = 3,
                 m[1] += 0.01 * (g * g - m[1])
                 p -= 0.01 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
             net.bias = float(params[3][0])
-    _calibrate(net, codes[held], labels[held], recall)
+    hidden = codes[held].copy()
+    hidden[:, :LEFT] = 0
+    _calibrate(net, np.concatenate([codes[held], hidden]), np.concatenate([labels[held], labels[held]]), recall)
     return net
 
 
@@ -193,7 +195,7 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -
 
 
 def _calibrate(net: Network, codes: np.ndarray, labels: np.ndarray, recall: float) -> None:
-    """Platt scaling by Newton steps with smoothed targets, then the highest threshold with the wanted recall."""
+    """Platt scaling by Newton steps with smoothed targets, then the most precise threshold with the wanted recall."""
     z, good = net.logits(codes), labels.sum()
     goal = np.where(labels == 1, (good + 1) / (good + 2), 1 / (len(labels) - good + 2))
     theta, design = np.array([1.0, 0.0]), np.stack([z, np.ones_like(z)], axis=1)
@@ -202,8 +204,12 @@ def _calibrate(net: Network, codes: np.ndarray, labels: np.ndarray, recall: floa
         curve = design.T @ (design * np.maximum(p * (1 - p), 1e-6)[:, None]) + 1e-4 * np.eye(2)
         theta = theta - np.clip(np.linalg.solve(curve, design.T @ (p - goal)), -2, 2)
     net.slope, net.base = float(theta[0]), float(theta[1])
-    p = np.sort(net.probability(codes)[labels == 1])
-    net.threshold = float(p[int(np.floor((1 - recall) * len(p)))])
+    score = design @ theta
+    found = np.sort(score[labels == 1])
+    limit = found[int(np.floor((1 - recall) * len(found)))]
+    below = score[(labels == 0) & (score < limit)]
+    limit = (limit + below.max()) / 2 if len(below) else limit  # as precise, and not tight against the known findings
+    net.threshold = float(1 / (1 + np.exp(-np.clip(limit, -40, 40))))
 
 
 def _overlaps(start: int, end: int, found: list[Span]) -> bool:

@@ -231,7 +231,7 @@ def boundary(sizes: dict[int, tuple[int, int]], largest: int = LARGEST_SMALL) ->
 
 
 def _subsets(classes: DataFrame, largest: int) -> DataFrame:
-    """(list, set_id, n, pos) with one list per subset of shared shingles; the size of the subset is part of its name."""
+    """(list, set_id, n, alone, pos) with one list per subset of shared shingles; the size of the subset is part of its name."""
 
     def run(batches):
         for batch in batches:
@@ -245,11 +245,12 @@ def _subsets(classes: DataFrame, largest: int) -> DataFrame:
             names = mix(np.array(keys, np.uint64)).view(np.int64)
             at = pa.array(owners, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), batch.column("set_id").take(at), batch.column("n").take(at), pa.array(np.full(len(owners), -1, np.int32))],
-                names=["list", "set_id", "n", "pos"],
+                [pa.array(names), *[batch.column(c).take(at) for c in ("set_id", "n", "alone")], pa.array(np.full(len(owners), -1, np.int32))],
+                names=["list", "set_id", "n", "alone", "pos"],
             )
 
-    return classes.where(F.col("n") <= largest).select("set_id", "n", "shingles").mapInArrow(run, "list long, set_id long, n int, pos int")
+    small = classes.where(F.col("n") <= largest).select("set_id", "n", "alone", "shingles")
+    return small.mapInArrow(run, "list long, set_id long, n int, alone int, pos int")
 
 
 def _entries(classes: DataFrame, largest: int) -> DataFrame:
@@ -257,7 +258,7 @@ def _entries(classes: DataFrame, largest: int) -> DataFrame:
     first = F.slice("shingles", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - F.col("alone")).cast("int"))
     rows = classes.where(F.floor(F.col("n") * 4 / 3) > largest)
     rows = rows.select("set_id", "n", "alone", F.posexplode(first).alias("rank", "list"))
-    return rows.select("list", "set_id", "n", (F.col("alone") + F.col("rank")).alias("pos"))
+    return rows.select("list", "set_id", "n", "alone", (F.col("alone") + F.col("rank")).alias("pos"))
 
 
 def _may_link(n: Column, pos: Column, m: Column, qos: Column) -> Column:
@@ -279,8 +280,11 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 
 
 def link_classes(classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """(node, component) of classes that link, from candidate classes and their lists (list, set_id, n, pos)."""
-    leader = lists.groupBy("list").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("set_id"), "set_id", "n", "pos")).alias("lead"))
+    """(node, component) of classes that link, from candidate classes and their lists (list, set_id, n, alone, pos).
+
+    The leader of a list is the set with the fewest shingles of its own: among near copies, the one they were made from.
+    """
+    leader = lists.groupBy("list").agg(F.count("*").alias("members"), F.min(F.struct("alone", F.xxhash64("set_id"), "set_id", "n", "pos")).alias("lead"))
     leader = leader.where("members > 1").select(F.col("list").alias("of"), F.col("lead.set_id").alias("l"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lp"))
     kept = lists.join(materialize(leader, "leaders"), F.col("list") == F.col("of")).drop("of")
     kept = materialize(kept, "lists")

@@ -25,12 +25,12 @@ LIMIT = 2
 #: Terms that reject alone, and terms that reject when several differ.
 STRICT_TERMS = (
     "porn", "porno", "xxx", "hentai", "escort", "escorts", "camgirls", "casino", "casinos", "viagra", "cialis", "malware", "warez",
-    "phishing", "jackpot", "torrents", "keygen", "spam",
+    "phishing", "jackpot", "torrents", "keygen", "spam", "adult-x",
 )
 SOFT_TERMS = (
     "adult", "ads", "bet", "bets", "betting", "bonus", "cheap", "click", "coupon", "crack", "dating", "deal", "deals", "discount", "farm",
     "free", "gambling", "hot", "loan", "loans", "lottery", "nude", "pill", "pills", "poker", "pharmacy", "promo", "replica", "sex", "sexy",
-    "slots", "track", "tracker", "win", "winner", "x",
+    "slots", "track", "tracker", "win", "winner",
 )
 VOCABULARY = {**dict.fromkeys(STRICT_TERMS, STRICT), **dict.fromkeys(SOFT_TERMS, SOFT)}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

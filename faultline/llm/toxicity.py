@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from faultline.llm.textbytes import LOWER, hash_spans, mix, segment_sums, spans, text_slices
+from faultline.session import materialize
 
 BUCKET_BITS = 20
 BEGINNINGS = (4, 5, 6)
@@ -84,29 +85,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0, -x))
 
 
-def fit(labels: np.ndarray, importance: np.ndarray, features: np.ndarray, offsets: np.ndarray, doc_offsets: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Minimise the weighted log loss of the noisy-or over all given documents.
+def speaking(hot: np.ndarray, seen: np.ndarray, good: int, bad: int) -> np.ndarray:
+    """Features that documents of label 1 hold more often by ``EVIDENCE`` standard errors, from counts of documents."""
+    share = np.clip(seen / (good + bad), 1e-9, 1 - 1e-9)
+    gap = (hot / good - (seen - hot) / bad) / np.sqrt(share * (1 - share) * (1 / good + 1 / bad))
+    return (seen >= LEAST_DOCS) & (gap >= EVIDENCE)
 
-    Features enter if documents of label 1 hold them more often by ``EVIDENCE`` standard errors; an L1 penalty keeps
-    chance ones at 0. Sentences without any are alike and only counted.
+
+def fit(labels: np.ndarray, importance: np.ndarray, ids: np.ndarray, lengths: np.ndarray, rich: np.ndarray, plain: np.ndarray, used: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Minimise the weighted log loss of the noisy-or over all given documents; an L1 penalty keeps chance features at 0.
+
+    ``ids`` are the used features of the sentences that have any, ``lengths`` their number per sentence, ``rich`` the
+    number of such sentences per document and ``plain`` that of the others, which are alike and only counted.
     """
-    size, kinds, docs = 1 << BUCKET_BITS, features.shape[1], len(labels)
-    sentence = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    doc_of_sentence = np.repeat(np.arange(docs), np.diff(doc_offsets))
-    seen = np.unique(features * docs + doc_of_sentence[sentence][:, None])
-    hot = np.bincount(seen // docs, labels[seen % docs], size)
-    all_ = np.bincount(seen // docs, minlength=size)
-    good, bad = max(1, int(labels.sum())), max(1, int(docs - labels.sum()))
-    share = np.clip(all_ / docs, 1e-9, 1 - 1e-9)
-    gap = (hot / good - (all_ - hot) / bad) / np.sqrt(share * (1 - share) * (1 / good + 1 / bad))
-    used = (all_ >= LEAST_DOCS) & (gap >= EVIDENCE)
-    keep = used[features]
-    sentence = np.repeat(sentence, kinds)[keep.ravel()]
-    ids, width = (np.cumsum(used) - 1)[features[keep]], int(used.sum())
-    rich = np.unique(sentence)
-    sentence, count = np.searchsorted(rich, sentence), len(rich)
-    plain = np.diff(doc_offsets) - np.bincount(doc_of_sentence[rich], minlength=docs)
-    doc_of_sentence = doc_of_sentence[rich]
+    docs, width, count, size = len(labels), int(used.sum()), len(lengths), len(used)
+    sentence, doc_of_sentence = np.repeat(np.arange(count), lengths), np.repeat(np.arange(docs), rich)
     theta = np.zeros(width + 2)  # word weights, bias, leak
     theta[-2:] = -6.0
     scale = importance / importance.sum()
@@ -159,27 +152,51 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     rate = {0: min(1.0, 2 * per_label / found[0]), 1: min(1.0, per_label / found[1])}
     chance = F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])
     picked = known.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < chance * 1_000_000)
-    sample = docs.select(key, text).join(F.broadcast(picked), key).select(text, "y")
+    sample = materialize(docs.select(key, text).join(F.broadcast(picked), key).select(text, "y"), "toxicity-sample").coalesce(8)
+    size = 1 << BUCKET_BITS
+
+    def count(batches):
+        seen = np.zeros((2, size), np.int32)
+        for part, data, offsets in text_slices(batches, text):
+            s = sentences_of(data, offsets)
+            words = np.diff(s.offsets[s.doc_offsets])
+            doc = np.repeat(np.arange(part.num_rows), words)
+            held = np.unique(s.features + doc[:, None] * size)
+            label = part.column("y").to_numpy()[held // size]
+            for y in (0, 1):
+                seen[y] += np.bincount(held[label == y] % size, minlength=size).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"seen": [seen.astype("<i4").tobytes()]})
+
+    seen = np.zeros((2, size), np.int64)
+    for row in sample.mapInArrow(count, "seen binary").collect():  # 8 rows of fixed size
+        seen += np.frombuffer(row.seen, "<i4").reshape(2, size)
+    present = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(present) < 2:
+        return constant(found[1] / total)
+    used = speaking(seen[1], seen.sum(axis=0), present[1], present[0])
+    local = (np.cumsum(used) - 1).astype(np.int32)
 
     def read(batches):
-        for part, data, docs in text_slices(batches, text):
-            s = sentences_of(data, docs)
-            word = s.offsets[s.doc_offsets]
-            yield pa.RecordBatch.from_pydict({
-                "y": part.column("y"),
-                "features": [s.features[a:b].astype("<i4").tobytes() for a, b in zip(word[:-1], word[1:], strict=True)],
-                "lengths": [np.diff(s.offsets[a : b + 1]).astype("<i4").tobytes() for a, b in zip(s.doc_offsets[:-1], s.doc_offsets[1:], strict=True)],
-            })
-
-    got = sample.mapInArrow(read, "y int, features binary, lengths binary").collect()  # bounded by per_label
-    if len({r.y for r in got}) < 2:
-        return constant(found[1] / total)
+        for part, data, offsets in text_slices(batches, text):
+            s = sentences_of(data, offsets)
+            keep = used[s.features]
+            per_word = np.concatenate([[0], np.cumsum(keep.sum(axis=1))])
+            ids, at = local[s.features[keep]], per_word[s.offsets]
+            lengths = np.diff(at)
+            rows = []
+            for d in range(part.num_rows):
+                a, b = s.doc_offsets[d], s.doc_offsets[d + 1]
+                mine = lengths[a:b]
+                rows.append((ids[at[a] : at[b]].tobytes(), mine[mine > 0].astype("<i4").tobytes(), int((mine == 0).sum())))
+            packed, counts, plain = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(packed, pa.binary()), pa.array(counts, pa.binary()), pa.array(plain, pa.int64())], names=["y", "ids", "lengths", "plain"])
+
+    got = sample.mapInArrow(read, "y int, ids binary, lengths binary, plain long").collect()  # bounded by per_label
     labels = np.array([r.y for r in got])
-    lengths = [np.frombuffer(r.lengths, "<i4") for r in got]
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths), dtype=np.int64)])
-    doc_offsets = np.concatenate([[0], np.cumsum([len(x) for x in lengths])])
+    each = [np.frombuffer(r.lengths, "<i4") for r in got]
+    ids = np.concatenate([np.frombuffer(r.ids, np.int32) for r in got]).astype(np.int64)
     importance = np.where(labels == 1, 1 / rate[1], 1 / rate[0])
-    return fit(labels, importance, np.concatenate([np.frombuffer(r.features, "<i4") for r in got]).astype(np.int64).reshape(-1, 1 + len(BEGINNINGS)), offsets, doc_offsets)
+    return fit(labels, importance, ids, np.concatenate(each), np.array([len(x) for x in each]), np.array([r.plain for r in got]), used)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", with_spans: bool = True) -> DataFrame:

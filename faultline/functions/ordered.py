@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-VALUE_BUCKETS = 4096
+VALUE_BUCKETS = 64
 
 
 def id_bucket(c: Column | str, width: int = ROWS_PER_BUCKET) -> Column:
@@ -25,22 +25,28 @@ def time_bucket(c: Column | str, unit: str = "minute") -> Column:
     return F.date_trunc(unit, F.col(c) if isinstance(c, str) else c)
 
 
-def value_bucket(value: Column, low: Column, high: Column) -> Column:
-    """Bucket for an order by value: equal-width, then logarithmic above ``low``.
+def edges(value: Column) -> Column:
+    """Aggregate: approximate quantiles of a column, the edges of buckets of about equal size."""
+    return F.percentile_approx(value, [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)], 10 * VALUE_BUCKETS)
 
-    Both parts grow with the value, so the pair keeps the order; the second one splits the bulk of a
-    heavy-tailed column that would fall into one equal-width bucket.
-    """
-    share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)).cast("double")
-    return F.struct(F.floor(share * VALUE_BUCKETS).alias("w"), F.floor(F.log2(1 + share * 2.0**50) * 128).alias("l"))
+
+def value_bucket(value: Column, cuts: Column) -> Column:
+    """Bucket for an order by value: how many edges lie below it. Far outliers cannot empty the other buckets."""
+    return F.size(F.filter(cuts, lambda c: c < value))
 
 
 def _before(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _beside(local: DataFrame, per_bucket: DataFrame, part: list[str]) -> DataFrame:
+    """Rows with what is known of their bucket; NULL keys are keys like others."""
+    theirs = per_bucket.withColumnsRenamed({k: f"_of_{k}" for k in part})
+    return local.join(theirs, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in part], "left")
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, sums: dict[str, Column]) -> DataFrame:
-    """Add inclusive running sums. ``keys`` must not be NULL; ``order`` must be unique inside a key."""
+    """Add inclusive running sums; ``order`` must be unique inside a key. Rows with a NULL key form a group of their own."""
     rows = df.withColumn("_b", bucket)
     for i, value in enumerate(sums.values()):
         rows = rows.withColumn(f"_v{i}", value)
@@ -49,7 +55,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column
     totals = rows.groupBy(*part).agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))])
     offsets = totals.select(*part, *[F.sum(f"_t{i}").over(_before(keys)).alias(f"_o{i}") for i in range(len(sums))])
     local = rows.select("*", *[F.sum(f"_v{i}").over(inside).alias(f"_s{i}") for i in range(len(sums))])
-    return local.join(offsets, part, "left").select(
+    return _beside(local, offsets, part).select(
         *df.columns,
         *[(F.col(f"_s{i}") + F.coalesce(F.col(f"_o{i}"), F.lit(0))).alias(name) for i, name in enumerate(sums)],
     )
@@ -70,13 +76,15 @@ def carry_last(
     newest = rows.groupBy(*part).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_l"))
     carried = newest.select(*part, F.last("_l", ignorenulls=True).over(_before(keys)).alias("_c"))
     local = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(inside))
-    return local.join(carried, part, "left").select(*df.columns, F.coalesce("_in", "_c").alias(out))
+    return _beside(local, carried, part).select(*df.columns, F.coalesce("_in", "_c").alias(out))
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """Bring per-key aggregates to the rows; without keys the one-row aggregate enters as a scalar subquery."""
     if keys:
-        return df.join(stats, keys)
+        theirs = stats.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+        return df.join(theirs, same).drop(*[f"_of_{k}" for k in keys])
     one = stats.select(F.struct(*stats.columns).alias("s")).scalar()
     return df.withColumn("_st", one).select(*df.columns, *[F.col(f"_st.{c}").alias(c) for c in stats.columns])
 
@@ -84,11 +92,9 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float | Column]) -> DataFrame:
     """Exact interpolated quantiles per key from distinct values with counts, spread over value buckets."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    stats = counts.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_all")
-    )
+    stats = counts.groupBy(*keys).agg(edges(F.col(value)).alias("_cuts"), F.sum("_n").alias("_all"))
     placed = attach(counts, stats, keys)
-    spot = value_bucket(F.col(value), F.col("_lo"), F.col("_hi"))
+    spot = value_bucket(F.col(value), F.col("_cuts"))
     ranked = running_sum(placed, keys, [value], spot, {"_cum": F.col("_n")})
     aggs = []
     for i, p in enumerate(probs.values()):
@@ -104,14 +110,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
 
 
 def smallest_hashes(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The ``n`` rows with the smallest seeded hash of ``key``: a uniform, repeatable sample.
+    """The ``n`` rows with the smallest seeded hash of ``key`` (all if there are fewer): a uniform, repeatable sample.
 
-    On a big table a hash bound derived from its row count first keeps about 2n + 1000 rows, so the
-    final ordering sees those and not n rows from every task. The result is the same either way.
+    Each task keeps its own n smallest rows before they meet, so the cost is n rows per task at any table size. Rows
+    with one key have one hash; of those at the limit any may be taken.
     """
-    rank = F.xxhash64(F.col(key), F.lit(seed))
-    total = df.count()
-    expected = 2 * n + 1000
-    if total > 2 * expected:
-        df = df.where(rank < F.lit(int(-(2**63) + 2**64 * (expected / total))))
-    return df.orderBy(rank, key).limit(n)
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import ratio
-from faultline.functions.ordered import attach, running_sum, value_bucket
+from faultline.functions.ordered import attach, edges, running_sum, value_bucket
 
 
 def confusion(df: DataFrame, classes: list | None = None) -> DataFrame:
@@ -73,9 +73,8 @@ def threshold_counts(df: DataFrame) -> DataFrame:
     per = df.groupBy("score").agg(
         F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q")
     ).withColumn("o", -F.col("score"))
-    stats = per.agg(F.min("o").alias("_lo"), F.max("o").alias("_hi"))
-    placed = attach(per, stats, [])
-    spot = value_bucket(F.col("o"), F.col("_lo"), F.col("_hi"))
+    placed = attach(per, per.agg(edges(F.col("o")).alias("_cuts")), [])
+    spot = value_bucket(F.col("o"), F.col("_cuts"))
     totals = df.agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
     )

@@ -30,19 +30,32 @@ def top_terms(counts: DataFrame, k: int = 500) -> DataFrame:
 
 
 def tfidf(
-    docs: DataFrame, doc: str, text: str, max_features: int = 500, stop_words: tuple[str, ...] = STOP_WORDS
+    docs: DataFrame, doc: str, text: str, max_features: int = 500, stop_words: tuple[str, ...] = STOP_WORDS, one_row: bool = False
 ) -> DataFrame:
     """Sparse weights (doc, term, weight): tf * (ln((1+N)/(1+df)) + 1), unit length per document.
 
-    This is our definition of the weight. The vocabulary has at most ``max_features`` rows and is
-    broadcast; terms outside of it never reach the per-document shuffle.
+    This is our definition of the weight. The vocabulary has at most ``max_features`` rows and is broadcast. With
+    ``one_row`` (each document is one row) the vocabulary comes from one aggregation by term, and only its terms are
+    shuffled per document; otherwise the counts per document and term are shuffled once and serve both steps.
     """
-    counts = term_counts(docs, doc, text, stop_words)
-    total = docs.select(F.count("*")).scalar()
-    vocab = top_terms(counts, max_features).select(
-        "term", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf")
-    )
-    raw = counts.join(F.broadcast(vocab), "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    total = docs.select(F.count("*") if one_row else F.count_distinct(doc)).scalar()
+    if one_row:
+        terms = F.filter(words(F.col(text)), lambda t: ~t.isin(*stop_words))
+        listed = docs.where(F.col(text).isNotNull()).select(doc, terms.alias("terms"))
+        once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+        each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+        parts = listed.select(F.explode(F.concat(each, once)).alias("x"))
+        ranked = parts.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.tf").alias("cf"), F.sum("x.df").alias("df"))
+        chosen = ranked.orderBy(F.desc("cf"), "term").limit(max_features)
+    else:
+        counts = term_counts(docs, doc, text, stop_words)
+        chosen = top_terms(counts, max_features)
+    vocab = F.broadcast(chosen.select("term", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf")))
+    if one_row:
+        named = listed.select(doc, F.explode("terms").alias("term")).join(vocab, "term")
+        raw = named.groupBy(doc, "term").agg((F.count("*") * F.first("idf")).alias("w"))
+    else:
+        raw = counts.join(vocab, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("w"))
     # A document holds at most max_features vocabulary terms, so its weights fit one row.
     packed = raw.groupBy(doc).agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("ws")

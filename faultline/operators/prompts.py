@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import PROMPT_CUT, ellipsis
 from faultline.operators.sessions import first_events
+from faultline.session import materialize
 
 
 def session_text(df: DataFrame, session: str = "session_id", n: int = 50, order: str = "line_no") -> DataFrame:
@@ -118,19 +119,21 @@ def ask(prompts: DataFrame, scorer: Callable[[str, str], str], key: str = "sessi
     return flat.mapInPandas(run, f"`{key}` {dtype}, raw string")
 
 
-def error_evidence(df: DataFrame, session: str = "session_id", n: int = 50, order: str = "line_no") -> DataFrame:
-    """First error of each session and the components it reached afterwards, in order of appearance.
+def error_evidence(df: DataFrame, session: str = "session_id", order: str = "line_no") -> DataFrame:
+    """First error of each session, its position, and the components reached from there on, in order of appearance.
 
-    Works on the first ``n`` events of a session (the part that is shown).
+    All events of a session count. Both steps are partial aggregates, so a long session leaves a task as one row per
+    component; ``propagation`` holds each component once.
     """
-    head = first_events(df.select(session, order, "level", "component", "content"), session, n, order)
+    rows = df.where(F.col(session).isNotNull()).select(session, order, "level", "component", "content")
     error = F.col("level").isin("ERROR", "FATAL", "CRITICAL")
-    first = F.min(F.when(error, F.col("pos"))).over(Window.partitionBy(session))
-    after = head.withColumn("first_pos", first).where("pos >= first_pos")
-    seen = after.groupBy(session, "first_pos", "component").agg(
-        F.min("pos").alias("at"), F.min(F.when(F.col("pos") == F.col("first_pos"), F.col("content"))).alias("text")
-    )
-    return seen.groupBy(session, "first_pos").agg(
-        F.max("text").alias("first_error"),
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "component"))), lambda x: x["component"]).alias("propagation"),
+    first = rows.where(error).groupBy(session).agg(F.min(order).alias("_at"), F.min_by("content", order).alias("first_error"))
+    first = materialize(first, "first-errors").withColumnRenamed(session, "_s")
+    joined = rows.join(first, F.col(session) == F.col("_s"))
+    seen = joined.groupBy(session, "_at", "first_error", "component").agg(
+        F.min(F.when(F.col(order) >= F.col("_at"), F.col(order))).alias("at"), F.count_if(F.col(order) <= F.col("_at")).alias("before")
     )
+    reached = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "component"))))
+    return seen.groupBy(session, "_at", "first_error").agg(
+        F.sum("before").cast("int").alias("first_pos"), F.transform(reached, lambda x: x["component"]).alias("propagation")
+    ).select(session, "first_pos", "first_error", "propagation")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import min_max
@@ -31,10 +31,9 @@ def point_index(points: DataFrame, keys: list[str], ts: str = "ts", bucket: Colu
 def quota_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """Spread ``n`` over the strata: n // k each, one more for the first n % k in key order.
 
-    Rows of a stratum are taken in the order of a seeded hash. The rank window has a fixed upper
-    limit, so each task keeps at most that many rows of a stratum before the shuffle.
+    Rows of a stratum are taken in the order of a seeded hash. A first rank inside hash ranges of the
+    stratum, limited by the stratum's quota, leaves the second one a bounded number of rows.
     """
-    from pyspark.sql import Window
 
     strata = df.select(stratum).distinct()
     ranked = strata.withColumn("_i", F.row_number().over(Window.orderBy(stratum)))
@@ -42,9 +41,12 @@ def quota_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42)
     quota = ranked.select(
         stratum, (F.floor(F.lit(n) / k) + F.when(F.col("_i") <= F.lit(n) % k, 1).otherwise(0)).alias("_quota")
     )
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    drawn = df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
-    return drawn.join(quota, stratum).where(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    inside = Window.partitionBy(stratum, F.shiftright("_h", 58)).orderBy("_h", key)
+    order = Window.partitionBy(stratum).orderBy("_h", key)
+    near = hashed.withColumn("_r", F.row_number().over(inside)).where(F.col("_r") <= n).join(quota.withColumnRenamed(stratum, "_st"), F.col(stratum).eqNullSafe(F.col("_st")))
+    drawn = near.where(F.col("_r") <= F.col("_quota")).withColumn("_r", F.row_number().over(order))
+    return drawn.where(F.col("_r") <= F.col("_quota")).drop("_r", "_quota", "_h", "_st")
 
 
 def log_position(samples: DataFrame, lines: DataFrame, points: int = 60) -> DataFrame:

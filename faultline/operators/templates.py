@@ -2,7 +2,7 @@
 
 Messages are compacted to distinct shapes (digit-bearing tokens replaced by ``<*>``) with partial
 aggregation, so the similarity step sees shapes, not lines. Shapes meet in leaves (token count and
-first tokens); a big leaf is clustered in hashed parts whose templates are merged in a second pass.
+first tokens, as in the stream) and are clustered in order of first appearance.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,6 @@ from faultline.operators.sessions import ids_by_first_appearance
 from faultline.session import materialize
 
 WILD = "<*>"
-LEAF_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -53,67 +52,123 @@ def similarity(template: Column, parts: Column) -> Column:
     return F.try_divide(F.aggregate(same, F.lit(0), lambda acc, v: acc + v), F.size(template))
 
 
+class LeafClusters:
+    """Greedy clusters of one leaf: equally long token lists, the first best match of at least ``threshold`` takes a shape.
+
+    Tokens are coded as integers and the templates are rows of one growing matrix; shapes seen before are looked up.
+    Memory grows with the templates of the leaf, not with its shapes.
+    """
+
+    def __init__(self, width: int, threshold: float):
+        self.threshold, self.count = threshold, 0
+        self.codes, self.words = {WILD: 0}, [WILD]
+        self.matrix = np.zeros((16, width), np.int32)
+
+    def code(self, parts: list[str]) -> np.ndarray:
+        for part in parts:
+            if part not in self.codes:
+                self.codes[part] = len(self.words)
+                self.words.append(part)
+        return np.array([self.codes[p] for p in parts], np.int32)
+
+    def add(self, parts: list[str]) -> tuple[int, str]:
+        """The cluster of a shape and what it did: cluster_created, cluster_template_changed or none."""
+        row, known = self.code(parts), self.matrix[: self.count]
+        if self.count:
+            equal = known == row
+            score = (equal & (known != 0)).sum(axis=1) / max(len(row), 1)
+            whole = equal.all(axis=1)
+            best = int(whole.argmax()) if whole.any() else int(score.argmax())
+            if whole[best]:
+                return best, "none"
+            if score[best] >= self.threshold:
+                merged = np.where(equal[best], row, 0)
+                changed = bool((merged != known[best]).any())
+                self.matrix[best] = merged
+                return best, "cluster_template_changed" if changed else "none"
+        self._append(row)
+        return self.count - 1, "cluster_created"
+
+    def restore(self, parts: list[str]) -> None:
+        """Add a template as it is."""
+        self._append(self.code(parts))
+
+    def _append(self, row: np.ndarray) -> None:
+        if self.count == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[self.count] = row
+        self.count += 1
+
+    def template(self, cluster: int) -> str:
+        return " ".join(self.words[c] for c in self.matrix[cluster])
+
+
 def cluster_shapes(texts: list[str], threshold: float) -> list[str]:
     """Greedy clustering of equally long shapes in the given order; returns each shape's template."""
-    rows = [np.array(t.split(" "), dtype=object) for t in texts]
-    known = np.empty((0, len(rows[0])), dtype=object)
-    member = []
-    for row in rows:
-        if len(known):
-            score = ((known == row) & (known != WILD)).sum(1) / max(len(row), 1)
-            best = int(score.argmax())
-            same = bool((known[best] == row).all())
-            if score[best] >= threshold or same:
-                known[best] = np.where(known[best] == row, row, WILD)
-                member.append(best)
-                continue
-        known = np.vstack([known, row[None, :]])
-        member.append(len(known) - 1)
-    return [" ".join(known[m]) for m in member]
-
-
-def _cluster(df: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    """(text, template) for rows (group, text, first)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first", "text"])
-        return pd.DataFrame({"leaf": pdf["leaf"], "text": pdf["text"], "template": cluster_shapes(pdf["text"].tolist(), threshold)})
-
-    return df.groupBy(*group).applyInPandas(run, "leaf string, text string, template string")
-
-
-def _leaves(compact: DataFrame, prefix: int, max_children: int) -> DataFrame:
-    """Add ``leaf``. Per token count only the first ``max_children - 1`` leading tokens get their own leaf."""
+    leaf = LeafClusters(len(texts[0].split(" ")), threshold)
+    members = [leaf.add(t.split(" "))[0] for t in texts]
+    return [leaf.template(m) for m in members]
+
+
+def _leaves(compact: DataFrame, prefix: int, max_children: int | None) -> DataFrame:
+    """Add ``leaf``: token count and leading tokens.
+
+    With ``max_children``, per token count only the first ``max_children - 1`` leading tokens get their own leaf.
+    """
     head = F.array_join(F.slice(F.split("shape", " "), 1, prefix), " ")
     rows = compact.withColumn("head", head).withColumn("width", F.size(F.split("shape", " ")))
-    order = Window.partitionBy("width").orderBy("first", "head")
-    heads = rows.groupBy("width", "head").agg(F.min("first").alias("first"))
-    kept = heads.withColumn("r", F.row_number().over(order)).where(F.col("r") < max_children)
-    marked = rows.join(kept.select("width", "head", F.lit(True).alias("own")), ["width", "head"], "left")
-    name = F.when(F.col("own"), F.col("head")).otherwise(F.lit(WILD))
-    return marked.withColumn("leaf", F.concat_ws("|", F.col("width").cast("string"), name))
+    name = F.col("head")
+    if max_children is not None:
+        order = Window.partitionBy("width").orderBy("first", "head")
+        heads = rows.groupBy("width", "head").agg(F.min("first").alias("first"))
+        kept = heads.withColumn("r", F.row_number().over(order)).where(F.col("r") < max_children)
+        rows = rows.join(kept.select("width", "head", F.lit(True).alias("own")), ["width", "head"], "left")
+        name = F.when(F.col("own"), F.col("head")).otherwise(F.lit(WILD))
+    return rows.withColumn("leaf", F.concat_ws("|", F.col("width").cast("string"), name))
 
 
-def _merge_rounds(compact: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
-    """``compact`` with each shape's template: cluster the shapes of each leaf.
+def _clustered(compact: DataFrame, threshold: float) -> DataFrame:
+    """``compact`` with each shape's template.
 
-    A leaf of up to LEAF_ROWS entries is one group. A bigger one is clustered in parts, and the
-    resulting templates are clustered again, so no group ever exceeds the limit.
+    The shapes of a leaf stream through one task in order of first appearance, so the result does not depend on how
+    many there are or how they are batched; templates leave the task when their leaf ends.
     """
-    mapping = compact.withColumn("template", F.col("text"))
-    for step in range(rounds):
-        entries = mapping.groupBy("leaf", F.col("template").alias("text")).agg(F.min("first").alias("first"))
-        sizes = entries.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_ROWS).alias("parts"))
-        parted = entries.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("text", F.lit(step)), F.col("parts")))
-        merged = _cluster(parted.select("leaf", "part", "text", "first"), ["leaf", "part"], threshold)
-        merged = merged.withColumnRenamed("template", "next").withColumnRenamed("text", "template")
-        mapping = materialize(
-            mapping.join(merged, ["leaf", "template"]).select("key", "leaf", "text", F.col("next").alias("template"), "first", "n"),
-            "mapping",
-        )
-        if not sizes.where(F.col("parts") > 1).limit(1).count():
-            break
-    return mapping
+
+    def run(batches):
+        leaf, name = None, None
+
+        def row_batch(columns: dict, count: int, kinds: pa.Schema) -> pa.RecordBatch:
+            made = [columns[k.name] if k.name in columns else pa.nulls(count, k.type) for k in kinds]
+            made += [pa.array(columns["cluster"], pa.int32()), pa.array(columns.get("template", [None] * count), pa.string())]
+            return pa.RecordBatch.from_arrays(made, names=[*kinds.names, "cluster", "template"])
+
+        def templates(kinds: pa.Schema) -> pa.RecordBatch:
+            found = range(leaf.count)
+            named = pa.array([name] * leaf.count, kinds.field("leaf").type)
+            return row_batch({"leaf": named, "cluster": list(found), "template": [leaf.template(c) for c in found]}, leaf.count, kinds)
+
+        kinds = None
+        for batch in batches:
+            kinds, members = batch.schema, []
+            for here, text in zip(batch.column("leaf").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                parts = text.split(" ")
+                if here != name:
+                    if leaf:
+                        yield templates(kinds)
+                    leaf, name = LeafClusters(len(parts), threshold), here
+                members.append(leaf.add(parts)[0])
+            yield row_batch({**dict(zip(batch.schema.names, batch.columns, strict=True)), "cluster": members}, len(members), kinds)
+        if leaf:
+            yield templates(kinds)
+
+    first = compact.schema["first"].dataType.simpleString()
+    schema = f"key string, leaf string, text string, first {first}, n bigint, cluster int, template string"
+    ordered = compact.select("key", "leaf", "text", "first", "n").repartition("leaf").sortWithinPartitions("leaf", "first", "text")
+    both = materialize(ordered.mapInArrow(run, schema), "clusters")
+    known = both.where("template IS NOT NULL").select(F.col("leaf").alias("_l"), F.col("cluster").alias("_c"), "template")
+    members = both.where("template IS NULL").drop("template")
+    joined = members.join(known, (F.col("leaf") == F.col("_l")) & (F.col("cluster") == F.col("_c")))
+    return materialize(joined.select("key", "leaf", "text", "template", "first", "n"), "mapping")
 
 
 def shape_key(c: Column) -> Column:
@@ -179,7 +234,7 @@ def _restore_literals(mapping: DataFrame, seen: DataFrame, shaped: DataFrame) ->
 
 
 def mine(
-    df: DataFrame, content: str = "content", line: str = "line_no", depth: int = 4, threshold: float = 0.4, max_children: int = 100
+    df: DataFrame, content: str = "content", line: str = "line_no", depth: int = 4, threshold: float = 0.4, max_children: int | None = None
 ) -> Templates:
     """Mine templates from messages; NULL messages are left out. ``line`` orders the messages."""
     rows = df.where(F.col(content).isNotNull()).select(tokens(F.col(content)).alias("t"), F.col(line).alias("line"))
@@ -194,7 +249,7 @@ def mine(
         ),
         "leaves",
     )
-    mapping = _merge_rounds(compact, threshold)
+    mapping = _clustered(compact, threshold)
     final = _restore_literals(mapping, seen, shaped)
     catalogue = materialize(
         ids_by_first_appearance(final, "first_line").withColumn("event_id", F.col("event_id").cast("int")), "catalogue"
@@ -219,16 +274,22 @@ def with_template(df: DataFrame, catalogue: DataFrame) -> DataFrame:
 def match_catalogue(df: DataFrame, catalogue: DataFrame, content: str = "content") -> DataFrame:
     """Event id of the most literal catalogue template that fits each message, NULL if none does.
 
-    Templates are grouped by token count, so a message meets one array of candidates and no
-    message row is multiplied. Ties go to the smaller id.
+    Templates are grouped by token count and first token, so a message meets the few candidates that begin
+    like it and those that begin with a wildcard, and no message row is multiplied. Ties go to the smaller id.
     """
     known = catalogue.select("event_id", F.split("template", " ").alias("t")).withColumn(
         "literals", F.size(F.filter("t", lambda x: x != WILD))
     )
-    by_width = known.groupBy(F.size("t").alias("width")).agg(
-        F.collect_list(F.struct((-F.col("literals")).alias("rank"), "event_id", "t")).alias("candidates")
+    by_head = known.groupBy(F.size("t").alias("width"), F.get("t", F.lit(0)).alias("head")).agg(
+        F.collect_list(F.struct((-F.col("literals")).alias("rank"), "event_id", "t")).alias("c")
     )
-    rows = df.withColumn("_t", tokens(F.col(content))).withColumn("width", F.size("_t"))
+    literal = by_head.where(F.col("head") != WILD).select(F.col("width").alias("_lw"), F.col("head").alias("_lh"), F.col("c").alias("_lc"))
+    open_ = by_head.where(F.col("head") == WILD).select(F.col("width").alias("_ow"), F.col("c").alias("_oc"))
+    rows = df.withColumn("_t", tokens(F.col(content))).withColumn("_w", F.size("_t"))
+    rows = rows.join(literal, (F.col("_w") == F.col("_lw")) & (F.get("_t", F.lit(0)) == F.col("_lh")), "left")
+    rows = rows.join(open_, F.col("_w") == F.col("_ow"), "left")
+    none = F.array().cast(by_head.schema["c"].dataType)
+    rows = rows.withColumn("candidates", F.concat(F.coalesce("_lc", none), F.coalesce("_oc", none)))
 
     def fits(c: Column) -> Column:
         return F.forall(F.zip_with(c["t"], F.col("_t"), lambda a, b: (a == b) | (a == WILD)), lambda ok: ok)
@@ -236,7 +297,7 @@ def match_catalogue(df: DataFrame, catalogue: DataFrame, content: str = "content
     best = F.array_min(
         F.transform(F.filter("candidates", fits), lambda c: F.struct(c["rank"].alias("rank"), c["event_id"].alias("event_id")))
     )["event_id"]
-    return rows.join(by_width, "width", "left").select(*df.columns, best.alias("event_id"))
+    return rows.select(*df.columns, best.alias("event_id"))
 
 
 def catalogue_of(assigned: DataFrame) -> DataFrame:

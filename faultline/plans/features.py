@@ -15,6 +15,7 @@ from faultline.operators import templates as tp
 from faultline.operators import traces as tr
 from faultline.plans import views as v
 from faultline.plans.registry import query
+from faultline.session import materialize
 from faultline.sources import catalogue as cat
 from faultline.sources.values import STOP_WORDS
 
@@ -30,7 +31,7 @@ def rounded(df, *columns):
 # Sessions ---------------------------------------------------------------------------------------
 
 
-@query("F1_sessions", W("records", "SELECT session_id, 0::BIGINT AS segment, string_agg(event_id, ',' ORDER BY line_no) AS events FROM records GROUP BY 1"))
+@query("F1_sessions", W("records", f"SELECT session_id, (r - 1) // {ss.SEGMENT} AS segment, string_agg(event_id, ',' ORDER BY r) AS events FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS r FROM records) GROUP BY 1, 2"))
 def sessions(spark, sf):
     return ss.event_lists(v.records(spark, sf), ["session_id"]).withColumn("events", joined_text("events"))
 
@@ -48,7 +49,7 @@ def sessions_in_segments(spark, sf):
 
 @query(
     "F2_window_sessions",
-    W("records", "SELECT strftime(time_bucket(INTERVAL 5 minutes, event_ts), '%Y-%m-%d %H:%M:%S') AS window_id, 0::BIGINT AS segment, string_agg(event_id, ',' ORDER BY line_no) AS events FROM records GROUP BY 1"),
+    W("records", f"SELECT window_id, (r - 1) // {ss.SEGMENT} AS segment, string_agg(event_id, ',' ORDER BY r) AS events FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY line_no) AS r FROM (SELECT *, strftime(time_bucket(INTERVAL 5 minutes, event_ts), '%Y-%m-%d %H:%M:%S') AS window_id FROM records)) GROUP BY 1, 2"),
 )
 def window_sessions(spark, sf):
     return ss.window_lists(v.records(spark, sf), 5).withColumn("events", joined_text("events"))
@@ -137,7 +138,7 @@ def tfidf_vocabulary(spark, sf):
     "SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w",
 )
 def tfidf(spark, sf):
-    return rounded(ft.tfidf(v.table(spark, sf, "documents"), "doc_id", "text"), "weight")
+    return rounded(ft.tfidf(v.table(spark, sf, "documents"), "doc_id", "text", one_row=True), "weight")
 
 
 @query(
@@ -211,17 +212,56 @@ def log_features(spark, sf):
     return rounded(out, *[c for c in out.columns if c.endswith("share")])
 
 
+_LOG_NAMES = ["log_lines", *[f"log_{w}{end}" for w in ("info", "warn", "error", "critical") for end in ("", "_share")], "log_templates", "log_late_error_share"]
+_NUMBER = "regexp_extract(session_id, '([0-9]+)', 1)"
+
+
+def sample_matrix(spark, sf):
+    """(wide table, feature names): metric features, log features and the whole term block of every sample; missing is 0."""
+    metric = ft.metric_features(profiled(spark, sf))
+    wide = metric.groupBy("sample_id").pivot("metric", sorted(v.METRICS.values())).agg(F.first("mean").alias("mean"), F.first("max_abs_z").alias("peak"))
+    wide = wide.withColumnsRenamed({c: f"metric_{c}" for c in wide.columns if c != "sample_id"})
+    number = F.regexp_extract("sample_id", r"(\d+)", 1)
+    logs = ft.log_features(user_lines(spark, sf)).withColumn("sample_id", number)
+    contents = v.records(spark, sf).select(F.regexp_extract("session_id", r"(\d+)", 1).alias("sample_id"), "content")
+    weights = materialize(ft.tfidf(contents, "sample_id", "content"), "term-weights")
+    vocabulary = sorted(r.term for r in weights.select("term").distinct().collect())  # at most max_features terms
+    terms = weights.groupBy("sample_id").pivot("term", vocabulary).agg(F.first("weight"))
+    terms = terms.withColumnsRenamed({t: f"tfidf_{t}" for t in vocabulary})
+    joined = wide.join(logs, "sample_id", "left").join(terms, "sample_id", "left")
+    names = [c for c in joined.columns if c != "sample_id"]
+    return materialize(joined.select("sample_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]), "matrix"), names
+
+
+@query(
+    "F11_feature_cells",
+    W("profiled records", f"""WITH mt AS (SELECT sample_id, metric, avg(value) AS mean, max(abs(z)) AS peak FROM profiled GROUP BY 1, 2),
+        n AS (SELECT {_NUMBER} AS sample_id, level, event_id, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS r, count(*) OVER (PARTITION BY session_id) AS t FROM records),
+        lg AS (SELECT sample_id, count(*) AS log_lines, {_SHARES.replace("round(", "(").replace(", 6)", ")")}, count(DISTINCT event_id) AS log_templates,
+            count(*) FILTER (level IN ('ERROR', 'CRITICAL', 'FATAL') AND r > t * 2 // 3) / count(*) FILTER (r > t * 2 // 3) AS log_late_error_share FROM n GROUP BY 1),
+        tok AS (SELECT {_NUMBER} AS sample_id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM records),
+        tc AS (SELECT sample_id, term, count(*) AS tf FROM tok WHERE regexp_full_match(term, '[a-z_][a-z0-9_]{{2,}}') AND term NOT IN ({_STOP}) GROUP BY 1, 2),
+        voc AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tc GROUP BY 1 ORDER BY cf DESC, term LIMIT 500),
+        w AS (SELECT sample_id, term, tf * (ln((1 + (SELECT count(DISTINCT sample_id) FROM n)) / (1 + df)) + 1) AS w FROM tc JOIN voc USING (term)),
+        cells AS (SELECT sample_id, 'metric_' || metric || '_mean' AS feature, mean AS value FROM mt UNION ALL SELECT sample_id, 'metric_' || metric || '_peak', peak FROM mt
+            UNION ALL SELECT sample_id, unnest([{", ".join(f"'{c}'" for c in _LOG_NAMES)}]), unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in _LOG_NAMES)}]) FROM lg
+            UNION ALL SELECT sample_id, 'tfidf_' || term, w / sqrt(sum(w * w) OVER (PARTITION BY sample_id)) FROM w)
+        SELECT sample_id, feature, round(value, 6) AS value FROM cells WHERE value <> 0 AND sample_id IN (SELECT sample_id FROM mt)"""),
+)
+def feature_cells(spark, sf):
+    """The matrix in long form, cells that are not 0."""
+    wide, names = sample_matrix(spark, sf)
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("value")) for n in names]))
+    return wide.select("sample_id", cells.alias("c")).where("c.value <> 0").select("sample_id", "c.feature", r6("c.value").alias("value"))
+
+
 @query("F11_feature_matrix")
 def feature_matrix(spark, sf):
-    """Metric and log features of each sample in one vector, with its term weights."""
+    """Metric features, log features and term weights of each sample in one vector."""
     from pyspark.ml.functions import vector_to_array
 
-    metric = ft.metric_features(cat.with_profile(v.metric_points(spark, sf), cat.profiles(spark)))
-    wide = metric.groupBy("sample_id").pivot("metric", sorted(v.METRICS.values())).agg(F.first("mean").alias("mean"), F.first("max_abs_z").alias("peak"))
-    logs = ft.log_features(user_lines(spark, sf)).withColumn("sample_id", F.regexp_extract("sample_id", r"(\d+)", 1))
-    words = ft.tfidf(v.records(spark, sf).select(F.regexp_extract("session_id", r"(\d+)", 1).alias("sample_id"), "content"), "sample_id", "content")
-    terms = words.groupBy("sample_id").agg(F.sum("weight").alias("tfidf_mass"), F.count("*").alias("tfidf_terms"))
-    out = ft.feature_matrix([wide, logs, terms])
+    wide, _ = sample_matrix(spark, sf)
+    out = ft.feature_matrix([wide])
     return out.select("sample_id", F.size(vector_to_array("features")).alias("dims"), r6(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
@@ -433,6 +473,16 @@ def mined_templates(spark, sf):
     return tp.mine(contents(spark, sf)).catalogue
 
 
+@query(
+    "D1_word_variants",
+    "SELECT CASE WHEN event_type = 'click' THEN 'host <*> is now reachable' ELSE 'user <*> left the <*> queue today' END AS template, "
+    "count(*) AS count, min(event_id) AS first_line FROM events GROUP BY 1",
+)
+def word_variants(spark, sf):
+    """Variable parts are words, so shapes differ and only the clustering step can merge them."""
+    return tp.mine(v.worded(v.table(spark, sf, "events"))).catalogue.select("template", "count", "first_line")
+
+
 @query("D1_mined_documents")
 def mined_documents(spark, sf):
     """Mining free prose: every document is one message, most shapes are unique."""

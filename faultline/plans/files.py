@@ -10,6 +10,7 @@ from faultline.plans import text as tq
 from faultline.plans import views as v
 from faultline.plans.registry import query
 from faultline.session import scratch_path
+from faultline.sources import catalogue as cat
 from faultline.sources import logs as lg
 from faultline.sources import samples as sm
 from faultline.sources import sinks as sk
@@ -56,11 +57,9 @@ def dataset_lines(spark, sf):
     root = scratch_path(spark, "raw")
     v.bgl_lines(spark, sf).select("value").write.text(f"{root}/BGL/BGL.log")
     v.openstack_lines(spark, sf).select("value").write.text(f"{root}/openstack_normal1.log")
-    found = {"bgl": f"{root}/BGL/BGL.log", "openstack": f"{root}/openstack_normal1.log"}
     out = lg.read_dataset(spark, f"{root}/absent", "hdfs_v1").groupBy("dataset").agg(F.count("*").alias("lines"))
-    for key, path in found.items():
-        lines = lg.read_log_lines(spark, path, dataset=key, number_by="dataset")
-        out = out.unionByName(lines.groupBy("dataset").agg(F.count("*").alias("lines")))
+    for key in ("bgl", "openstack"):
+        out = out.unionByName(lg.read_dataset(spark, root, key).groupBy("dataset").agg(F.count("*").alias("lines")))
     return out
 
 
@@ -158,6 +157,93 @@ def label_documents(spark, sf):
     return out.select("sample_id", "is_anomaly", "scenario_id", "anomaly_start_idx", F.array_join("metrics", ",").alias("metrics"))
 
 
+def write_json_document(df, document, path):
+    """One JSON document for a whole table; it is configuration, so it fits one row."""
+    df.agg(F.to_json(document).alias("value")).write.text(path)
+
+
+@query("S12_read_prompts", "SELECT r_name AS name, 'You look after ' || lower(r_name) AS system, 'Case {case} of ' || r_name AS user FROM region")
+def read_prompts(spark, sf):
+    """Prompt templates from a JSON file."""
+    path = scratch_path(spark, "prompts")
+    text = F.struct(F.concat(F.lit("You look after "), F.lower("r_name")).alias("system"), F.concat(F.lit("Case {case} of "), F.col("r_name")).alias("user"))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("r_name"), text)))
+    write_json_document(v.table(spark, sf, "region"), entries, path)
+    return cat.read_prompt_templates(spark, path)
+
+
+@query(
+    "S11_read_scenarios",
+    "SELECT 'N_' || n_nationkey AS scenario_id, r_name AS layer, n_name AS name, 'Trouble in ' || n_name AS description, 'high' AS severity, 'load' AS metric, "
+    "'additive' AS kind, CAST(n_nationkey AS DOUBLE) AS lo, CAST(n_nationkey + 1 AS DOUBLE) AS hi FROM nation JOIN region ON r_regionkey = n_regionkey",
+)
+def read_scenarios(spark, sf):
+    """Scenarios with descriptions and effects on metrics from a JSON configuration."""
+    path = scratch_path(spark, "scenarios")
+    number = F.col("n_nationkey").cast("double")
+    effect = F.struct(F.array(number, number + 1).alias("additive"), F.lit("step").alias("pattern"))
+    scenario = F.struct(
+        F.concat(F.lit("N_"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"),
+        F.concat(F.lit("Trouble in "), F.col("n_name")).alias("description"), F.lit("high").alias("severity"), F.create_map(F.lit("load"), effect).alias("affected_metrics"),
+    )
+    layered = v.table(spark, sf, "nation").join(v.table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    layered = layered.groupBy("r_name").agg(F.struct(F.collect_list(scenario).alias("scenarios")).alias("body"))
+    write_json_document(layered, F.struct(F.map_from_entries(F.collect_list(F.struct("r_name", "body"))).alias("layers")), path)
+    found = cat.read_scenarios(spark, path)[1]
+    return found.select("scenario_id", "layer", "name", "description", "severity", F.explode("affected").alias("metric", "e")).select(
+        "scenario_id", "layer", "name", "description", "severity", "metric", "e.kind", "e.lo", "e.hi"
+    )
+
+
+@query(
+    "S11_scenario_effects",
+    W("catalogue", "SELECT count(*) AS users, true AS described, true AS affected FROM (SELECT DISTINCT user_id FROM events)"),
+)
+def scenario_effects(spark, sf):
+    """Every user gets a built-in scenario that has a description and effects."""
+    ids = F.array(*[F.lit(i) for i in v.SCENARIO_IDS])
+    users = v.table(spark, sf, "events").select("user_id").distinct().withColumn("scenario_id", F.get(ids, (F.abs("user_id") % len(v.SCENARIO_IDS)).cast("int")))
+    known = users.join(cat.scenarios(spark), "scenario_id")
+    return known.agg(F.count("*").alias("users"), F.every(F.length("description") > 0).alias("described"), F.every(F.size("affected") > 0).alias("affected"))
+
+
+def resource_rows(spark, sf):
+    events = v.table(spark, sf, "events")
+    return events.select(
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("event_type").alias("msname"),
+        F.concat("event_type", F.lit("-"), (F.col("user_id") % 10).cast("string")).alias("msinstanceid"),
+        F.concat(F.lit("n"), (F.col("user_id") % 7).cast("string")).alias("nodeid"), F.col("value").alias("a"), (F.col("value") / 2).alias("b"),
+    )
+
+
+_NODES = "SELECT 'n' || (user_id % 7) AS nodeid, event_type AS msname, value AS a FROM events"
+
+
+@query("S13_node_table", f"SELECT nodeid, count(*) AS points, round(max(a), 6) AS cpu FROM ({_NODES}) GROUP BY 1")
+def node_table(spark, sf):
+    path = scratch_path(spark, "nodes")
+    resource_rows(spark, sf).select("timestamp", "nodeid", "a", "b").toDF("timestamp", "nodeid", "cpu_utilization", "memory_utilization").write.csv(path, header=True)
+    return tc.read_trace_table(spark, "Node", path).groupBy("nodeid").agg(F.count("*").alias("points"), r6(F.max("cpu_utilization")).alias("cpu"))
+
+
+@query("S13_service_resources", f"SELECT msname, nodeid, count(*) AS points, round(max(a) / 2, 6) AS memory FROM ({_NODES}) GROUP BY 1, 2")
+def service_resources(spark, sf):
+    path = scratch_path(spark, "resources")
+    rows = resource_rows(spark, sf).select("timestamp", "msname", "msinstanceid", "nodeid", "a", "b")
+    rows.toDF("timestamp", "msname", "msinstanceid", "nodeid", "cpu_utilization", "memory_utilization").write.csv(path, header=True)
+    read = tc.read_trace_table(spark, "MSResource", path)
+    return read.groupBy("msname", "nodeid").agg(F.count("*").alias("points"), r6(F.max("memory_utilization")).alias("memory"))
+
+
+@query("S13_response_times", f"SELECT msname, count(*) AS points, round(max(a), 6) AS rt FROM ({_NODES}) GROUP BY 1")
+def response_times(spark, sf):
+    path = scratch_path(spark, "response-times")
+    rows = resource_rows(spark, sf).select("timestamp", "msname", "msinstanceid", "nodeid", "a", "b", "a", "b")
+    rows.toDF("timestamp", "msname", "msinstanceid", "nodeid", "providerrpc_rt", "providerrpc_mcr", "consumerrpc_rt", "consumerrpc_mcr").write.csv(path, header=True)
+    read = tc.read_trace_table(spark, "MSRTMCR", path)
+    return read.groupBy("msname").agg(F.count("*").alias("points"), r6(F.max("providerrpc_rt")).alias("rt"))
+
+
 @query("S13_call_graph", W("calls", "SELECT um, dm, count(*) AS calls, round(sum(rt), 6) AS rt FROM calls GROUP BY 1, 2"))
 def call_graph(spark, sf):
     path = scratch_path(spark, "calls")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from faultline.operators import evaluate as ev
@@ -10,6 +11,7 @@ from faultline.operators import isolation as iso
 from faultline.operators import models as md
 from faultline.operators import neighbours as nb
 from faultline.operators import sessions as ss
+from faultline.plans import features as fp
 from faultline.plans import views as v
 from faultline.plans.registry import query
 from faultline.session import materialize
@@ -163,35 +165,149 @@ def cross_validation(spark, sf):
     return rounded(md.fold_summary(md.cross_validate(md.logistic_regression(rows=folds.count()), folds, 5, "id")), "mean_f1", "std_f1")
 
 
+_N_TEST = "CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT)"
+_LABELLED = (
+    "lb AS (SELECT regexp_extract(session_id, '([0-9]+)', 1) AS sample_id, CAST(count(*) FILTER (level = 'ERROR') / count(*) > 0.2 AS INTEGER) AS label FROM records GROUP BY 1), "
+    "sm AS (SELECT * FROM lb WHERE sample_id IN (SELECT sample_id FROM profiled)), ts AS (SELECT label, "
+    f"{_N_TEST} AS held, count(*) AS n FROM sm GROUP BY 1)"
+)
+
+
+def labelled_samples(spark, sf):
+    """(table, feature names): the feature matrix with label 1 where errors are more than a fifth of a sample's lines."""
+    wide, names = fp.sample_matrix(spark, sf)
+    labelled = wide.withColumn("label", (F.col("log_error_share") > 0.2).cast("int"))
+    scaled = ft.feature_matrix([ft.standardize(labelled.select("sample_id", *names), names)])
+    rows = labelled.select(F.col("sample_id").cast("long").alias("id"), "sample_id", "label").join(scaled, "sample_id")
+    return materialize(md.stratified_split(rows, "label", "id").select("id", "label", "is_test", "features"), "labelled-samples"), names
+
+
+def held_properties(held):
+    """What must hold for any sound model: as many rows as the split holds out, known labels, and a better F1 than always saying the larger class."""
+    scores = ev.weighted_f1(held).first()[0]
+    majority = held.groupBy("label").count().orderBy(F.desc("count"), "label").first().label
+    floor = ev.weighted_f1(held.withColumn("prediction", F.lit(majority))).first()[0]
+    return held.agg(F.count("*").alias("rows"), F.every(F.col("prediction").isin(0, 1)).alias("known_labels")).withColumn("beats_majority", F.lit(bool(scores > floor)))
+
+
+_HELD = W("records profiled", f"WITH {_LABELLED} SELECT CAST(sum(held) AS BIGINT) AS rows, true AS known_labels, true AS beats_majority FROM ts")
+
+
+def on_samples(spark, sf, make):
+    frame, names = labelled_samples(spark, sf)
+    fitted = make(len(names), frame).fit(frame.where("NOT is_test"))
+    return held_properties(md.predict(fitted, frame.where("is_test"), ["id"]))
+
+
+@query("X4_forest_on_samples", _HELD)
+def forest_on_samples(spark, sf):
+    return on_samples(spark, sf, lambda dims, frame: md.random_forest())
+
+
+@query("X5_boosting_on_samples", _HELD)
+def boosting_on_samples(spark, sf):
+    return on_samples(spark, sf, lambda dims, frame: md.gradient_boosting())
+
+
+@query("X6_regression_on_samples", _HELD)
+def regression_on_samples(spark, sf):
+    return on_samples(spark, sf, lambda dims, frame: md.logistic_regression(rows=frame.count()))
+
+
+@query("X7_neighbours_on_samples", _HELD)
+def neighbours_on_samples(spark, sf):
+    frame, _ = labelled_samples(spark, sf)
+    return held_properties(nearest_label(frame.where("is_test"), frame.where("NOT is_test")))
+
+
+def nearest_label(held, train):
+    """(id, label, prediction) by the five nearest training rows."""
+    listed = lambda rows: rows.withColumn("features", vector_to_array("features"))
+    found = nb.knn_classify(listed(held), listed(train), 5)
+    return held.select("id", "label").join(found, "id")
+
+
+@query("X8_perceptron_on_samples", _HELD)
+def perceptron_on_samples(spark, sf):
+    return on_samples(spark, sf, lambda dims, frame: md.perceptron(dims, 2))
+
+
+@query("X5_boosting_multiclass")
+def boosting_multiclass(spark, sf):
+    """One booster per class on the layer of a sample."""
+    frame = sample_frame(spark, sf).where("is_anomaly = 1").select(F.col("sample_id").alias("id"), F.col("severity_index").cast("int").alias("label"), "is_test", "features")
+    return fit_and_report(frame, md.gradient_boosting(rounds=20, classes=3), False)
+
+
+def five_models(dims, rows):
+    """The models that are compared; the nearest-neighbour rule is a join and has its own path."""
+    return md.detectors(dims, 2, rows)
+
+
+@query("X10_five_models", W("records profiled", "SELECT m AS model, true AS better_than_chance, CAST(5 AS BIGINT) AS folds FROM (SELECT unnest(['gradient_boosting', 'k_nearest', 'logistic_regression', 'perceptron', 'random_forest']) AS m), (SELECT count(*) FROM records)"))
+def five_model_validation(spark, sf):
+    """Mean and deviation of F1 over five folds for all five models, stated as what must hold for them."""
+    return model_scores(spark, sf).select("model", (F.col("mean_f1") > 0.5).alias("better_than_chance"), "folds")
+
+
+@query("X10_five_model_scores")
+def five_model_scores(spark, sf):
+    return rounded(model_scores(spark, sf).select("model", "mean_f1", "std_f1"), "mean_f1", "std_f1")
+
+
+def model_scores(spark, sf):
+    frame, names = labelled_samples(spark, sf)
+    folds = md.stratified_folds(frame.drop("is_test"), "label", "id")
+    folds = materialize(folds, "folds")
+    scores = None
+    for name, estimator in five_models(len(names), folds.count()).items():
+        one = md.cross_validate(estimator, folds, 5, "id").withColumn("model", F.lit(name))
+        scores = one if scores is None else scores.unionByName(one)
+    for f in range(5):
+        held = nearest_label(folds.where(F.col("fold") == f), folds.where(F.col("fold") != f))
+        one = ev.binary_metrics(held).select("f1", F.lit(f).alias("fold"), F.lit("k_nearest").alias("model"))
+        scores = scores.unionByName(one)
+    summary = scores.groupBy("model").agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"), F.count("*").alias("folds"))
+    return materialize(summary, "model-scores")
+
+
 @query("G4_model_dictionary")
 def model_dictionary(spark, sf):
-    frame = split_vectors(spark, sf, True)
-    models = {"logistic_regression": md.logistic_regression(rows=frame.count()), "random_forest": md.random_forest(20, 5)}
-    return rounded(ev.binary_metrics(md.evaluate_each(models, frame, "id"), ["model"]), "precision", "recall", "f1", "accuracy")
+    """Every model of the dictionary on the same split."""
+    frame, names = labelled_samples(spark, sf)
+    held = md.evaluate_each(five_models(len(names), frame.count()), frame, "id")
+    return rounded(ev.binary_metrics(held, ["model"]), "precision", "recall", "f1", "accuracy")
+
+
+TARGETS = ("layer", "root_cause_category", "severity", "scenario_id")
 
 
 def sample_frame(spark, sf):
-    m = v.manifest(spark, sf).join(
-        v.table(spark, sf, "customer").select(F.concat(F.lit("S"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("sample_id"), "c_acctbal", "c_nationkey"),
-        "sample_id",
-    )
-    for target in ("layer", "root_cause_category", "severity", "scenario_id"):
+    """Samples of the manifest with the feature matrix of the user of the same number."""
+    matrix, names = fp.sample_matrix(spark, sf)
+    m = v.manifest(spark, sf)
+    for target in TARGETS:
         m, _ = ft.encode_labels(m, target, f"{target}_index")
-    wide = m.withColumn("features", F.array(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), F.length("scenario_name").cast("double")))
-    return materialize(md.stratified_split(wide, "is_anomaly", "sample_id").withColumn("features", md.to_vector("features")), "samples")
+    wide = ft.feature_matrix([matrix]).withColumnRenamed("sample_id", "number")
+    joined = m.withColumn("number", F.expr("cast(cast(substring(sample_id, 2) as bigint) as string)")).join(wide, "number")
+    return materialize(md.stratified_split(joined, "is_anomaly", "sample_id"), "samples")
 
 
 @query("X11_four_targets")
 def four_targets(spark, sf):
-    targets = [f"{t}_index" for t in ("layer", "root_cause_category", "severity", "scenario_id")]
-    held = md.train_targets(lambda: md.random_forest(30, 10), sample_frame(spark, sf), targets, "sample_id")
-    return held.groupBy("target").agg(F.count("*").alias("rows"), r6(F.avg((F.col("label") == F.col("prediction")).cast("double"))).alias("accuracy"))
+    """Accuracy and weighted F1 per target, with the whole matrix and full-size forests."""
+    held = materialize(md.train_targets(md.random_forest, sample_frame(spark, sf), [f"{t}_index" for t in TARGETS], "sample_id"), "target-predictions")
+    accuracy = held.groupBy("target").agg(F.count("*").alias("rows"), r6(F.avg((F.col("label") == F.col("prediction")).cast("double"))).alias("accuracy"))
+    f1 = None
+    for t in TARGETS:
+        one = ev.weighted_f1(held.where(F.col("target") == f"{t}_index")).select(F.lit(f"{t}_index").alias("target"), r6("weighted_f1").alias("weighted_f1"))
+        f1 = one if f1 is None else f1.unionByName(one)
+    return accuracy.join(f1, "target")
 
 
 def importance_table(spark, sf):
-    model = md.random_forest(50, 8).fit(split_vectors(spark, sf).where("NOT is_test"))
-    names = [("log_" if i % 3 == 0 else "tfidf_" if i % 3 == 1 else "metric_") + str(i) for i in range(DIMS)]
-    return md.importances(model, names, spark)
+    frame, names = labelled_samples(spark, sf)
+    return md.importances(md.random_forest().fit(frame.where("NOT is_test")), names, spark)
 
 
 @query("X18_feature_importance")

@@ -63,6 +63,16 @@ def change_types(spark, sf):
     return out.where("change_type <> 'none'").groupBy("change_type").agg(F.count_distinct("cluster_id").alias("clusters"))
 
 
+@query(
+    "D4_word_changes",
+    "SELECT change_type, count(DISTINCT event_type = 'click') AS clusters FROM events, (VALUES ('cluster_created'), ('cluster_template_changed')) AS c(change_type) GROUP BY 1",
+)
+def word_changes(spark, sf):
+    """Messages whose variable parts are words: each cluster is created once and then changes its template."""
+    out = jobs.run_to_table(mine_stream(v.worded(event_stream(spark, sf)).select("content")), "d4-words")
+    return out.where("change_type <> 'none'").groupBy("change_type").agg(F.count_distinct("cluster_id").alias("clusters"))
+
+
 @query(
     "Y4_stream_sessions",
     "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 minutes THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "

@@ -205,7 +205,7 @@ def batch_evaluation(spark, sf):
 
 @query(
     "W11_error_evidence",
-    W("records", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS r FROM records), h AS (SELECT *, min(CASE WHEN level IN ('ERROR','FATAL','CRITICAL') THEN r END) OVER (PARTITION BY session_id) AS f FROM n WHERE r <= 50), "
+    W("records", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS r FROM records), h AS (SELECT *, min(CASE WHEN level IN ('ERROR','FATAL','CRITICAL') THEN r END) OVER (PARTITION BY session_id) AS f FROM n), "
       "g AS (SELECT session_id, f, component, min(r) AS r0, max(CASE WHEN r = f THEN content END) AS txt FROM h WHERE r >= f GROUP BY 1, 2, 3) "
       "SELECT session_id, CAST(f AS INTEGER) AS first_pos, max(txt) AS first_error, string_agg(component, '>' ORDER BY r0) AS propagation FROM g GROUP BY 1, 2"),
 )
@@ -245,7 +245,7 @@ _IDS_SQL = "[" + ", ".join(f"'{i}'" for i in v.SCENARIO_IDS) + "]"
 
 @query(
     "R11_fused_incidents",
-    W("records profiled catalogue", f"WITH {fq._ALIGN}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS r FROM records), fe AS (SELECT regexp_extract(session_id, '([0-9]+)', 1) AS incident_id, min(r) AS first_pos, arg_min(content, r) AS cause FROM n WHERE r <= 50 AND level = 'ERROR' GROUP BY 1), "
+    W("records profiled catalogue", f"WITH {fq._ALIGN}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS r FROM records), fe AS (SELECT regexp_extract(session_id, '([0-9]+)', 1) AS incident_id, min(r) AS first_pos, arg_min(content, r) AS cause FROM n WHERE level IN ('ERROR','FATAL','CRITICAL') GROUP BY 1), "
       "pk AS (SELECT sample_id AS incident_id, least(max(abs(z)) / 100, 1.0) AS score FROM profiled GROUP BY 1), tm AS (SELECT CAST(user_id AS VARCHAR) AS incident_id, ts, metric_ts, delta_s FROM al QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY coalesce(delta_s, 1e12), event_id) = 1) "
       "SELECT incident_id, cause AS final_root_cause, round((1.0 / first_pos + score) / 2, 6) AS combined_confidence, strftime(ts, '%H:%M:%S') AS log_error_time, strftime(metric_ts, '%H:%M:%S') AS metric_anomaly_time, "
       "CASE WHEN delta_s IS NOT NULL THEN CASE WHEN delta_s <= 60 THEN 'strong' WHEN delta_s <= 300 THEN 'moderate' ELSE 'weak' END || ' (' || CAST(round(delta_s) AS BIGINT) || 's delta)' END AS temporal_alignment, upper(severity) AS severity, action1 || '|' || action2 AS remediation "

@@ -27,6 +27,17 @@ def _ev(spark: SparkSession, sf: str) -> DataFrame:
     return render_events(table(spark, sf, "events"))
 
 
+WORDS = ("alpha", "beta", "gamma", "delta", "omega")
+
+
+def worded(ev: DataFrame) -> DataFrame:
+    """Two kinds of messages per event whose variable parts are words without digits."""
+    word = F.get(F.array(*[F.lit(w) for w in WORDS]), (F.abs("user_id") % len(WORDS)).cast("int"))
+    moved = F.concat(F.lit("user "), word, F.lit(" left the "), F.col("event_type"), F.lit(" queue today"))
+    host = F.concat(F.lit("host "), word, F.lit(" is now reachable"))
+    return ev.select(F.col("event_id").alias("line_no"), F.when(F.col("event_type") == "click", host).otherwise(moved).alias("content"))
+
+
 def render_events(ev: DataFrame) -> DataFrame:
     """Events with their log message, level, block and event number."""
     return ev.withColumns(

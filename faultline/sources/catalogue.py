@@ -24,7 +24,7 @@ def profiles(spark: SparkSession) -> DataFrame:
 
 def with_profile(df: DataFrame, table: DataFrame, default: tuple = values.DEFAULT_PROFILE) -> DataFrame:
     """Add mean/std/min/max of each row's metric; unknown metrics get the default profile."""
-    dim = F.broadcast(table.select("metric", *[F.col(c).alias(f"p_{c}") for c in ("mean", "std", "min", "max")]))
+    dim = table.select("metric", *[F.col(c).alias(f"p_{c}") for c in ("mean", "std", "min", "max")])
     joined = df.join(dim, "metric", "left")
     for c, d in zip(("mean", "std", "min", "max"), default):
         joined = joined.withColumn(f"p_{c}", F.coalesce(f"p_{c}", F.lit(float(d))))
@@ -36,9 +36,10 @@ def layers(spark: SparkSession) -> DataFrame:
 
 
 def scenarios(spark: SparkSession) -> DataFrame:
-    """The built-in scenarios (22 rows)."""
+    """The built-in scenarios (22 rows); a description names the scenario, its layer and its cause."""
+    names = {key: name for key, name, _ in values.LAYERS}
     rows = [
-        (i, la, n, None, rc, cat, sev, typ, list(det), list(rem), None)
+        (i, la, n, f"{n} on {names[la]}: {rc}.", rc, cat, sev, typ, list(det), list(rem), {m: tuple(e) for m, *e in values.EFFECTS[i]})
         for i, la, n, rc, cat, sev, typ, det, rem in values.SCENARIOS
     ]
     return spark.createDataFrame(rows, SCENARIO_SCHEMA)
@@ -91,12 +92,8 @@ def remediation_for(df: DataFrame, catalogue: DataFrame, scenario: str = "scenar
         return F.coalesce(F.col(f"c_{c}"), unknown)
 
     facts = ("name", "layer", "root_cause", "severity")
-    dim = F.broadcast(
-        catalogue.select(
-            F.col("scenario_id").alias(scenario),
-            *[F.col(c).alias(f"c_{c}") for c in facts],
-            F.col("remediation").alias("c_actions"),
-        )
+    dim = catalogue.select(
+        F.col("scenario_id").alias(scenario), *[F.col(c).alias(f"c_{c}") for c in facts], F.col("remediation").alias("c_actions")
     )
     return df.join(dim, scenario, "left").select(
         *df.columns,

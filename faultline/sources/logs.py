@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.session import materialize
+from faultline.session import scratch_path
 
-MAX_BROADCAST_SPLITS = 500_000
+SPLIT_BYTES = 128 << 20
 LINE_SCHEMA = "dataset string, file string, line_no bigint, value string"
 TEMPLATE_SCHEMA = T.StructType(
     [
@@ -41,11 +41,16 @@ def read_log_lines(
     """Lines with their 1-based number in file order; bad bytes become U+FFFD.
 
     Numbers come from a prefix sum over per-split line counts, taken in a first pass and kept in the
-    shared folder: one row per file split. Up to MAX_BROADCAST_SPLITS of them are broadcast (a count is
-    taken first), so the lines are neither sorted nor shuffled; beyond that it is a plain join. ``number_by="dataset"`` numbers through all files in path
-    order, for logs stored in parts. ``with_header`` adds the first line of each line's file.
+    shared folder: one row per file split, small enough to be broadcast by size unless there are very many.
+    Both passes read through a session of their own that cuts files every SPLIT_BYTES, whatever the number
+    of cores at the time; a line that still finds no count, or lies outside its split's count, is an error
+    and never lost. ``number_by="dataset"`` numbers through all files in path order, for logs stored in
+    parts. ``with_header`` adds the first line of each line's file.
     """
-    raw = spark.read.options(encoding=encoding, **options).text(paths)
+    reader = spark.newSession()
+    for name, value in (("minPartitionNum", 1), ("maxPartitionBytes", SPLIT_BYTES), ("openCostInBytes", 4 << 20)):
+        reader.conf.set(f"spark.sql.files.{name}", str(value))
+    raw = reader.read.options(encoding=encoding, **options).text(paths)
     lines = raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -59,16 +64,20 @@ def read_log_lines(
     in_file = Window.partitionBy("path").orderBy("start")
     order = Window.orderBy("path", "start") if number_by == "dataset" else in_file
     header = [F.first("top").over(in_file).alias("header")] if with_header else []
-    offsets = splits.select("path", "start", "first", (F.sum("n").over(order) - F.col("n")).alias("before"), *header)
-    offsets = materialize(offsets, "splits")
-    if offsets.count() <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
-    numbered = lines.join(offsets, ["path", "start"]).select(
+    offsets = splits.select("path", "start", "n", "first", (F.sum("n").over(order) - F.col("n")).alias("before"), *header)
+    path = scratch_path(spark, "splits")
+    offsets.write.parquet(path)
+    offsets = spark.read.schema(offsets.schema).parquet(path).withColumnsRenamed({"path": "_path", "start": "_start"})
+    here = (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start"))
+    inside = F.col("row") - F.col("first")
+    changed = F.raise_error(F.concat(F.lit("the splits of this file have changed since they were counted: "), F.col("path")))
+    counted = F.coalesce((inside >= 0) & (inside < F.col("n")), F.lit(False))
+    numbered = offsets.join(lines, here, "right").select(
         F.lit(dataset).cast("string").alias("dataset"),
         F.element_at(F.split("path", "/"), -1).alias("file"),
         *(["path"] if keep_path else []),
         *(["header"] if with_header else []),
-        (F.col("row") - F.col("first") + F.col("before") + 1).alias("line_no"),
+        F.when(counted, inside + F.col("before") + 1).otherwise(changed.cast("long")).alias("line_no"),
         "value",
     )
     return numbered if max_lines is None else numbered.where(F.col("line_no") <= max_lines)
@@ -88,7 +97,7 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 def dataset_paths(spark: SparkSession, root: str, key: str, kind: str = "log") -> list[str]:
     """Paths of a dataset's files: its own folder first, then the flat folder, then ``preprocessed``.
 
-    The list is bounded by the registry (a handful of names), never by the data.
+    A log may be a file or a folder of part files of that name. The list has one entry per part file.
     """
     name, logs, labels = DATASETS[key]
     wanted = logs if kind == "log" else labels
@@ -96,15 +105,18 @@ def dataset_paths(spark: SparkSession, root: str, key: str, kind: str = "log") -
         return []
     folders = [f"{root}/{name}", root, f"{root}/preprocessed"]
     try:
-        found = [r.path for r in list_files(spark, root, "{" + ",".join(wanted) + "}").select("path").collect()]
+        found = [r.path for r in list_files(spark, root, "{part-*," + ",".join(wanted) + "}").select("path").collect()]
     except AnalysisException:
         return []
     strip = lambda p: "/" + p.split(":", 1)[-1].lstrip("/")
     known = {strip(p): p for p in found}
     picked = []
     for file in wanted:
-        hits = [known[strip(f"{folder}/{file}")] for folder in folders if strip(f"{folder}/{file}") in known]
-        picked += hits[:1]
+        for place in (strip(f"{folder}/{file}") for folder in folders):
+            parts = sorted(p for s, p in known.items() if s == place or s.startswith(f"{place}/part-"))
+            if parts:
+                picked += parts
+                break
     return picked
 
 
@@ -113,7 +125,8 @@ def read_dataset(spark: SparkSession, root: str, key: str, max_lines: int | None
     paths = dataset_paths(spark, root, key)
     if not paths:
         return spark.createDataFrame([], LINE_SCHEMA)
-    return read_log_lines(spark, paths, max_lines, dataset=key)
+    parts = any("/part-" in p for p in paths)
+    return read_log_lines(spark, paths, max_lines, dataset=key, number_by="dataset" if parts else "file")
 
 
 def file_inventory(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:

@@ -37,6 +37,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).csv(path, header=True, quote='"', escape='"')
 
 
+def csv_cells(line: Column) -> Column:
+    """Cells of one CSV line; commas and doubled quotes inside quotes belong to their cell."""
+    outside = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    bare = lambda c: F.when(c.rlike(r'(?s)^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.when(F.contains(line, F.lit('"')), F.transform(F.split(line, outside), bare)).otherwise(F.split(line, ","))
+
+
 def read_metric_series(spark: SparkSession, path: str | list[str], key: str = "name", **options: str) -> DataFrame:
     """Long form (sample_id, idx, ts, metric, value); the columns may differ from file to file.
 
@@ -45,7 +52,7 @@ def read_metric_series(spark: SparkSession, path: str | list[str], key: str = "n
     lines = read_log_lines(spark, path, keep_path=True, with_header=True, **options).where("line_no > 1")
     cells = lines.select(
         sample_id_of("path", key).alias("sample_id"), (F.col("line_no") - 2).cast("int").alias("idx"),
-        F.split("value", ",").alias("cells"), F.split("header", ",").alias("names"),
+        csv_cells(F.col("value")).alias("cells"), csv_cells(F.col("header")).alias("names"),
     )
     long = cells.select(
         "sample_id", "idx", F.col("cells")[0].try_cast("timestamp_ntz").alias("ts"), F.posexplode("names").alias("slot", "metric"), "cells"

@@ -131,6 +131,32 @@ SCENARIOS = (
      ("Check disk health", "Backup data and send alerts")),
 )
 
+# What a scenario does to metrics: metric, kind of change, range, pattern.
+EFFECTS = {
+    "CDN_001": (("request_count", "multiplier", 3.0, 10.0, "sudden_spike"), ("traffic_mbps", "multiplier", 2.5, 8.0, "sudden_spike"), ("error_rate", "additive", 0.05, 0.25, "gradual_rise")),
+    "CDN_002": (("response_time_ms", "multiplier", 2.0, 5.0, "gradual_rise"), ("cache_hit_ratio", "multiplier", 0.3, 0.6, "gradual_drop"), ("error_rate", "additive", 0.02, 0.1, "gradual_rise")),
+    "FW_001": (("blocked_connections", "multiplier", 3.0, 15.0, "sudden_spike"), ("connection_attempts", "multiplier", 2.0, 8.0, "sudden_spike")),
+    "FW_002": (("bandwidth_mbps", "multiplier", 2.5, 6.0, "sustained_high"), ("connection_attempts", "multiplier", 1.5, 4.0, "gradual_rise")),
+    "PRX_001": (("error_rate", "additive", 0.05, 0.3, "gradual_rise"), ("load_average", "multiplier", 1.5, 3.0, "gradual_rise"), ("connection_count", "multiplier", 2.0, 5.0, "sustained_high")),
+    "PRX_002": (("response_time_ms", "multiplier", 2.0, 6.0, "gradual_rise"), ("request_rate", "multiplier", 1.5, 3.0, "sustained_high")),
+    "K8I_001": (("error_rate", "additive", 0.05, 0.25, "sudden_spike"), ("connection_health_pct", "multiplier", 0.4, 0.7, "gradual_drop"), ("lb_utilization_pct", "additive", 15.0, 40.0, "sustained_high")),
+    "K8I_002": (("lb_utilization_pct", "additive", 20.0, 45.0, "oscillation"), ("request_rate", "multiplier", 1.2, 2.5, "oscillation")),
+    "K8D_001": (("restart_count", "additive", 3.0, 15.0, "step_increase"), ("cpu_usage_pct", "additive", 15.0, 35.0, "gradual_rise"), ("pod_healthy_pct", "multiplier", 0.5, 0.8, "gradual_drop")),
+    "K8D_002": (("cpu_usage_pct", "additive", 20.0, 40.0, "sustained_high"), ("memory_usage_pct", "additive", 10.0, 30.0, "gradual_rise")),
+    "APP_001": (("response_time_ms", "multiplier", 2.0, 5.0, "gradual_rise"), ("error_rate", "additive", 0.02, 0.1, "gradual_rise"), ("transaction_count", "multiplier", 0.5, 0.8, "gradual_drop")),
+    "APP_002": (("error_rate", "additive", 0.1, 0.4, "sudden_spike"), ("qps", "multiplier", 0.3, 0.6, "sudden_drop"), ("availability_pct", "multiplier", 0.7, 0.9, "gradual_drop")),
+    "DB_001": (("slow_query_count", "multiplier", 3.0, 10.0, "gradual_rise"), ("disk_io_mbps", "multiplier", 1.5, 3.0, "sustained_high"), ("query_response_ms", "multiplier", 2.0, 6.0, "gradual_rise")),
+    "DB_002": (("connection_count", "multiplier", 3.0, 8.0, "sudden_spike"), ("active_sessions", "multiplier", 2.5, 6.0, "sudden_spike"), ("query_response_ms", "multiplier", 1.5, 4.0, "gradual_rise")),
+    "STR_001": (("disk_usage_pct", "additive", 15.0, 30.0, "gradual_rise"), ("iops", "multiplier", 1.5, 3.0, "sustained_high"), ("latency_ms", "multiplier", 1.3, 2.5, "gradual_rise")),
+    "STR_002": (("latency_ms", "multiplier", 3.0, 8.0, "sudden_spike"), ("iops", "multiplier", 0.3, 0.6, "sudden_drop"), ("disk_error_count", "additive", 5.0, 20.0, "step_increase")),
+    "NET_001": (("packet_loss_pct", "additive", 2.0, 15.0, "sudden_spike"), ("connection_errors", "multiplier", 3.0, 10.0, "sudden_spike"), ("network_in_mbps", "multiplier", 0.4, 0.7, "gradual_drop")),
+    "NET_002": (("latency_ms", "multiplier", 2.0, 5.0, "sustained_high"), ("network_out_mbps", "multiplier", 0.5, 0.8, "gradual_drop"), ("connection_errors", "additive", 5.0, 25.0, "gradual_rise")),
+    "VM_001": (("cpu_usage_pct", "additive", 25.0, 45.0, "sustained_high"), ("load_average", "multiplier", 2.0, 5.0, "sustained_high"), ("process_count", "additive", 50.0, 200.0, "gradual_rise")),
+    "VM_002": (("memory_usage_pct", "additive", 20.0, 40.0, "gradual_rise"), ("disk_io_mbps", "multiplier", 1.5, 3.0, "gradual_rise"), ("load_average", "multiplier", 1.5, 3.0, "gradual_rise")),
+    "HOST_001": (("temperature_c", "additive", 10.0, 25.0, "gradual_rise"), ("fan_speed_rpm", "multiplier", 1.3, 1.8, "gradual_rise"), ("cpu_usage_pct", "additive", 15.0, 35.0, "sustained_high")),
+    "HOST_002": (("disk_usage_pct", "additive", 5.0, 15.0, "step_increase"), ("temperature_c", "additive", 3.0, 8.0, "gradual_rise")),
+}
+
 # Built-in prompts in our own words; placeholders and the doubled braces are part of the format.
 PROMPTS = {
     "anomaly_classification": (

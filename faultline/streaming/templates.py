@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from faultline.operators.templates import WILD, masked, tokens
+from faultline.operators.templates import LeafClusters, masked, tokens
 
 OUTPUT = "leaf string, cluster_id string, template string, change_type string, n bigint"
 
@@ -24,7 +24,7 @@ def combine(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "leaf string, shape string, n bigint")
 
 
-class LeafClusters(StatefulProcessor):
+class LeafState(StatefulProcessor):
     """Clusters of one leaf. State is one row per cluster: its template."""
 
     def __init__(self, threshold: float = 0.4):
@@ -34,35 +34,19 @@ class LeafClusters(StatefulProcessor):
         self._clusters = handle.getListState("clusters", "template string")
 
     def handleInputRows(self, key, rows, timerValues):
-        leaf = key[0]
-        known = [r[0].split(" ") for r in self._clusters.get()]
-        size = len(known)
+        name = key[0]
+        leaf = LeafClusters(int(name.partition("|")[0]), self.threshold)
+        for stored in self._clusters.get():
+            leaf.restore(stored[0].split(" "))
         changed: dict[tuple[int, str], int] = Counter()
         for pdf in rows:
             for shape, n in zip(pdf["shape"], pdf["n"]):
-                where, change = self._place(known, shape.split(" "))
-                changed[(where, change)] += int(n)
-        if len(known) != size or any(c != "none" for _, c in changed):
-            self._clusters.put([(" ".join(t),) for t in known])
-        out = [(leaf, f"{leaf}#{w}", " ".join(known[w]), c, n) for (w, c), n in changed.items()]
+                changed[leaf.add(shape.split(" "))] += int(n)
+        if any(c != "none" for _, c in changed):
+            self._clusters.put([(leaf.template(c),) for c in range(leaf.count)])
+        out = [(name, f"{name}#{w}", leaf.template(w), c, n) for (w, c), n in changed.items()]
         yield pd.DataFrame(out, columns=["leaf", "cluster_id", "template", "change_type", "n"])
 
-    def _place(self, known: list[list[str]], parts: list[str]) -> tuple[int, str]:
-        best, score = -1, -1.0
-        for i, t in enumerate(known):
-            same = sum(a == b and a != WILD for a, b in zip(t, parts)) / max(len(parts), 1)
-            if t == parts:
-                return i, "none"
-            if same > score:
-                best, score = i, same
-        if best >= 0 and score >= self.threshold:
-            merged = [a if a == b else WILD for a, b in zip(known[best], parts)]
-            change = "none" if merged == known[best] else "cluster_template_changed"
-            known[best] = merged
-            return best, change
-        known.append(parts)
-        return len(known) - 1, "cluster_created"
-
     def close(self) -> None:
         pass
 
@@ -79,5 +63,5 @@ def mine_stream(messages: DataFrame, content: str = "content", threshold: float
         F.lit(1).cast("long").alias("n"),
     )
     return combine(keyed).groupBy("leaf").transformWithStateInPandas(
-        statefulProcessor=LeafClusters(threshold), outputStructType=OUTPUT, outputMode="append", timeMode="none"
+        statefulProcessor=LeafState(threshold), outputStructType=OUTPUT, outputMode="append", timeMode="none"
     )

@@ -119,3 +119,35 @@ def test_histogram_of_a_constant_and_its_closed_end(spark):
     assert got == {1: 2, 2: 2, 3: 2, 4: 2, 5: 3}
     flat = pf.histogram(spark.createDataFrame([(3.0,)] * 4, "x double"), "x", 5).collect()
     assert [(r.bin, r.n) for r in flat] == [(3, 4)]
+
+
+def test_lines_survive_another_split_plan(spark, tmp_path, monkeypatch):
+    """The number of cores may change between counting and reading; no line is lost."""
+    monkeypatch.setattr(lg, "SPLIT_BYTES", 4096)
+    text = "".join(f"line {i} {'x' * (i % 50)}\n" for i in range(3000))
+    (tmp_path / "a.log").write_text(text)
+    df = lg.read_log_lines(spark, str(tmp_path / "a.log"))
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "17")
+    try:
+        got = {r.line_no: r.value for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert got == dict(enumerate(text.splitlines(), 1))
+
+
+def test_dataset_kept_as_part_files(spark, tmp_path):
+    folder = tmp_path / "BGL" / "BGL.log"
+    folder.mkdir(parents=True)
+    for i in range(3):
+        (folder / f"part-0000{i}").write_text(f"p{i}a\np{i}b\n")
+    (folder / "_SUCCESS").write_text("")
+    got = sorted((r.line_no, r.value) for r in lg.read_dataset(spark, str(tmp_path), "bgl").collect())
+    assert [v for _, v in got] == ["p0a", "p0b", "p1a", "p1b", "p2a", "p2b"] and [n for n, _ in got] == list(range(1, 7))
+
+
+def test_quoted_csv_cells(spark):
+    from faultline.sources.samples import csv_cells
+
+    df = spark.createDataFrame([("a,b,,c",), ('1,"x,y","say ""hi""",2',), ("",)], "line string")
+    got = [r[0] for r in df.select(csv_cells(F.col("line"))).collect()]
+    assert got == [["a", "b", "", "c"], ["1", "x,y", 'say "hi"', "2"], [""]]

@@ -73,3 +73,19 @@ def test_sample_is_the_same_with_and_without_the_bound(spark):
     got = {r.id for r in smallest_hashes(df, "id", 100).collect()}
     want = {r.id for r in df.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(100).collect()}
     assert got == want
+
+
+def test_sample_of_repeated_keys_is_whole(spark):
+    from faultline.functions.ordered import smallest_hashes
+
+    df = spark.range(50_000).select((F.col("id") % 5).alias("id"))
+    assert smallest_hashes(df, "id", 400).count() == 400 and smallest_hashes(df.limit(3), "id", 400).count() == 3
+
+
+def test_null_keys_are_a_group(spark):
+    from faultline.operators import profile as pf
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0)], "k string, x double")
+    got = {r.k: (r.q0, r.q50, r.q100) for r in pf.five_numbers(df, "x", ["k"]).collect()}
+    assert got == {"a": (1.0, 2.0, 3.0), None: (5.0, 6.0, 7.0)}
+    assert {r.k for r in pf.histogram(df, "x", 2, ("k",)).collect()} == {"a", None}

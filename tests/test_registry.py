@@ -11,7 +11,8 @@ from tests.oracle_check import TABLES, compare
 
 FAST = ("P1_parse_hdfs", "A4_dataset_comparison", "A19_five_numbers", "F1_sessions_in_segments", "F4_tfidf", "F5_padded_sequences",
         "J8_time_alignment", "R6_answer_json", "R7_parse_documents", "R11_fused_incidents", "S1_numbered_lines", "S8_metric_series",
-        "X14_classification_report", "X16_roc_auc", "P18_display_name")
+        "X14_classification_report", "X16_roc_auc", "P18_display_name", "D1_word_variants", "W11_error_evidence", "F11_feature_cells", "S2_dataset_lines", "S11_read_scenarios",
+        "S12_read_prompts", "S13_node_table")
 JVM_ONLY = ("P1_parse_hdfs", "F1_sessions", "F3_count_matrix", "F4_tfidf", "F5_padded_sequences", "J8_time_alignment", "R1_session_text",
             "R6_answer_json", "D3_match_catalogue", "X16_roc_curve")
 

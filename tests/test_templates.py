@@ -28,15 +28,18 @@ def test_independent_of_partitioning(spark):
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
 
 
-def test_oversized_leaf_is_clustered_in_parts(spark, monkeypatch):
+def test_catalogue_does_not_depend_on_batch_size(spark):
     words = ["alpha", "beta", "gamma", "delta", "rho", "tau", "phi", "chi", "psi", "eta"]
     rows = [(i, f"job {words[i % 10]} done in {words[(i // 10) % 10]} at host{i}") for i in range(100)]
     df = spark.createDataFrame(rows, "line_no long, content string")
-    whole = tp.mine(df).catalogue
-    monkeypatch.setattr(tp, "LEAF_ROWS", 8)
-    parts = tp.mine(df).catalogue
-    assert sum(r["count"] for r in parts.collect()) == 100
-    assert {r.template for r in parts.collect()} == {r.template for r in whole.collect()}
+    found = []
+    for size in ("3", "40", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found.append(sorted(map(tuple, tp.mine(df).catalogue.collect())))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2] and sum(r[2] for r in found[0]) == 100 and len(found[0]) < 100
 
 
 def test_every_message_is_assigned(spark):

@@ -80,6 +80,12 @@ def test_error_evidence(records):
     assert r.first_pos == 3 and r.first_error == "mmmmm" and r.propagation == ["c1", "c0"]
 
 
+def test_late_error_is_evidence(spark):
+    rows = [("s", i, "ERROR" if i == 61 else "INFO", "disk" if i > 70 else "net", f"m{i}") for i in range(1, 90)] + [("calm", 1, "INFO", "x", "y")]
+    df = spark.createDataFrame(rows, "session_id string, line_no long, level string, component string, content string")
+    assert [tuple(r) for r in pr.error_evidence(df).collect()] == [("s", 61, "m61", ["net", "disk"])]
+
+
 def test_auc_agrees_with_mllib(spark):
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 

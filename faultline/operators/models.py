@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -96,12 +98,15 @@ def evaluate_each(models: dict[str, Estimator], df: DataFrame, key: str, label:
 
 def cross_validate(estimator: Estimator, df: DataFrame, folds: int, key: str, label: str = "label", binary: bool = True) -> DataFrame:
     """F1 of every fold (class 1, or weighted for several classes); ``df`` carries ``fold``."""
-    scores = []
-    for f in range(folds):
-        model = estimator.fit(df.where(F.col("fold") != f))
+
+    def score(f: int) -> DataFrame:
+        model = estimator.copy().fit(df.where(F.col("fold") != f))
         held = predict(model, df.where(F.col("fold") == f), [key], label)
         metric = binary_metrics(held).select(F.col("f1")) if binary else weighted_f1(held).withColumnRenamed("weighted_f1", "f1")
-        scores.append(metric.withColumn("fold", F.lit(f)))
+        return metric.withColumn("fold", F.lit(f))
+
+    with ThreadPoolExecutor(max_workers=folds) as pool:  # the folds' jobs fill the cluster together
+        scores = list(pool.map(score, range(folds)))
     out = scores[0]
     for other in scores[1:]:
         out = out.unionByName(other)

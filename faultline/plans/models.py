@@ -250,11 +250,6 @@ def five_model_validation(spark, sf):
     return model_scores(spark, sf).select("model", (F.col("mean_f1") > 0.5).alias("better_than_chance"), "folds")
 
 
-@query("X10_five_model_scores")
-def five_model_scores(spark, sf):
-    return rounded(model_scores(spark, sf).select("model", "mean_f1", "std_f1"), "mean_f1", "std_f1")
-
-
 def model_scores(spark, sf):
     frame, names = labelled_samples(spark, sf)
     folds = md.stratified_folds(frame.drop("is_test"), "label", "id")

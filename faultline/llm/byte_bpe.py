@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from faultline.llm.textbytes import repeat_ranges, text_slices
+from faultline.llm.textbytes import repeat_ranges, small_batches, text_slices
 
 CACHE_PIECES = 150_000
-SLICE = 1 << 20
+SLICE = 1 << 19
 NONE = np.int32(2**31 - 1)
 
 
@@ -198,8 +198,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             else:
                 column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found))
             yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in keep], column], names=[f.name for f in schema.fields])
+        vocabulary.forget()  # the worker may wait for other work with it
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -214,4 +215,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
             column = [vocabulary.decode(np.frombuffer(x, "<u4") if isinstance(x, bytes) else np.asarray(x or [], np.int64)) for x in rows]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], pa.array(column, pa.binary())], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

@@ -36,13 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.components import components
-from faultline.llm.textbytes import IS_WHITE, LOWER, hash_spans, mix, repeat_ranges, segment_sums, spans, text_slices
+from faultline.llm.textbytes import IS_WHITE, LOWER, hash_spans, mix, repeat_ranges, segment_sums, small_batches, spans, text_slices
 from faultline.session import materialize
 
 WORDS = 5
 LARGEST_SMALL = 12
 RANGE_TOKENS = 1_000_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 _KEEP = np.uint64((1 << 48) - 1)
 _PLACE = np.uint64(0xFFFF)
 _FACTORS = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -104,7 +104,7 @@ def describe(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
             yield pa.RecordBatch.from_arrays([part.column(key), pa.array(sizes.astype(np.int64)), names], names=[key, "n_shingles", "set_id"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_shingles long, set_id long")
+    return small_batches(df.select(key, text)).mapInArrow(run, f"{key} {kind}, n_shingles long, set_id long")
 
 
 def _bytes(values: np.ndarray, kind: str) -> bytes:
@@ -141,7 +141,7 @@ def _spread(df: DataFrame, text: str, width: int, bits: int) -> DataFrame:
                 "shingles": pa.array([None, *[_bytes(turned[cuts[u] : cuts[u + 1]], "<u8") for u in used]], pa.binary()),
             })
 
-    return df.select(text).mapInArrow(run, "part long, slice long, names binary, sizes binary, shingles binary")
+    return small_batches(df.select(text)).mapInArrow(run, "part long, slice long, names binary, sizes binary, shingles binary")
 
 
 _RETURNED = "slice long, names binary, sizes binary, shingles binary, often binary"

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from faultline.llm.textbytes import mix, segment_sums, spans, text_slices
+from faultline.llm.textbytes import mix, segment_sums, small_batches, spans, text_slices
 
 BUCKET_BITS = 16
 TRAIN_DOCS = 2_000
 PENALTY = 10.0
 CHUNK = 128
-SLICE = 2 << 20
+SLICE = 1 << 19
 UNKNOWN = "und"
 IMPOSSIBLE = np.float32(-1e6)
 NO_LETTER, OTHER_SCRIPT = 255, 0
@@ -147,7 +147,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             letters += np.bincount(label * scripts + words.scripts, weights=words.ends - words.starts, minlength=letters.size).reshape(letters.shape).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"totals": [totals.astype("<i8").tobytes()], "letters": [letters.astype("<i8").tobytes()]})
 
-    parts = sample.coalesce(16).mapInArrow(count, "totals binary, letters binary").collect()  # 16 rows of fixed size
+    parts = small_batches(sample).coalesce(16).mapInArrow(count, "totals binary, letters binary").collect()  # 16 rows of fixed size
     totals = sum(np.frombuffer(p.totals, "<i8").reshape(len(languages), size) for p in parts) + 0.1
     letters = sum(np.frombuffer(p.letters, "<i8").reshape(len(languages), scripts) for p in parts)
     weights = np.log(totals / totals.sum(axis=1, keepdims=True)).T
@@ -247,7 +247,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", penalty: float = P
                 columns.append(_span_column(words, labels, doc, names, n, schema["spans"].dataType))
             yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], *columns], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def _span_column(words: Words, labels: np.ndarray, doc: np.ndarray, names: list[str], n: int, _kind) -> pa.Array:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from faultline.llm.textbytes import LOWER, spans, text_slices
+from faultline.llm.textbytes import LOWER, small_batches, spans, text_slices
 
 TRAIN_DOCS = 40_000
 TRAIN_FINDINGS = 6_000
@@ -236,7 +236,7 @@ def train(df: DataFrame, text: str = "text", key: str = "doc_id", docs: int = TR
                     labels += [int(_overlaps(a, b, known))] * len(made)
             yield pa.RecordBatch.from_pydict({"window": pa.array(windows, pa.string()), "label": pa.array(labels, pa.int32())})
 
-    found = sample.mapInArrow(read, "window string, label int").distinct()
+    found = small_batches(sample).mapInArrow(read, "window string, label int").distinct()
     picked = [found.where(F.col("label") == y).orderBy(F.xxhash64("window"), "window").limit(findings) for y in (0, 1)]
     got = picked[0].unionByName(picked[1]).collect()  # bounded by findings
     got.sort()
@@ -279,7 +279,7 @@ def scan(df: DataFrame, network: Network | None, text: str = "text", redact: str
                 columns[text] = pc.coalesce(pa.array(hidden, values.type), values)
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(out, arrow)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def _hidden(value: str, found: list[dict], mark: str) -> str:

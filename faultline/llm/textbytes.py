@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 _RATIO = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -46,6 +48,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             start = stop
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; its session hands texts to Python in batches of at most ``BATCH_BYTES``.
+
+    Batches are counted in rows by default, and ten thousand long texts fit no worker.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of True that do not cross a document: starts, ends, and the offsets of runs per document."""
     if not len(inside):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from faultline.llm.textbytes import LOWER, hash_spans, mix, segment_sums, spans, text_slices
+from faultline.llm.textbytes import LOWER, hash_spans, mix, segment_sums, small_batches, spans, text_slices
 from faultline.session import materialize
 
 BUCKET_BITS = 20
@@ -153,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     chance = F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])
     picked = known.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < chance * 1_000_000)
     sample = materialize(docs.select(key, text).join(F.broadcast(picked), key).select(text, "y"), "toxicity-sample").coalesce(8)
+    small_batches(sample)
     size = 1 << BUCKET_BITS
 
     def count(batches):
@@ -222,7 +223,7 @@ def score(df: DataFrame, model: Model, text: str = "text", with_spans: bool = Tr
                 columns.append(_spans(s, z, value, data, docs))
             yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], *columns], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def _spans(s: Sentences, z: np.ndarray, value: np.ndarray, data: np.ndarray, docs: np.ndarray) -> pa.Array:

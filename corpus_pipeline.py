@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids per document as little-endian 32-bit integers, and whether they decode to the text."""
-    encoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), *BPE, packed=True), *BPE)
+    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), *BPE, packed=True, decoded="decoded")
     exact = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
     return encoded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 

@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from faultline.llm.textbytes import repeat_ranges, small_batches, text_slices
 
-CACHE_PIECES = 150_000
+CACHE_PIECES = 100_000
 SLICE = 1 << 19
 NONE = np.int32(2**31 - 1)
 
@@ -184,10 +184,15 @@ def load(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", packed: bool = False) -> DataFrame:
-    """Add the ids of each text: an array of int or, if ``packed``, little-endian unsigned 32-bit integers in one binary."""
-    keep = [f for f in df.schema.fields if f.name != ids]
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", packed: bool = False, decoded: str | None = None) -> DataFrame:
+    """Add the ids of each text: an array of int or, if ``packed``, little-endian unsigned 32-bit integers in one binary.
+
+    With ``decoded`` the bytes that the ids decode to are added too, in the same pass.
+    """
+    keep = [f for f in df.schema.fields if f.name not in (ids, decoded)]
     schema = StructType([*keep, StructField(ids, BinaryType() if packed else ArrayType(IntegerType(), False), False)])
+    if decoded is not None:
+        schema = schema.add(StructField(decoded, BinaryType(), False))
 
     def run(batches):
         vocabulary = load(path, pattern)
@@ -197,8 +202,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(found.astype("<u4"))])
             else:
                 column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found))
-            yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in keep], column], names=[f.name for f in schema.fields])
+            more = []
+            if decoded is not None:
+                more = [pa.array([vocabulary.decode(found[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in keep], column, *more], names=[f.name for f in schema.fields])
         vocabulary.forget()  # the worker may wait for other work with it
+        pa.default_memory_pool().release_unused()
 
     return small_batches(df).mapInArrow(run, schema)
 

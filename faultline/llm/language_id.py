@@ -246,6 +246,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", penalty: float = P
             if with_spans:
                 columns.append(_span_column(words, labels, doc, names, n, schema["spans"].dataType))
             yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], *columns], names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return small_batches(df).mapInArrow(run, schema)
 

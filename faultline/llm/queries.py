@@ -85,8 +85,7 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, *BPE, packed=True).drop("text")
-    return byte_bpe.decode(encoded, *BPE).select(
+    return byte_bpe.encode(docs, *BPE, packed=True, decoded="decoded").select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

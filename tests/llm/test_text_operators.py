@@ -250,6 +250,8 @@ def test_bpe_frames(spark, library):
         for r, (_, text) in zip(got, texts, strict=True):
             ids = np.frombuffer(r.ids, "<u4").tolist() if packed else r.ids
             assert ids == library.encode_ordinary(text or "") and bytes(r.decoded) == (text or "").encode()
+    both = sorted(byte_bpe.encode(df, *BPE, packed=True, decoded="decoded").collect(), key=lambda r: r.doc_id)
+    assert [(bytes(r.decoded), len(r.ids) // 4) for r in both] == [((t or "").encode(), len(library.encode_ordinary(t or ""))) for _, t in texts]
     assert byte_bpe.encode(df.limit(0), *BPE).count() == 0
 
 

@@ -70,7 +70,7 @@ def shingle_sets(data: np.ndarray, docs: np.ndarray, width: int = WORDS) -> tupl
     count = np.diff(offsets)
     words = hash_spans(low, starts, ends)
     rolled = np.zeros(len(words), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(words))):  # a slice may have fewer words than a shingle
         rolled[: len(words) - k] += words[k:] * _FACTORS[k]
     full = np.where(count >= width, count - width + 1, 0)
     hashes = [mix(rolled[repeat_ranges(offsets[:-1], full)])]

@@ -95,6 +95,23 @@ def test_jaccard_join_repeated_null_and_no_rows(spark):
     assert jaccard_join.join(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("words", range(7))
+def test_slices_of_few_words(words):
+    data = np.frombuffer(" ".join("abcdefg"[:words]).encode(), np.uint8)
+    packed, sizes = jaccard_join.shingle_sets(data, np.array([0, len(data)]))
+    assert sizes.tolist() == [len(shingles(data.tobytes().decode()))] and len(packed) == sizes[0]
+    beside = np.frombuffer(data.tobytes() + b" v w x y z", np.uint8)
+    both, _ = jaccard_join.shingle_sets(beside, np.array([0, len(data), len(beside)]))
+    assert (both[: len(packed)] == packed).all()  # the same as in a slice with more words
+
+
+def test_jaccard_join_of_short_documents_alone(spark):
+    """One document per partition, so that each is a slice of its own."""
+    docs = [(4, "two words"), (9, "now three words"), (2, "Two  WORDS"), (6, "now three words"), (8, "one"), (5, "and four words here")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, len(docs)), DOCS)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()} == plain_join(docs)
+
+
 def test_boundary_follows_cost():
     assert jaccard_join.boundary({6: (10, 1_000_000), 12: (10, 20)}) in range(6, 12)
     assert jaccard_join.boundary({}) == 0 and jaccard_join.boundary({10: (10**6, 1)}) < 10

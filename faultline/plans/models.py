@@ -234,9 +234,9 @@ def perceptron_on_samples(spark, sf):
 
 @query("X5_boosting_multiclass")
 def boosting_multiclass(spark, sf):
-    """One booster per class on the layer of a sample."""
+    """One booster per class on the severity of a sample."""
     frame = sample_frame(spark, sf).where("is_anomaly = 1").select(F.col("sample_id").alias("id"), F.col("severity_index").cast("int").alias("label"), "is_test", "features")
-    return fit_and_report(frame, md.gradient_boosting(rounds=20, classes=3), False)
+    return fit_and_report(frame, md.gradient_boosting(classes=3), False)
 
 
 def five_models(dims, rows):

@@ -76,3 +76,14 @@ def test_classifiers_learn(spark, small):
     held = md.evaluate_each(models, frame, "id")
     got = {r.model: r.accuracy for r in mq.ev.binary_metrics(held, ["model"]).collect()}
     assert set(got) == {"rf", "lr", "gbt"} and min(got.values()) > 0.7
+
+
+def test_multiclass_booster_is_of_full_size(spark, monkeypatch):
+    """One booster per class, each with the rounds and depth of the two-class one."""
+    class Frame:
+        where = select = lambda self, *_: self
+
+    monkeypatch.setattr(mq, "sample_frame", lambda spark, sf: Frame())
+    monkeypatch.setattr(mq, "fit_and_report", lambda frame, estimator, binary: estimator)
+    booster = mq.boosting_multiclass(None, None).getClassifier()
+    assert (booster.getMaxIter(), booster.getMaxDepth()) == (100, 5) == (md.gradient_boosting().getMaxIter(), md.gradient_boosting().getMaxDepth())

@@ -160,7 +160,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY, chunk: int = CHUNK) -> np.ndarray:
     """Best state of every word; documents are the segments between ``offsets``."""
     total, states = scores.shape
-    out = np.zeros(total, np.int8)
+    label = np.int8 if states <= 128 else np.int32
+    out = np.zeros(total, label)
     if not total:
         return out
     counts = np.diff(offsets)
@@ -181,7 +182,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY, c
     through = np.empty_like(value)
     through[order] = value
     best = np.zeros((len(counts), states), np.float32)
-    came = np.zeros((len(number), states), np.int8)
+    came = np.zeros((len(number), states), label)
     for k in range(int(pieces.max())):
         docs = np.flatnonzero(pieces > k)
         ways = best[docs][:, :, None] + through[first[docs] + k]
@@ -197,7 +198,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY, c
     before, last = before[order], last[order]
     value = np.full((len(order), states), np.float32(-1e30))
     value[np.arange(len(order)), before] = 0
-    switched, top = np.zeros((total, states), bool), np.zeros(total, np.int8)
+    switched, top = np.zeros((total, states), bool), np.zeros(total, label)
     for t, n in enumerate(active):  # again, from the one state that the whole path has before the chunk
         v, at = value[:n], begin_s[:n] + t
         high = v.max(axis=1) - penalty

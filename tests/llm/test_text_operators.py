@@ -79,6 +79,16 @@ def test_viterbi_is_the_best_path(chunk):
         assert b == a or abs(mine - naive_viterbi(scores[a:b], 1.5)) < 1e-4
 
 
+@pytest.mark.parametrize("chunk", [2, 100])
+def test_viterbi_of_many_languages(chunk):
+    """Each stretch of three words belongs clearly to one of 300 states, so the path is known."""
+    want = np.repeat([0, 127, 128, 255, 256, 299], 3)
+    scores = np.full((len(want), 300), -50, np.float32)
+    scores[np.arange(len(want)), want] = 0
+    for offsets in (np.array([0, len(want)]), np.arange(0, len(want) + 1, 3)):
+        assert language_id.viterbi(scores, offsets, 1.5, chunk).tolist() == want.tolist()
+
+
 def test_language_of_mixed_and_odd_texts(spark):
     english, german, russian = "the cat and the dog were there then", "der hund und die katze waren dort dann", "кот и собака были там тогда"
     known = [(i, t, n) for i, (t, n) in enumerate([(english, "en"), (german, "de"), (russian, "ru")] * 8)]

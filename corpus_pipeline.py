@@ -25,10 +25,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; of rows with one id, one."""
-    kept = jaccard_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = materialize(kept, "kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """The document with the smallest id of each group of near copies.
+
+    Rows that share an id but are not near copies are in groups of their own, and each group keeps its row; of the rows of a
+    group with the smallest id, the first by set and content stays.
+    """
+    joined = materialize(jaccard_join.join(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id", "set_id", "part"), "joined")
+    repeated = materialize(joined.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated-ids")
+    kept = joined.where("doc_id = component_id").groupBy("doc_id", "part").agg(F.min("set_id").alias("set_id"))
+    once = materialize(kept.join(repeated, "doc_id", "left_anti").select("doc_id"), "kept")
+    out = docs.join(once, "doc_id", "left_semi").select(docs.columns)
+    several = kept.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_kept"))
+    several = materialize(several, "kept-of-repeated")
+    rows = jaccard_join.with_set_ids(docs.join(repeated, "doc_id", "left_semi").select(docs.columns), "_set")
+    rows = rows.join(several, (F.col("doc_id") == F.col("_id")) & F.col("_set").eqNullSafe(F.col("_kept")), "left_semi")
+    row = F.struct(*docs.columns)
+    first = rows.groupBy("doc_id", "_set").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return out.unionByName(first).unionByName(docs.where("doc_id IS NULL"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

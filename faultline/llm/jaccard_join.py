@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from faultline.llm.components import components
 from faultline.llm.textbytes import IS_WHITE, LOWER, hash_spans, mix, repeat_ranges, segment_sums, small_batches, spans, text_slices
@@ -107,6 +108,17 @@ def describe(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return small_batches(df.select(key, text)).mapInArrow(run, f"{key} {kind}, n_shingles long, set_id long")
 
 
+def with_set_ids(df: DataFrame, name: str, text: str = "text", width: int = WORDS) -> DataFrame:
+    """All rows and columns, and the ``set_id`` of the row's text under ``name``."""
+
+    def run(batches):
+        for part, data, docs in text_slices(batches, text, SLICE):
+            packed, sizes = shingle_sets(data, docs, width)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(class_ids(packed, sizes), mask=sizes == 0)], names=[*part.schema.names, name])
+
+    return small_batches(df).mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))
+
+
 def _bytes(values: np.ndarray, kind: str) -> bytes:
     return values.astype(kind, copy=False).tobytes()
 
@@ -311,7 +323,10 @@ def _bits(tokens: int) -> int:
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS) -> DataFrame:
-    """(key, n_shingles, component_id) per row: the smallest key that links of Jaccard 0.75 or more reach."""
+    """(key, n_shingles, component_id, set_id, part) per row: the smallest key that links of Jaccard 0.75 or more reach.
+
+    ``part`` names the component itself, as components that share a key can share their smallest one; NULL for empty sets.
+    """
     described = materialize(describe(df, key, text, width), "sets")
     names = described.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(key).alias("rep"))
     total = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
@@ -329,6 +344,6 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WO
     named = named.withColumn("part", F.coalesce("component", "set_id"))
     named = materialize(named, "named-sets")
     lowest = materialize(named.groupBy("part").agg(F.min("rep").alias("component_id")), "lowest")
-    by_set = materialize(named.select(F.col("set_id").alias("sid"), "part").join(lowest, "part").select("sid", "component_id"), "set-components")
+    by_set = materialize(named.select(F.col("set_id").alias("sid"), "part").join(lowest, "part").select("sid", "component_id", "part"), "set-components")
     out = described.join(by_set, F.col("set_id") == F.col("sid"), "left")
-    return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"), "set_id")
+    return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"), "set_id", "part")

@@ -281,6 +281,17 @@ def test_pipeline_stages(spark, small):
     assert len(tokens) == len(mixed) and tokens.exact.all() and (tokens.n_tokens * 4 == tokens.ids.map(len)).all()
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """Unlinked texts under one id are separate documents, and a near copy of a smaller id's text goes."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, b), (5, c), (5, a + " more"), (5, b + " more"), (5, c), (7, c + " x"), (8, "two words"), (8, "Two words"), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), "").collect()
+    found = sorted((r.doc_id or 0, r.text[:2]) for r in got)
+    assert found == [(0, "a0"), (0, "a0"), (1, "a0"), (5, "b0"), (5, "c0"), (8, "Tw")]
+    assert all(len(r.text) == r.n_chars for r in got)
+
+
 def test_pipeline_on_odd_documents(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "some words of a text here", "en", "a", 25), (3, "some words of a text here", "en", "a", 25), (None, "other words without an id", "en", None, 25)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

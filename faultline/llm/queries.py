@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, chat_format, embedding_dedup, jaccard_join, language_id, mixing, secret_scan, topk_search, toxicity, url_filters
+from faultline.llm import (
+    byte_bpe, chat_format, embedding_dedup, jaccard_join, language_id, mixing, packing, secret_scan, spelling, topk_search, toxicity, url_filters, vector_codes,
+)
 from faultline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +206,112 @@ _NEAR_SQL = """
 @query("op9_embedding_dedup", _NEAR_SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.dedup(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+def _codes_sql(rounds: int = 2, parts: int = 16, entries: int = 64, scale: int = 256) -> str:
+    """Assignment to the nearest entry and floored means, one pair of subqueries per round."""
+
+    def assigned(name: str, book: str) -> str:
+        gap = "list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))"
+        return f"""{name} AS MATERIALIZED (
+            SELECT row_no, part, min({{'d': d, 'e': entry}}) AS best
+            FROM (SELECT p.row_no, p.part, b.entry, CAST({gap} AS BIGINT) AS d FROM p JOIN {book} b ON b.part = p.part)
+            GROUP BY 1, 2)"""
+
+    def means(name: str, nearest: str, book: str) -> str:
+        return f"""{name} AS MATERIALIZED (
+            WITH x AS (
+                SELECT p.part, a.best.e AS entry, unnest(p.v) AS x, unnest(range(len(p.v))) AS pos
+                FROM p JOIN {nearest} a ON a.row_no = p.row_no AND a.part = p.part),
+            m AS (SELECT part, entry, pos, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM x GROUP BY 1, 2, 3),
+            l AS (SELECT part, entry, list(x ORDER BY pos) AS v FROM m GROUP BY 1, 2)
+            SELECT b.part, b.entry, coalesce(l.v, b.v) AS v FROM {book} b LEFT JOIN l ON l.part = b.part AND l.entry = b.entry)"""
+
+    steps = [s for r in range(rounds) for s in (assigned(f"a{r}", f"b{r}"), means(f"b{r + 1}", f"a{r}", f"b{r}"))]
+    return f"""
+        WITH k AS MATERIALIZED (
+            SELECT *, row_number() OVER (ORDER BY vec_id, q) AS row_no
+            FROM (
+                SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+                FROM embeddings
+                WHERE embedding IS NOT NULL AND len(embedding) > 0
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+        p AS MATERIALIZED (
+            SELECT row_no, part, q[part * (len(q) // {parts}) + 1 : (part + 1) * (len(q) // {parts})] AS v
+            FROM (SELECT row_no, q, unnest(range({parts})) AS part FROM k)),
+        b0 AS MATERIALIZED (SELECT part, row_no - 1 AS entry, v FROM p WHERE row_no <= {entries}),
+        {", ".join(steps)},
+        {assigned("last", f"b{rounds}")},
+        told AS (
+            SELECT row_no, string_agg(format('{{:02x}}', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+            FROM last GROUP BY 1),
+        digest AS (
+            SELECT sha256(string_agg(x, ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+            FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS pos FROM b{rounds}))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM k JOIN told USING (row_no) CROSS JOIN digest"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.train(vectors)
+    coded = materialize(vector_codes.encode(vectors, books).drop("embedding"), "codes")
+    return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _spelling_sql() -> str:
+    """Checksums by a table of the polynomial, near words by edit distance over one-byte names of the letters."""
+    step = "CASE WHEN {0} % 2 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    bits = "".join(f", c{i + 1} AS (SELECT b, {step.format('c')} AS c FROM c{i})" for i in range(8))
+    letters = "".join(chr(c) for c in range(0xC0, 0x100))
+    bytes_ = "".join(chr(c) for c in range(33, 127) if not chr(c).islower() and c != 39)[:64]
+    return f"""
+        WITH RECURSIVE c0 AS (SELECT range AS b, range AS c FROM range(256)){bits},
+        t AS (SELECT list(c ORDER BY b) AS t FROM c8),
+        runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '{spelling.LETTERS}')), '{spelling.UPPER}', '{spelling.LOWER}') AS run
+            FROM documents),
+        counted AS (SELECT id, run, count(*) AS n FROM runs GROUP BY 1, 2),
+        told AS (
+            SELECT run, n, xor(list_reduce(
+                flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [195, ord(x) - 64] END)),
+                lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295), 4294967295) AS h
+            FROM counted, t),
+        words AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+            FROM told),
+        v AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{letters}', '{bytes_}') AS b
+            FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        near AS MATERIALIZED (
+            SELECT DISTINCT x.word, y.word AS near, y.n AS near_n
+            FROM (SELECT *, unnest([b[:2] || '-', '-' || b[-2:]]) AS ends FROM v) x
+            JOIN (SELECT *, unnest([b[:2] || '-', '-' || b[-2:]]) AS ends FROM v) y
+            ON x.ends = y.ends AND length(y.b) BETWEEN length(x.b) - 1 AND length(x.b) + 1 AND levenshtein(x.b, y.b) = 1),
+        forms AS (
+            SELECT v.word, v.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN m.best.n >= 2 * v.n THEN m.best.w END AS form,
+                CASE WHEN m.best.n >= 2 * v.n THEN m.best.n END AS form_n
+            FROM v LEFT JOIN (SELECT word, count(*) AS n_near, {{'n': max(near_n), 'w': min(near) FILTER (near_n = top)}} AS best
+                FROM (SELECT *, max(near_n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word) m ON m.word = v.word),
+        follow(word, last_form) AS (
+            SELECT word, word FROM forms
+            UNION ALL
+            SELECT f.word, g.form FROM follow f JOIN forms g ON g.word = f.last_form WHERE g.form IS NOT NULL)
+        SELECT f.word, f.form, r.last_form AS root, f.n, f.n_near, f.form_n
+        FROM forms f JOIN (SELECT o.word, o.last_form FROM follow o JOIN forms g ON g.word = o.last_form WHERE g.form IS NULL) r ON r.word = f.word"""
+
+
+@query("op12_spelling_variants", _spelling_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf, "documents").select("doc_id", "text"))
+    words = runs.select(spelling.slipped(F.col("run"), F.col("doc_id"), 97).alias("word"))
+    return spelling.group_variants(spelling.vocabulary(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    pieces = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    told = materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return packing.pack(told, ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -16,8 +16,9 @@ named like those added are replaced. An empty table gives no sequences.
 from __future__ import annotations
 
 import os
-import re
+from array import array
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.ordered import number_rows
-from faultline.llm.textbytes import small_batches
+from faultline.llm.textbytes import hash_spans, repeat_ranges, small_batches, text_slices
 
 SMALL = 4
 GROUPS = 128
 STEPS = 2000
 ROWS_PER_BUCKET = 1 << 20
-TEXTS = 1 << 20
-CACHED = 400_000
-#: A space between two printable Latin characters: byte-level splitting begins a new piece there, whatever stands around.
-BREAK = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
-
-
+CACHED = 1_000_000
 @dataclass(frozen=True)
 class Places:
     """Consecutive pieces of one length: ``per`` in each sequence, from ``first`` on, beginning at ``offset``."""
@@ -58,30 +54,87 @@ class Kind:
     free: int
 
 
+def _table(*characters: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list("".join(characters).encode())] = True
+    return table
+
+
+_PRINTED = _table("".join(map(chr, range(0x21, 0x7F))))
+_LETTER = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_MARK = _table(",.;:!?)")
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of stretches of UTF-8 texts that a byte-level tokenizer reads apart, whatever stands around.
+
+    They begin at each text, at a single space between two printable characters up to U+027F, and at a mark after a letter.
+    """
+    lead = (data >= 0xC3) & (data <= 0xC9)
+    tail = (data & 0xC0) == 0x80
+    tail[1:] &= lead[:-1]
+    tail[:1] = False
+    signs = np.isin(data, (0x97, 0xB7))
+    signs[1:] &= data[:-1] == 0xC3
+    begins = np.zeros(len(data), bool)
+    before, after = _PRINTED[data] | tail, _PRINTED[data] | lead
+    begins[1:] = _MARK[data[1:]] & (_LETTER[data] | (tail & ~signs))[:-1]
+    begins[1:-1] |= (data[1:-1] == 0x20) & before[:-2] & after[2:]
+    begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(begins)
+
+
 class Encoder:
-    """Ids of whole texts by a byte-level tokenizer, which reads each distinct stretch between breaks once.
+    """Ids of whole texts by a byte-level tokenizer, which reads each distinct stretch once.
 
-    Breaks are single spaces where the tokenizer begins a new piece anyway, so the ids are those of the whole text.
-    At most ``CACHED`` stretches are remembered; then the memory starts afresh.
+    About ``CACHED`` stretches are remembered: when there are more, those not met since the last time are forgotten.
     """
 
     def __init__(self, coder):
-        self.coder, self.known = coder, {}
+        self.coder, self.known, self.older = coder, {}, {}
         coder.encode_special_tokens = True
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = []
-        for text in texts:
-            first, *others = BREAK.split(text)
-            split.append([first, *[" " + o for o in others]])
-        if len(self.known) > CACHED:
-            self.known = {}
-        known = self.known
-        new = list({part for parts in split for part in parts}.difference(known))
-        for part, made in zip(new, self.coder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[part] = np.array(made.ids, "<u4").tobytes()
-        return [b"".join([known[part] for part in parts]) for parts in split]
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in ``data`` one after the other, and the offsets of texts in them."""
+        starts = stretches(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        _, first, member = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        sizes = ends - starts
+        same = (sizes == sizes[first][member]).all()
+        if not same or (data != data[repeat_ranges(starts[first][member], sizes)]).any():
+            first = member = np.arange(len(starts))
+        raw = data.tobytes()
+        ids = self._ids([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        counts = np.array([len(i) // 4 for i in ids], np.int64)
+        places = np.cumsum(counts) - counts
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        out = flat[repeat_ranges(places[member], counts[member])]
+        total = np.append(0, np.cumsum(counts[member]))
+        return out, total[np.searchsorted(starts, offsets)]
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        if len(self.known) > CACHED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for part in parts:
+            if part not in known:
+                if part in older:
+                    known[part] = older[part]
+                else:
+                    new.append(part)
+        for part, made in zip(new, self.coder.encode_batch_fast([n.decode() for n in new], add_special_tokens=False), strict=True):
+            known[part] = array("I", made.ids).tobytes()
+        return [known[part] for part in parts]
+
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str) -> Encoder:
+    """The encoder of this worker; tasks that follow each other share what it remembers."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Encoder(Tokenizer.from_file(tokenizer))
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = 1024, text: str = "text") -> DataFrame:
@@ -95,36 +148,21 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = 1024, text
     types = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{c} {t}" for c, t in added.items()])
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        coder = Encoder(Tokenizer.from_file(tokenizer))
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TEXTS):
-                    size += len(texts[stop])
-                    stop += 1
-                yield cut(batch.slice(at, stop - at), coder.encode(texts[at:stop]))
-                at = stop
-
-    def cut(batch: pa.RecordBatch, encoded: list[bytes]) -> pa.RecordBatch:
-        last = np.array([end], "<u4").tobytes()
-        rows, piece, start, length, ids = [], [], [], [], []
-        for row, tokens in enumerate(encoded):
-            data, size = tokens + last, len(tokens) // 4 + 1
-            cuts = [0, *range((size - 1) % capacity + 1, size + 1, capacity)]
-            for i in range(len(cuts) - 1):
-                rows.append(row)
-                piece.append(i)
-                start.append(cuts[i])
-                length.append(cuts[i + 1] - cuts[i])
-                ids.append(data[4 * cuts[i] : 4 * cuts[i + 1]])
-        kept = batch.select(names).take(pa.array(rows, pa.int64())) if names else None
-        made = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())]
-        return pa.RecordBatch.from_arrays([*(kept.columns if names else []), *made], names=[*names, *added])
+        coder = _encoder(tokenizer)
+        for rows, data, offsets in text_slices(batches, text):
+            ids, bounds = coder.encode(data, offsets)
+            ids = np.insert(ids, bounds[1:], end).astype("<u4", copy=False)
+            bounds = bounds + np.arange(len(bounds))
+            sizes = np.diff(bounds)
+            count = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), count)
+            piece = repeat_ranges(np.zeros(len(sizes), np.int64), count)
+            start = np.where(piece > 0, (sizes[row] - 1) % capacity + 1 + (piece - 1) * capacity, 0)
+            cuts = np.append(bounds[row] + start, len(ids))
+            held = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((4 * cuts).astype(np.int32)), pa.py_buffer(ids)])
+            kept = rows.select(names).take(pa.array(row)).columns if names else []
+            made = [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(np.diff(cuts)), held]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*names, *added])
 
     return small_batches(docs).select(*names, text).mapInArrow(run, types)
 

@@ -243,8 +243,14 @@ def test_encoder_equals_the_library_on_whole_texts(spark, small):
     texts += ["a  b c  d 　 e f\n g  \t h", "<|endoftext|> x", "'s 'll don't 1 2 a's é è ", "  ", " x", "x ", "á b é ñ ÿ × ÷ x", "!! ? -- a", "ab" * 9000]
     plain = Tokenizer.from_file(file)
     plain.encode_special_tokens = True
-    got = packing.Encoder(Tokenizer.from_file(file)).encode(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    texts += ["a\xa0b \xa0 c", "tail ", " ", "", "x×,÷. 1, é,è. l'été, they'll. we'd) (a)", "ʯ, ɏ, ʿ x ˈ y", "日本 語 a 日"]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    coder = packing.Encoder(Tokenizer.from_file(file))
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        ids, bounds = coder.encode(np.frombuffer(b"".join(data), np.uint8), offsets)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
 
 
 def test_packing_query(spark, tmp_path):

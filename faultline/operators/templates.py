@@ -1,8 +1,12 @@
 """Template mining in the manner of Drain (He et al., ICWS 2017), batch form.
 
 Messages are compacted to distinct shapes (digit-bearing tokens replaced by ``<*>``) with partial
-aggregation, so the similarity step sees shapes, not lines. Shapes meet in leaves (token count and
-first tokens, as in the stream) and are clustered in order of first appearance.
+aggregation, so the similarity step sees shapes, not lines. Shapes meet in leaves of a prefix tree (token
+count, then leading tokens, with a limit of children per node) and are clustered in order of first appearance.
+
+A leaf of many shapes is not one task. A shape joins a template only if it is similar to the shape that founded it, so
+shapes that no chain of similar ones connects never meet: such a leaf falls into units (`_units`) with the same result as
+the whole. A unit that is still large is dealt to parts, whose partial catalogues are then clustered like shapes.
 """
 
 from __future__ import annotations
@@ -14,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.functions.graph import smallest_reachable
 from faultline.functions.text import strip_ws
 from faultline.operators.sessions import ids_by_first_appearance
 from faultline.session import materialize
 
 WILD = "<*>"
+MOST_SHAPES = 20_000
 
 
 @dataclass(frozen=True)
@@ -52,51 +58,78 @@ def similarity(template: Column, parts: Column) -> Column:
     return F.try_divide(F.aggregate(same, F.lit(0), lambda acc, v: acc + v), F.size(template))
 
 
+def least_equal(width: int, threshold: float) -> int:
+    """The least number of equal literals with which two rows of ``width`` tokens reach the threshold."""
+    return next((k for k in range(int(threshold * width), width + 1) if k / max(width, 1) >= threshold), width + 1)
+
+
 class LeafClusters:
-    """Greedy clusters of one leaf: equally long token lists, the first best match of at least ``threshold`` takes a shape.
+    """Greedy clusters of equally long token lists: the first best match of at least ``threshold`` takes a shape.
 
-    Tokens are coded as integers and the templates are rows of one growing matrix; shapes seen before are looked up.
-    Memory grows with the templates of the leaf, not with its shapes.
+    Templates are rows of one growing matrix, found through an index from (position, token) to the templates with that
+    literal: of any ``width - least + 1`` positions a match shares one, so only the rarest tokens of a shape are looked up and
+    few templates compared. Tokens that no template has are not kept, so memory grows with the templates alone.
     """
 
     def __init__(self, width: int, threshold: float):
-        self.threshold, self.count = threshold, 0
+        self.threshold, self.count, self.least = threshold, 0, least_equal(width, threshold)
         self.codes, self.words = {WILD: 0}, [WILD]
         self.matrix = np.zeros((16, width), np.int32)
-
-    def code(self, parts: list[str]) -> np.ndarray:
-        for part in parts:
-            if part not in self.codes:
-                self.codes[part] = len(self.words)
-                self.words.append(part)
-        return np.array([self.codes[p] for p in parts], np.int32)
+        self.index: dict[tuple[int, int], list[int]] = {}
+        self.exact: dict[bytes, list[int]] = {}
 
     def add(self, parts: list[str]) -> tuple[int, str]:
         """The cluster of a shape and what it did: cluster_created, cluster_template_changed or none."""
-        row, known = self.code(parts), self.matrix[: self.count]
-        if self.count:
+        row = np.array([self.codes.get(p, -1) for p in parts], np.int32)
+        whole = self.exact.get(row.tobytes())
+        if whole:
+            return whole[0], "none"
+        near = self._candidates(row)
+        if len(near):
+            known = self.matrix[near]
             equal = known == row
             score = (equal & (known != 0)).sum(axis=1) / max(len(row), 1)
-            whole = equal.all(axis=1)
-            best = int(whole.argmax()) if whole.any() else int(score.argmax())
-            if whole[best]:
-                return best, "none"
-            if score[best] >= self.threshold:
-                merged = np.where(equal[best], row, 0)
-                changed = bool((merged != known[best]).any())
-                self.matrix[best] = merged
-                return best, "cluster_template_changed" if changed else "none"
-        self._append(row)
+            top = int(score.argmax())
+            if score[top] >= self.threshold:
+                best = int(near[top])
+                merged = np.where(equal[top], row, 0).astype(np.int32)
+                if (merged == known[top]).all():
+                    return best, "none"
+                self._rename(best, merged)
+                return best, "cluster_template_changed"
+        self.restore(parts)
         return self.count - 1, "cluster_created"
 
+    def _candidates(self, row: np.ndarray) -> np.ndarray:
+        """Templates, ascending, that can have ``least`` literals in common with a row."""
+        if not self.least:
+            return np.arange(self.count)
+        lists = [self.index.get(item, ()) if item[1] > 0 else () for item in enumerate(row.tolist())]
+        lists = sorted(lists, key=len)[: len(lists) - self.least + 1]
+        return np.array(sorted(set().union(*lists)), np.int64)
+
+    def _rename(self, cluster: int, merged: np.ndarray) -> None:
+        old = self.matrix[cluster].copy()
+        for place in np.flatnonzero(old != merged).tolist():
+            self.index[place, int(old[place])].remove(cluster)
+        self.exact[old.tobytes()].remove(cluster)
+        self.matrix[cluster] = merged
+        self.exact[merged.tobytes()] = sorted([*self.exact.get(merged.tobytes(), []), cluster])
+
     def restore(self, parts: list[str]) -> None:
         """Add a template as it is."""
-        self._append(self.code(parts))
-
-    def _append(self, row: np.ndarray) -> None:
+        for part in parts:
+            if part not in self.codes:
+                self.codes[part] = len(self.words)
+                self.words.append(part)
+        row = np.array([self.codes[p] for p in parts], np.int32)
         if self.count == len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
         self.matrix[self.count] = row
+        for item in enumerate(row.tolist()):
+            if item[1]:
+                self.index.setdefault(item, []).append(self.count)
+        self.exact.setdefault(row.tobytes(), []).append(self.count)
         self.count += 1
 
     def template(self, cluster: int) -> str:
@@ -111,28 +144,84 @@ def cluster_shapes(texts: list[str], threshold: float) -> list[str]:
 
 
 def _leaves(compact: DataFrame, prefix: int, max_children: int | None) -> DataFrame:
-    """Add ``leaf``: token count and leading tokens.
+    """Add ``leaf``: token count and leading tokens, one level of the tree after the other.
 
-    With ``max_children``, per token count only the first ``max_children - 1`` leading tokens get their own leaf.
+    With ``max_children``, the first ``max_children - 1`` tokens to appear below a node get children of their own, the others
+    share the child of the wildcard.
     """
-    head = F.array_join(F.slice(F.split("shape", " "), 1, prefix), " ")
-    rows = compact.withColumn("head", head).withColumn("width", F.size(F.split("shape", " ")))
-    name = F.col("head")
-    if max_children is not None:
-        order = Window.partitionBy("width").orderBy("first", "head")
-        heads = rows.groupBy("width", "head").agg(F.min("first").alias("first"))
-        kept = heads.withColumn("r", F.row_number().over(order)).where(F.col("r") < max_children)
-        rows = rows.join(kept.select("width", "head", F.lit(True).alias("own")), ["width", "head"], "left")
-        name = F.when(F.col("own"), F.col("head")).otherwise(F.lit(WILD))
-    return rows.withColumn("leaf", F.concat_ws("|", F.col("width").cast("string"), name))
-
-
-def _clustered(compact: DataFrame, threshold: float) -> DataFrame:
+    rows = compact.withColumn("_t", F.split("shape", " ")).withColumn("leaf", F.size("_t").cast("string"))
+    for level in range(prefix):
+        token = F.coalesce(F.get("_t", F.lit(level)), F.lit(""))
+        if max_children is not None:
+            order = Window.partitionBy("_node").orderBy("first", "_head")
+            heads = rows.groupBy(F.col("leaf").alias("_node"), token.alias("_head")).agg(F.min("first").alias("first"))
+            kept = heads.withColumn("_r", F.row_number().over(order)).where(F.col("_r") < max_children).select("_node", "_head")
+            rows = rows.join(kept, (F.col("leaf") == F.col("_node")) & (token == F.col("_head")), "left")
+            token = F.coalesce("_head", F.lit(WILD))
+        rows = rows.withColumn("leaf", F.concat_ws("|", "leaf", token)).select(*compact.columns, "_t", "leaf")
+    return rows.drop("_t")
+
+
+def _units(shapes: DataFrame, threshold: float) -> DataFrame:
+    """(key, root): shapes that a chain of similar ones may connect have one root; a shape without a row is alone.
+
+    Two similar shapes share one of the rarest (position, token) items of each, as many as it has literals beyond
+    those that similarity needs, less one. Each item links its shapes to its first, so no pair is listed.
+    """
+    each = shapes.select("key", "leaf", F.posexplode(F.split("text", " ")).alias("pos", "token"), F.size(F.split("text", " ")).alias("width"))
+    each = each.where(F.col("token") != WILD).select("key", "width", F.xxhash64("leaf", "pos", "token").alias("item"))
+    each = materialize(each, "shape-items")
+    shared = materialize(each.groupBy(F.col("item").alias("_i")).agg(F.count("*").alias("times"), F.min("key").alias("lead")).where("times > 1"), "shared-items")
+    ranked = each.join(shared, F.col("item") == F.col("_i"), "left").groupBy("key", "width").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "item", "lead"))).alias("items")
+    )
+    needed = F.ceil(F.lit(threshold) * F.col("width") - 1e-9)
+    first = F.slice("items", F.lit(1), F.greatest(F.size("items") - needed + 1, F.lit(0)).cast("int"))
+    links = ranked.select("key", F.explode(first).alias("x")).where("x.lead IS NOT NULL").select(F.col("key").alias("a"), F.col("x.lead").alias("b"))
+    return smallest_reachable(links).select(F.col("node").alias("key"), "root")
+
+
+def _dealt(compact: DataFrame, threshold: float, most: int) -> tuple[DataFrame, bool]:
+    """Add ``unit`` and ``part``: the leaf itself (part -1), or for leaves of more than ``most`` shapes their units, in parts from
+    0 on where those are still as large."""
+    counts = materialize(compact.groupBy(F.col("leaf").alias("_l")).agg(F.count("*").alias("_n")).where(F.col("_n") > most), "hot-leaves")
+    whole = compact.withColumn("unit", F.col("leaf")).withColumn("part", F.lit(-1))
+    if not counts.limit(1).count():
+        return whole, False
+    hot = materialize(compact.join(counts, F.col("leaf") == F.col("_l"), "left_semi"), "hot-shapes")
+    units = hot.withColumn("unit", F.col("leaf"))
+    if threshold > 0:
+        roots = _units(hot, threshold).withColumnRenamed("key", "_k")
+        units = hot.join(roots, F.col("key") == F.col("_k"), "left").withColumn("unit", F.concat_ws("#", "leaf", F.coalesce("root", "key")))
+        units = materialize(units.drop("_k", "root"), "units")
+    sizes = units.groupBy(F.col("unit").alias("_u")).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    part = F.coalesce(F.pmod(F.xxhash64("key"), F.ceil(F.col("_n") / most)), F.lit(-1)).cast("int")
+    dealt = units.join(sizes, F.col("unit") == F.col("_u"), "left").withColumn("part", part).drop("_u", "_n")
+    cold = whole.join(counts, F.col("leaf") == F.col("_l"), "left_anti")
+    return materialize(cold.unionByName(dealt), "dealt"), True
+
+
+def _clustered(compact: DataFrame, threshold: float, most: int) -> DataFrame:
     """``compact`` with each shape's template.
 
-    The shapes of a leaf stream through one task in order of first appearance, so the result does not depend on how
-    many there are or how they are batched; templates leave the task when their leaf ends.
+    The shapes of a unit stream through one task in order of first appearance, so the result does not depend on how
+    many there are or how they are batched. Where a unit has parts, their templates are clustered in the same way, in the
+    order of their first shapes.
     """
+    dealt, split = _dealt(compact, threshold, most)
+    mapping = _cluster(dealt, ["unit", "part"], threshold)
+    if split:
+        mapping = materialize(mapping, "partial")
+        partial = mapping.where("part >= 0").groupBy("unit", F.col("template").alias("text")).agg(F.min("first").alias("first"))
+        final = _cluster(partial, ["unit"], threshold).select(F.col("unit").alias("_u"), F.col("text").alias("_t"), F.col("template").alias("_final"))
+        mapping = mapping.join(final, (F.col("part") >= 0) & (F.col("unit") == F.col("_u")) & (F.col("template") == F.col("_t")), "left").withColumn(
+            "template", F.coalesce("_final", "template")
+        )
+    return materialize(mapping.select("key", "leaf", "text", "template", "first", "n"), "mapping")
+
+
+def _cluster(rows: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """``rows`` (with ``text`` and ``first``) with the ``template`` of each, clustered in each group by itself."""
 
     def run(batches):
         leaf, name = None, None
@@ -144,13 +233,14 @@ def _clustered(compact: DataFrame, threshold: float) -> DataFrame:
 
         def templates(kinds: pa.Schema) -> pa.RecordBatch:
             found = range(leaf.count)
-            named = pa.array([name] * leaf.count, kinds.field("leaf").type)
-            return row_batch({"leaf": named, "cluster": list(found), "template": [leaf.template(c) for c in found]}, leaf.count, kinds)
+            named = {g: pa.array([v] * leaf.count, kinds.field(g).type) for g, v in zip(group, name, strict=True)}
+            return row_batch({**named, "cluster": list(found), "template": [leaf.template(c) for c in found]}, leaf.count, kinds)
 
         kinds = None
         for batch in batches:
             kinds, members = batch.schema, []
-            for here, text in zip(batch.column("leaf").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            names = zip(*[batch.column(g).to_pylist() for g in group], strict=True)
+            for here, text in zip(names, batch.column("text").to_pylist(), strict=True):
                 parts = text.split(" ")
                 if here != name:
                     if leaf:
@@ -161,14 +251,14 @@ def _clustered(compact: DataFrame, threshold: float) -> DataFrame:
         if leaf:
             yield templates(kinds)
 
-    first = compact.schema["first"].dataType.simpleString()
-    schema = f"key string, leaf string, text string, first {first}, n bigint, cluster int, template string"
-    ordered = compact.select("key", "leaf", "text", "first", "n").repartition("leaf").sortWithinPartitions("leaf", "first", "text")
-    both = materialize(ordered.mapInArrow(run, schema), "clusters")
-    known = both.where("template IS NOT NULL").select(F.col("leaf").alias("_l"), F.col("cluster").alias("_c"), "template")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    ordered = rows.repartition(*group).sortWithinPartitions(*group, "first", "text")
+    both = materialize(ordered.mapInArrow(run, f"{types}, cluster int, template string"), "clusters")
+    named = [f"_{g}" for g in group]
+    known = both.where("template IS NOT NULL").select(*[F.col(g).alias(n) for g, n in zip(group, named, strict=True)], F.col("cluster").alias("_c"), "template")
     members = both.where("template IS NULL").drop("template")
-    joined = members.join(known, (F.col("leaf") == F.col("_l")) & (F.col("cluster") == F.col("_c")))
-    return materialize(joined.select("key", "leaf", "text", "template", "first", "n"), "mapping")
+    same = [F.col(g) == F.col(n) for g, n in zip(group, named, strict=True)]
+    return members.join(known, [*same, F.col("cluster") == F.col("_c")]).select(*rows.columns, "template")
 
 
 def shape_key(c: Column) -> Column:
@@ -234,9 +324,14 @@ def _restore_literals(mapping: DataFrame, seen: DataFrame, shaped: DataFrame) ->
 
 
 def mine(
-    df: DataFrame, content: str = "content", line: str = "line_no", depth: int = 4, threshold: float = 0.4, max_children: int | None = None
+    df: DataFrame, content: str = "content", line: str = "line_no", depth: int = 4, threshold: float = 0.4, max_children: int | None = 100,
+    most: int = MOST_SHAPES,
 ) -> Templates:
-    """Mine templates from messages; NULL messages are left out. ``line`` orders the messages."""
+    """Mine templates from messages; NULL messages are left out. ``line`` orders the messages.
+
+    The tree has ``depth - 3`` levels of leading tokens. Leaves of more than ``most`` shapes are split: exactly where shapes
+    that cannot meet lie in different units, and into parts with merged catalogues where a unit itself is larger.
+    """
     rows = df.where(F.col(content).isNotNull()).select(tokens(F.col(content)).alias("t"), F.col(line).alias("line"))
     digits = F.transform("t", lambda x: F.when(x.rlike(r"\d"), x))
     shaped = rows.withColumn("digits", digits).withColumn(
@@ -249,7 +344,7 @@ def mine(
         ),
         "leaves",
     )
-    mapping = _clustered(compact, threshold)
+    mapping = _clustered(compact, threshold, most)
     final = _restore_literals(mapping, seen, shaped)
     catalogue = materialize(
         ids_by_first_appearance(final, "first_line").withColumn("event_id", F.col("event_id").cast("int")), "catalogue"

@@ -473,16 +473,27 @@ def mined_templates(spark, sf):
     return tp.mine(contents(spark, sf)).catalogue
 
 
+_WORD_VARIANTS = (
+    "SELECT CASE WHEN event_type = 'click' THEN 'host <*> is now reachable' ELSE 'user <*> left the <*> queue today' END AS template, "
+    "count(*) AS count, min(event_id) AS first_line FROM events GROUP BY 1"
+)
+
+
 @query(
     "D1_word_variants",
-    "SELECT CASE WHEN event_type = 'click' THEN 'host <*> is now reachable' ELSE 'user <*> left the <*> queue today' END AS template, "
-    "count(*) AS count, min(event_id) AS first_line FROM events GROUP BY 1",
+    _WORD_VARIANTS,
 )
 def word_variants(spark, sf):
     """Variable parts are words, so shapes differ and only the clustering step can merge them."""
     return tp.mine(v.worded(v.table(spark, sf, "events"))).catalogue.select("template", "count", "first_line")
 
 
+@query("D1_split_leaves", _WORD_VARIANTS)
+def split_leaves(spark, sf):
+    """The same messages with leaves cut into units of similar shapes and into parts of at most 100, whose catalogues are merged."""
+    return tp.mine(v.worded(v.table(spark, sf, "events")), most=100).catalogue.select("template", "count", "first_line")
+
+
 @query("D1_mined_documents")
 def mined_documents(spark, sf):
     """Mining free prose: every document is one message, most shapes are unique."""

@@ -1,3 +1,7 @@
+import random
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import templates as tp
@@ -68,3 +72,88 @@ def test_merge_and_similarity(spark):
     df = spark.createDataFrame([(["a", "<*>", "c", "d"], ["a", "x", "c", "e"])], "t array<string>, p array<string>")
     r = df.select(tp.merge_tokens(F.col("t"), F.col("p")).alias("m"), tp.similarity(F.col("t"), F.col("p")).alias("s")).first()
     assert r.m == ["a", "<*>", "c", "<*>"] and r.s == 0.5
+
+
+class PlainLeaf:
+    """The clustering rule row by row: the first template with the most equal literals, if they are enough."""
+
+    def __init__(self, threshold):
+        self.threshold, self.rows = threshold, []
+
+    def add(self, parts):
+        if parts in self.rows:
+            return self.rows.index(parts), "none"
+        shares = [sum(a == b != tp.WILD for a, b in zip(r, parts, strict=True)) / len(parts) for r in self.rows]
+        best = max(range(len(shares)), key=lambda i: (shares[i], -i), default=None)
+        if best is None or shares[best] < self.threshold:
+            self.rows.append(list(parts))
+            return len(self.rows) - 1, "cluster_created"
+        merged = [a if a == b else tp.WILD for a, b in zip(self.rows[best], parts, strict=True)]
+        changed, self.rows[best] = merged != self.rows[best], merged
+        return best, "cluster_template_changed" if changed else "none"
+
+
+def test_indexed_clusters_equal_a_plain_search():
+    rng = random.Random(0)
+    for _ in range(120):
+        width, threshold = rng.randint(1, 7), rng.choice([0, 0.2, 0.4, 0.5, 0.7, 1.0])
+        leaf, plain = tp.LeafClusters(width, threshold), PlainLeaf(threshold)
+        for _ in range(60):
+            parts = [rng.choice(["a", "b", "c", "d", tp.WILD]) for _ in range(width)]
+            assert leaf.add(parts) == plain.add(parts)
+        assert [leaf.template(c).split(" ") for c in range(leaf.count)] == plain.rows
+
+
+def test_many_templates_of_one_leaf_take_near_linear_time():
+    rng, took = random.Random(1), {}
+    for many in (4000, 16000):
+        leaf, start = tp.LeafClusters(10, 0.4), time.perf_counter()
+        for _ in range(many):
+            leaf.add(["same", *(f"t{rng.randint(0, 5000)}" for _ in range(9))])
+        took[many] = time.perf_counter() - start
+        assert leaf.count > 0.9 * many and len(leaf.words) <= 5003
+    assert took[16000] < 4 * 4 * took[4000] / 2
+
+
+def hot_leaf(spark, many=600):
+    """One leaf: statements that share no words beyond the first, and one with words as variables."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(many):
+        verb = "qrstuvwxyz"[i % 10]
+        place = "".join(rng.choice("abcdefg") for _ in range(4))
+        rows.append((i, f"begin {verb}now {verb}then {place} {verb}end {verb}last {verb}ever"))
+    return spark.createDataFrame(rows, "line_no long, content string")
+
+
+@pytest.mark.parametrize("most", [3, 40, 70])
+def test_split_leaves_give_the_catalogue_of_the_whole(spark, most):
+    df = hot_leaf(spark)
+    whole = sorted(map(tuple, tp.mine(df).catalogue.collect()))
+    split = tp.mine(df.repartition(5), most=most)
+    assert sorted(map(tuple, split.catalogue.collect())) == whole and len(whole) == 10
+    assert sum(r[2] for r in whole) == 600
+    assert tp.assign(df, split).where("event_id IS NULL").count() == 0
+
+
+def test_units_are_exact_on_random_shapes(spark):
+    rng = random.Random(9)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)]
+    rows = [(i, "same " + " ".join(rng.choice(words[: 600 if i % 3 else 40]) for _ in range(5))) for i in range(400)]
+    df = spark.createDataFrame(rows, "line_no long, content string")
+    whole = sorted(map(tuple, tp.mine(df, threshold=0.6).catalogue.collect()))
+    shaped = df.select(F.md5("content").alias("key"), F.lit("l").alias("leaf"), F.col("content").alias("text"))
+    units = tp._units(shaped, 0.6).groupBy("root").count()
+    largest = units.agg(F.max("count")).first()[0]
+    assert 1 < units.count() and largest < 400
+    assert sorted(map(tuple, tp.mine(df, threshold=0.6, most=max(largest, 399)).catalogue.collect())) == whole
+    assert len(whole) < 400
+
+
+def test_a_deeper_tree_limits_children_of_each_node(spark):
+    rows = [(i, f"head{'ab'[i % 2]} kind{'cdefgh'[i // 2]} same tail words") for i in range(12)]
+    df = spark.createDataFrame(rows, "line_no long, content string")
+    assert tp.mine(df, depth=5, max_children=None).catalogue.count() == 12
+    assert tp.mine(df, depth=5, max_children=3).catalogue.count() == 6
+    assert tp.mine(df, depth=4).catalogue.count() == 2
+    assert tp.mine(df, depth=3).catalogue.count() == 1

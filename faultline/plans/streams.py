@@ -9,8 +9,9 @@ from faultline.operators import parse as ps
 from faultline.operators import profile as pf
 from faultline.plans import views as v
 from faultline.plans.registry import query
+from faultline.session import scratch_path
 from faultline.streaming import jobs
-from faultline.streaming.templates import mine_stream
+from faultline.streaming.templates import catalogue, mine_stream
 
 W = v.with_views
 
@@ -73,6 +74,17 @@ def word_changes(spark, sf):
     return out.where("change_type <> 'none'").groupBy("change_type").agg(F.count_distinct("cluster_id").alias("clusters"))
 
 
+@query(
+    "Y3_state_catalogue",
+    "SELECT CASE WHEN event_type = 'click' THEN 'host <*> is now reachable' ELSE 'user <*> left the <*> queue today' END AS template, count(*) AS count FROM events GROUP BY 1",
+)
+def state_catalogue(spark, sf):
+    """The catalogue as the stream's state holds it, each leaf dealt to four state keys, merged on reading."""
+    state = scratch_path(spark, "y3-kept-state")
+    jobs.run_to_table(mine_stream(v.worded(event_stream(spark, sf)).select("content"), parts=4), "y3-parts", state=state)
+    return catalogue(spark, state).select("template", "count")
+
+
 @query(
     "Y4_stream_sessions",
     "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 minutes THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "

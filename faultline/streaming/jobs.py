@@ -36,12 +36,17 @@ def quiet_sessions(events: DataFrame, session: str = "session_id", ts: str = "ts
     )
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available into a table of the shared folder and read it back."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", state: str | None = None) -> DataFrame:
+    """Run a stream over everything available into a table of the shared folder and read it back.
+
+    ``state``: the folder of its checkpoint, for readers of its state; a new one if not given.
+    """
     spark: SparkSession = stream.sparkSession
     # Keyed Python state needs the RocksDB store; it also keeps big state out of the JVM heap.
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    # A batch uploads the entries it changed, not a snapshot of all state.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    out, state = scratch_path(spark, name), state or scratch_path(spark, f"{name}-state")
     query = (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
         .outputMode(mode).trigger(availableNow=True).start()

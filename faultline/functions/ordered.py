@@ -112,38 +112,49 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
 def smallest_hashes(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The ``n`` rows with the smallest seeded hash of ``key`` (all if there are fewer): a uniform, repeatable sample.
 
-    Each task keeps its own n smallest rows before they meet, so the cost is n rows per task at any table size. Rows
-    with one key have one hash; of those at the limit any may be taken.
+    Rows with one key have one hash; of those at the limit any may be taken. ``df`` is read once more for each count of hashes.
     """
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    hashed = df.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))
+    return smallest_rows(hashed, "_hash", n, [key], (-(1 << 63), (1 << 63) - 1)).drop("_hash")
 
 
-SPANS = 65_536
+SPANS = 4096
 
 
-def smallest_rows(df: DataFrame, rank: str, n: int, order: list[str] | None = None) -> DataFrame:
+def _long(value: int) -> str:
+    return f"cast('{value}' as bigint)"
+
+
+def smallest_rows(df: DataFrame, rank: str, n: int, order: list[str] | None = None, limits: tuple[int, int] | None = None) -> DataFrame:
     """The ``n`` rows with the smallest integer ``rank`` (all with one, if there are fewer), ties by ``order``.
 
     A histogram of at most about ``SPANS`` equal spans of the rank's range names the span that holds the n-th row; spans are cut
     further until no more than twice n rows lie up to it, or one value fills it. Only those rows are sorted, whatever
-    the number of tasks. Each cut is one scan of ``rank``; rows without a rank are left out.
+    the number of tasks. Each cut is one scan of ``rank``, and so is finding its ``limits`` if they are not known; rows
+    without a rank are left out.
     """
     rows = df.where(F.col(rank).isNotNull())
-    low, high, total = rows.agg(F.min(rank), F.max(rank), F.count("*")).first()
+    if limits:
+        (low, high), total = limits, 2 * n + 1
+    else:
+        low, high, total = rows.agg(F.min(rank), F.max(rank), F.count("*")).first()
     before, bound = 0, high
     while total > 2 * n and low < high:
         step = (high - low) // SPANS + 1
-        inside = rows.where(F.col(rank).between(F.lit(low).cast("long"), F.lit(high).cast("long")))
+        inside = rows.where(F.expr(f"`{rank}` BETWEEN {_long(low)} AND {_long(high)}"))
         spans = inside.groupBy(F.expr(f"cast(`{rank}` as bigint) div {step}L").alias("_span")).agg(
             F.count("*").alias("_n"), F.min(rank).alias("_low"), F.max(rank).alias("_high")
         )
-        for span in spans.orderBy("_low").collect():
+        span = None
+        for span in sorted(spans.collect(), key=lambda s: s["_low"]):
             if before + span["_n"] >= n:
                 break
             before += span["_n"]
+        if span is None:
+            return rows.limit(0)
         low, high, total = span["_low"], span["_high"], before + span["_n"]
         bound = high
     if bound is None:
         return rows.limit(0)
-    kept = rows.where(F.col(rank) <= F.lit(bound).cast("long"))
+    kept = rows.where(F.expr(f"`{rank}` <= {_long(bound)}"))
     return kept.orderBy(rank, *(order or [])).limit(n)

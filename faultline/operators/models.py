@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.ordered import number_rows
+from faultline.functions.ordered import attach, number_rows
 from faultline.operators.evaluate import binary_metrics, weighted_f1
 
 
@@ -27,9 +27,9 @@ def _class_position(df: DataFrame, label: str, key: str, seed: int) -> DataFrame
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``is_test``: the same share (rounded half up) of every class, repeatable."""
+    """Add ``is_test``: the same share (rounded half up) of every class, repeatable; rows without a label are a class."""
     size = df.groupBy(label).agg(F.count("*").alias("_n"))
-    placed = _class_position(df, label, key, seed).join(size, label)
+    placed = attach(_class_position(df, label, key, seed), size, [label])
     return placed.select(*df.columns, (F.col("_pos") <= F.floor(F.col("_n") * test + 0.5)).alias("is_test"))
 
 

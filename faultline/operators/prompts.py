@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -103,20 +104,77 @@ def comparative_prompts(pairs: DataFrame, texts: DataFrame, templates: DataFrame
     return build_prompts(joined, templates, "comparative_analysis", slots, session, **kw)
 
 
-def ask(prompts: DataFrame, scorer: Callable[[str, str], str], key: str = "session_id") -> DataFrame:
-    """(key, raw): apply ``scorer(system, user) -> answer`` to every prompt in Arrow batches.
+#: Words by which a service says that it is asked too often.
+TOO_OFTEN = ("429", "quota", "rate limit")
 
-    The function is shipped to the tasks; it may call whatever service the caller uses.
+
+def ask(
+    prompts: DataFrame, scorer: Callable[[str, str], str], key: str = "session_id", attempts: int = 5, wait: float = 3.0,
+    longest_wait: float = 65.0, per_minute: float | None = None, answered: DataFrame | None = None,
+) -> DataFrame:
+    """(key, raw, error, attempts): apply ``scorer(system, user) -> answer`` to every prompt in Arrow batches.
+
+    The function is shipped to the tasks; it may call whatever service the caller uses. What raises, or returns anything but
+    a text, is tried again up to ``attempts`` times in all, after ``wait`` seconds, then twice as long each time up to
+    ``longest_wait``, which follows at once where the service says it is asked too often. A prompt that never succeeds keeps
+    its row, with NULL in ``raw`` and the last failure in ``error``. A task makes at most ``per_minute`` calls a minute.
+    ``answered`` (of the same columns) holds earlier answers: those that succeeded are returned as they are and not asked again.
     """
     dtype = prompts.schema[key].dataType.simpleString()
+    pause = 60.0 / per_minute if per_minute else 0.0
 
     def run(batches):
+        free = 0.0
         for pdf in batches:
-            answers = [scorer(s, u) for s, u in zip(pdf["system"], pdf["user"])]
-            yield pd.DataFrame({key: pdf[key], "raw": answers})
+            told = []
+            for system, user in zip(pdf["system"], pdf["user"], strict=True):
+                delay = wait
+                for attempt in range(1, attempts + 1):
+                    time.sleep(max(0.0, free - time.monotonic()))
+                    free = time.monotonic() + pause
+                    try:
+                        answer, error = scorer(system, user), None
+                        if isinstance(answer, str):
+                            break
+                        error = f"no text: {answer!r}"
+                    except Exception as failure:
+                        error = f"{type(failure).__name__}: {failure}"
+                    answer = None
+                    if attempt < attempts:
+                        often = any(word in error.lower() for word in TOO_OFTEN)
+                        time.sleep(longest_wait if often else min(delay, longest_wait))
+                        delay *= 2
+                told.append((answer, error, attempt))
+            raw, error, tried = zip(*told, strict=True) if told else ((), (), ())
+            yield pd.DataFrame({key: pdf[key], "raw": raw, "error": error, "attempts": tried})
 
     flat = prompts.select(key, "prompt.system", "prompt.user")
-    return flat.mapInPandas(run, f"`{key}` {dtype}, raw string")
+    if answered is not None:
+        done = answered.where("raw IS NOT NULL").select(key, "raw", "error", "attempts")
+        flat = flat.join(done.select(F.col(key).alias("_done")), F.col(key).eqNullSafe(F.col("_done")), "left_anti")
+    asked = flat.mapInPandas(run, f"`{key}` {dtype}, raw string, error string, attempts int")
+    return asked if answered is None else done.unionByName(asked)
+
+
+def ask_into(prompts: DataFrame, scorer: Callable[[str, str], str], path: str, key: str = "session_id", rounds: int = 16, **how) -> DataFrame:
+    """Ask in rounds that append their answers to the table ``path``, and return the answers of all prompts.
+
+    Each round takes the prompts of one hash range, so a job that is lost or stopped goes on at the next one that is not
+    there yet; failed prompts are asked again by the next call. Of several rows of one key the successful one counts.
+    """
+    spark = prompts.sparkSession
+    dtype = prompts.schema[key].dataType.simpleString()
+    schema = f"`{key}` {dtype}, raw string, error string, attempts int"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    kept = spark.read.schema(schema).parquet(path).where("raw IS NOT NULL").select(F.col(key).alias("_done")).distinct()
+    kept = materialize(kept, "answered")
+    left = materialize(prompts.join(kept, F.col(key).eqNullSafe(F.col("_done")), "left_anti"), "unanswered")
+    for number in range(rounds):
+        part = left.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == number)
+        ask(part, scorer, key, **how).write.mode("append").parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    best = F.max_by(F.struct("raw", "error", "attempts"), F.struct(F.col("raw").isNotNull(), "attempts", "raw"))
+    return rows.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
 def error_evidence(df: DataFrame, session: str = "session_id", order: str = "line_no") -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import min_max
-from faultline.functions.ordered import number_rows, time_bucket
+from faultline.functions.ordered import attach, number_rows, time_bucket
 from faultline.operators.parse import region_flag
 
 
 def normalize(points: DataFrame, epsilon: float | None = None, keys: tuple[str, ...] = ("sample_id", "metric")) -> DataFrame:
-    """Add ``scaled``: min-max per series. Aggregate and join, so no task holds a whole series."""
+    """Add ``scaled``: min-max per series. Aggregate and join, so no task holds a whole series; points with a NULL key are one."""
     stats = points.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    return points.join(stats, list(keys)).select(
+    return attach(points, stats, list(keys)).select(
         *points.columns, min_max(F.col("value"), F.col("_lo"), F.col("_hi"), epsilon).alias("scaled")
     )
 

@@ -186,6 +186,25 @@ def scored_prompts(spark, sf):
     return an.parse_answers(asked).select("session_id", "classification", "confidence")
 
 
+def failing_scorer(system: str, user: str) -> str:
+    """The same stand-in, which fails on every prompt with three error lines."""
+    if user.count("[ERROR]") == 3:
+        raise RuntimeError("three errors")
+    return rule_scorer(system, user)
+
+
+@query(
+    "G1_failing_prompts",
+    W("records", f"WITH s AS ({_session_sql('records')}), {_ASKED} SELECT session_id, CASE WHEN errors <> 3 THEN classification END AS classification, "
+      "CASE WHEN errors = 3 THEN 'RuntimeError: three errors' END AS error, CASE WHEN errors = 3 THEN 4 ELSE 1 END AS attempts FROM q"),
+)
+def failing_prompts(spark, sf):
+    """Answers of a scorer that fails on known prompts: their rows stay, with the error after four attempts."""
+    asked = pr.ask(pr.classification_prompts(pr.session_text(v.records(spark, sf)), cat.prompt_templates(spark)), failing_scorer, attempts=4, wait=0)
+    parsed = an.parse_answers(asked)
+    return parsed.select("session_id", F.when(F.col("raw").isNotNull(), F.col("classification")).alias("classification"), "error", "attempts")
+
+
 @query(
     "R10_batch_evaluation",
     W("records session_labels", f"WITH ch AS (SELECT session_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY line_no) AS r FROM session_labels) WHERE r <= 20), "

@@ -89,3 +89,47 @@ def test_null_keys_are_a_group(spark):
     got = {r.k: (r.q0, r.q50, r.q100) for r in pf.five_numbers(df, "x", ["k"]).collect()}
     assert got == {"a": (1.0, 2.0, 3.0), None: (5.0, 6.0, 7.0)}
     assert {r.k for r in pf.histogram(df, "x", 2, ("k",)).collect()} == {"a", None}
+
+
+def test_smallest_rows_equal_a_sort(spark):
+    import random
+
+    from faultline.functions.ordered import smallest_hashes, smallest_rows
+
+    rng = random.Random(3)
+    values = [rng.choice([rng.randint(-5, 5), rng.randint(-(2**63), 2**63 - 1), rng.randint(0, 10**6)]) for _ in range(3000)] + [None] * 5
+    values += [-(2**63), 2**63 - 1, 7, 7, 7, 7]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v long, i long").repartition(7)
+    plain = sorted((v, i) for i, v in enumerate(values) if v is not None)
+    for n in (1, 3, 64, 500, 5000):
+        got = [(r.v, r.i) for r in smallest_rows(df, "v", n, ["i"]).collect()]
+        assert got == plain[:n]
+    assert smallest_rows(df.where("v IS NULL"), "v", 3).count() == 0
+    hashed = sorted((r.h, r.i) for r in df.select("i", F.xxhash64(F.col("i"), F.lit(42)).alias("h")).collect())
+    for n in (1, 100, 9999):
+        assert sorted(r.i for r in smallest_hashes(df, "i", n).collect()) == sorted(i for _, i in hashed[:n])
+    assert smallest_hashes(df.limit(0), "i", 5).count() == 0
+
+
+def test_the_last_sort_meets_few_rows_of_each_task(spark):
+    """With 50 tasks of 2,000 rows, ten smallest hashes must not mean ten rows of every task in one."""
+    from faultline.functions.ordered import smallest_hashes
+
+    found = smallest_hashes(spark.range(100_000).repartition(50).withColumnRenamed("id", "i"), "i", 10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 10 and "_hash" in plan and "<=" in plan
+    bound = found.sparkSession.range(100_000).select(F.xxhash64(F.col("id"), F.lit(42)).alias("h")).orderBy("h").limit(21).agg(F.max("h")).first()[0]
+    limit = int(plan.split("<= ")[1].split(")")[0])
+    assert limit <= bound
+
+
+def test_series_and_splits_keep_rows_without_a_key(spark):
+    from faultline.operators.models import stratified_split
+    from faultline.operators.series import normalize
+
+    points = spark.createDataFrame([(None, "m", 1.0), (None, "m", 3.0), ("s", None, 5.0), ("s", "m", 2.0)], "sample_id string, metric string, value double")
+    got = {(r.sample_id, r.metric, r.value): r.scaled for r in normalize(points).collect()}
+    assert len(got) == 4 and got[None, "m", 1.0] == 0.0 and got[None, "m", 3.0] == 1.0
+    rows = spark.createDataFrame([(i, [None, "a", "b"][i % 3]) for i in range(30)], "id long, label string")
+    split = stratified_split(rows, "label", "id", 0.2)
+    assert split.count() == 30 and {r.label: r.n for r in split.where("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()} == {None: 2, "a": 2, "b": 2}

@@ -158,3 +158,64 @@ def test_sample_files(spark, tmp_path):
     (tmp_path / "d" / "c.json").write_text('{"sample_id": "c", "anomaly_start_idx": 12}')
     got = {r.sample_id: r.anomaly_start_idx for r in sm.read_label_documents(spark, str(tmp_path / "d")).collect()}
     assert got == {"a": None, "b": 30, "c": 12}
+
+
+def prompts_of(spark, n):
+    return spark.range(n).select(F.col("id").alias("session_id"), F.struct(F.lit("s").alias("system"), F.concat(F.lit("u"), "id").alias("user")).alias("prompt"))
+
+
+def test_failing_prompts_keep_their_rows(spark):
+    from faultline.operators import prompts as pr
+
+    def scorer(system, user):
+        if user == "u3":
+            raise ValueError("no")
+        return {"error": "429 quota"} if user == "u4" else user + "!"
+
+    got = {r.session_id: (r.raw, r.error, r["attempts"]) for r in pr.ask(prompts_of(spark, 20), scorer, attempts=3, wait=0, longest_wait=0).collect()}
+    assert len(got) == 20 and got[0] == ("u0!", None, 1)
+    assert got[3] == (None, "ValueError: no", 3) and got[4][0] is None and "429" in got[4][1]
+
+
+def test_a_passing_failure_is_tried_again_after_growing_waits(spark):
+    import time
+
+    from faultline.operators import prompts as pr
+
+    calls = []
+
+    def scorer(system, user):
+        calls.append(time.monotonic())
+        if len(calls) < 4:
+            raise OSError("busy")
+        return "waited %.2f %.2f %.2f" % tuple(b - a for a, b in zip(calls, calls[1:], strict=False))
+
+    row = pr.ask(prompts_of(spark, 1), scorer, wait=0.1, longest_wait=0.2).first()
+    waits = [float(w) for w in row.raw.split()[1:]]
+    assert row["attempts"] == 4 and row.error is None and waits[0] >= 0.1 and waits[1] >= 0.2 and 0.2 <= waits[2] < 0.4
+
+
+def test_calls_are_paced_within_a_task(spark):
+    import time
+
+    from faultline.operators import prompts as pr
+
+    rows = pr.ask(prompts_of(spark, 4).coalesce(1), lambda s, u: repr(time.monotonic()), per_minute=600).collect()
+    at = sorted(float(r.raw) for r in rows)
+    assert all(b - a >= 0.099 for a, b in zip(at, at[1:], strict=False))
+
+
+def test_answers_already_written_are_not_asked_again(spark, tmp_path):
+    from faultline.operators import prompts as pr
+
+    def broken(system, user):
+        if int(user[1:]) % 4 == 0:
+            raise RuntimeError("down")
+        return "first"
+
+    first = pr.ask_into(prompts_of(spark, 12), broken, str(tmp_path / "answers"), rounds=3, attempts=1)
+    assert first.where("error IS NULL").count() == 9
+    again = {r.session_id: r.raw for r in pr.ask_into(prompts_of(spark, 14), lambda s, u: "second", str(tmp_path / "answers"), rounds=3).collect()}
+    assert again == {i: "second" if i % 4 == 0 or i > 11 else "first" for i in range(14)}
+    kept = pr.ask(prompts_of(spark, 14), lambda s, u: "third", answered=first)
+    assert sorted(r.raw for r in kept.collect()) == ["first"] * 9 + ["third"] * 5

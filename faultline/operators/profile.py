@@ -172,6 +172,29 @@ def five_numbers(df: DataFrame, value: str, by: list[str] | None = None) -> Data
     return quantiles(df, by or [], value, {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0})
 
 
+def quantile_sketches(df: DataFrame, value: str, by: list[str] | None = None, k: int = 400) -> DataFrame:
+    """(by, sketch, rows): one mergeable KLL sketch of ``value`` per group, made in each task and merged; NULL and NaN are left out.
+
+    Sketches of files or days can be stored and merged by `merge_sketches` without reading the values again. The rank of an
+    estimate is off by at most about 2.3 / k of the rows (99 % confidence, one quantile).
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    made = F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k))
+    return rows.groupBy(*(by or [])).agg(made.alias("sketch"), F.count("*").alias("rows"))
+
+
+def merge_sketches(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, sketch, rows) of coarser groups."""
+    return sketches.groupBy(*(by or [])).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("rows").alias("rows"))
+
+
+def sketched_five_numbers(sketches: DataFrame) -> DataFrame:
+    """Minimum and maximum exactly, quartiles within the sketch's error, in place of the sketch."""
+    probs = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
+    told = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(n) for n, p in probs.items()]
+    return sketches.select(*[c for c in sketches.columns if c != "sketch"], *told)
+
+
 def sample_facts(logs: DataFrame, series: DataFrame) -> DataFrame:
     """Log lines, metric points, metric names in column order, first and last time of each sample."""
     lines = logs.groupBy("sample_id").agg(F.count("*").alias("num_log_lines"))

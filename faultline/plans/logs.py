@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from faultline.functions import text as tx
-from faultline.functions.ordered import id_bucket, number_rows
+from faultline.functions.ordered import attach, id_bucket, number_rows
 from faultline.operators import parse as ps
 from faultline.operators import profile as pf
 from faultline.operators import series as sr
@@ -15,6 +15,7 @@ from faultline.operators import sessions as ss
 from faultline.operators import traces as tr
 from faultline.plans import views as v
 from faultline.plans.registry import query
+from faultline.session import materialize
 from faultline.sources import catalogue as cat
 from faultline.sources.values import LAYERS
 
@@ -364,6 +365,25 @@ def five_numbers(spark, sf):
     return out.select("l_returnflag", *[r6(c).alias(c) for c in out.columns[1:]])
 
 
+@query(
+    "A19_sketched_numbers",
+    "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS rows, round(min(l_extendedprice), 6) AS q0, round(max(l_extendedprice), 6) AS q100, 0 AS outside FROM lineitem GROUP BY 1",
+)
+def sketched_numbers(spark, sf):
+    """Sketches per ship month, merged per flag; ``outside`` counts quartiles whose true rank is off by more than the sketch's bound."""
+    rows = v.table(spark, sf, "lineitem").select("l_returnflag", F.trunc("l_shipdate", "month").alias("month"), "l_extendedprice")
+    merged = pf.merge_sketches(pf.quantile_sketches(rows, "l_extendedprice", ["l_returnflag", "month"]), ["l_returnflag"])
+    told = materialize(pf.sketched_five_numbers(merged), "sketched")
+    beside = attach(rows, told, ["l_returnflag"])
+    probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    below = [F.count_if(F.col("l_extendedprice") < F.col(q)).alias(f"lt_{q}") for q in probs]
+    upto = [F.count_if(F.col("l_extendedprice") <= F.col(q)).alias(f"le_{q}") for q in probs]
+    ranks = beside.groupBy("l_returnflag", "rows", "q0", "q100").agg(*below, *upto)
+    off = [F.greatest(F.col(f"lt_{q}") - p * F.col("rows"), p * F.col("rows") - F.col(f"le_{q}")) > 0.01 * F.col("rows") for q, p in probs.items()]
+    outside = sum((o.cast("int") for o in off[1:]), off[0].cast("int"))
+    return ranks.select("l_returnflag", "rows", r6("q0").alias("q0"), r6("q100").alias("q100"), outside.alias("outside"))
+
+
 @query(
     "A19_session_box",
     W("records", "SELECT " + ", ".join(f"round(quantile_cont(n, {p}), 6) AS {n}" for n, p in (("q0", 0), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q100", 1))) + " FROM (SELECT session_id, count(*)::DOUBLE AS n FROM records GROUP BY 1)"),

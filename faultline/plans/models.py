@@ -38,6 +38,12 @@ def nearest(spark, sf):
     return rounded(nb.nearest_neighbours(v.vectors(spark, sf), k=5), "dist")
 
 
+@query("J9_approximate_recall")
+def approximate_recall(spark, sf):
+    """Five neighbours by narrow slabs, with the recall measured on a sample; what is missing is not made up for."""
+    return rounded(nb.approximate_neighbours(v.vectors(spark, sf), k=5, width=0.5, tables=8, projections=3), "dist", "recall")
+
+
 _LOF = (
     f"{_NEAR}, u AS (SELECT * FROM nr WHERE rank <= 20), kd AS (SELECT id, max(dist) AS kdist FROM u GROUP BY 1), "
     "lr AS (SELECT u.id, 1 / (avg(greatest(u.dist, kd.kdist)) + 1e-10) AS lrd FROM u JOIN kd ON kd.id = u.neighbour GROUP BY 1), "

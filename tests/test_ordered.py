@@ -133,3 +133,18 @@ def test_series_and_splits_keep_rows_without_a_key(spark):
     rows = spark.createDataFrame([(i, [None, "a", "b"][i % 3]) for i in range(30)], "id long, label string")
     split = stratified_split(rows, "label", "id", 0.2)
     assert split.count() == 30 and {r.label: r.n for r in split.where("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()} == {None: 2, "a": 2, "b": 2}
+
+
+def test_sketches_of_parts_merge_within_their_bound(spark):
+    import numpy as np
+
+    from faultline.operators import profile as pf
+
+    values = np.random.default_rng(1).lognormal(0, 2, 20_000)
+    df = spark.createDataFrame([(i % 7, float(x)) for i, x in enumerate(values)] + [(0, None), (1, float("nan"))], "part int, x double").repartition(9)
+    parts = pf.quantile_sketches(df, "x", ["part"])
+    assert parts.count() == 7
+    whole = pf.sketched_five_numbers(pf.merge_sketches(parts)).first()
+    assert whole["rows"] == 20_000 and whole.q0 == values.min() and whole.q100 == values.max()
+    for p in (0.25, 0.5, 0.75):
+        assert abs((values <= whole[f"q{int(100 * p)}"]).mean() - p) < 2.3 / 400

@@ -162,23 +162,30 @@ def write_json_document(df, document, path):
     df.agg(F.to_json(document).alias("value")).write.text(path)
 
 
-@query("S12_read_prompts", "SELECT r_name AS name, 'You look after ' || lower(r_name) AS system, 'Case {case} of ' || r_name AS user FROM region")
+@query(
+    "S12_read_prompts",
+    "SELECT c_custkey, r_name AS name, 'You look after ' || lower(r_name) AS system, 'Case ' || c_custkey || ' of ' || r_name AS user "
+    "FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey",
+)
 def read_prompts(spark, sf):
-    """Prompt templates from a JSON file."""
+    """Prompt templates from a JSON file, filled in for every customer of the region they are for."""
     path = scratch_path(spark, "prompts")
     text = F.struct(F.concat(F.lit("You look after "), F.lower("r_name")).alias("system"), F.concat(F.lit("Case {case} of "), F.col("r_name")).alias("user"))
     entries = F.map_from_entries(F.collect_list(F.struct(F.col("r_name"), text)))
     write_json_document(v.table(spark, sf, "region"), entries, path)
-    return cat.read_prompt_templates(spark, path)
+    places = v.table(spark, sf, "nation").join(v.table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    asked = v.table(spark, sf, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
+    read = asked.join(cat.read_prompt_templates(spark, path), F.col("r_name") == F.col("name"))
+    return read.select("c_custkey", "name", "system", F.replace("user", F.lit("{case}"), F.col("c_custkey").cast("string")).alias("user"))
 
 
 @query(
     "S11_read_scenarios",
-    "SELECT 'N_' || n_nationkey AS scenario_id, r_name AS layer, n_name AS name, 'Trouble in ' || n_name AS description, 'high' AS severity, 'load' AS metric, "
-    "'additive' AS kind, CAST(n_nationkey AS DOUBLE) AS lo, CAST(n_nationkey + 1 AS DOUBLE) AS hi FROM nation JOIN region ON r_regionkey = n_regionkey",
+    "SELECT c_custkey, 'N_' || n_nationkey AS scenario_id, r_name AS layer, n_name AS name, 'Trouble in ' || n_name AS description, 'high' AS severity, 'load' AS metric, "
+    "'additive' AS kind, CAST(n_nationkey AS DOUBLE) AS lo, CAST(n_nationkey + 1 AS DOUBLE) AS hi FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey",
 )
 def read_scenarios(spark, sf):
-    """Scenarios with descriptions and effects on metrics from a JSON configuration."""
+    """Scenarios with descriptions and effects on metrics from a JSON configuration, given to the customers of their nation."""
     path = scratch_path(spark, "scenarios")
     number = F.col("n_nationkey").cast("double")
     effect = F.struct(F.array(number, number + 1).alias("additive"), F.lit("step").alias("pattern"))
@@ -189,9 +196,10 @@ def read_scenarios(spark, sf):
     layered = v.table(spark, sf, "nation").join(v.table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     layered = layered.groupBy("r_name").agg(F.struct(F.collect_list(scenario).alias("scenarios")).alias("body"))
     write_json_document(layered, F.struct(F.map_from_entries(F.collect_list(F.struct("r_name", "body"))).alias("layers")), path)
-    found = cat.read_scenarios(spark, path)[1]
-    return found.select("scenario_id", "layer", "name", "description", "severity", F.explode("affected").alias("metric", "e")).select(
-        "scenario_id", "layer", "name", "description", "severity", "metric", "e.kind", "e.lo", "e.hi"
+    hit = v.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("N_"), F.col("c_nationkey").cast("string")).alias("scenario_id"))
+    found = hit.join(cat.read_scenarios(spark, path)[1], "scenario_id")
+    return found.select("c_custkey", "scenario_id", "layer", "name", "description", "severity", F.explode("affected").alias("metric", "e")).select(
+        "c_custkey", "scenario_id", "layer", "name", "description", "severity", "metric", "e.kind", "e.lo", "e.hi"
     )
 
 

@@ -73,12 +73,16 @@ class Plan:
     seed: int
 
 
+#: Columns that `draw` and `deal` add beside those of the source lines; columns of the input with such names are replaced.
+ADDED = ("_order", "_block", "draws", "epoch", "shard", "place", "_slot", "_cs", "_co", "_ck", "_cz", "_ps", "_pslot")
+
+
 def _place(df: DataFrame, sources: list[tuple], seed: int) -> DataFrame:
     """Each row's source line, permuted order and block. The source lines are one short row per source, made from a driver list."""
     schema = "_name string, _s int, source_size long, target double, _epochs int, _blocks long, _last long, _quota long"
     lines = df.sparkSession.createDataFrame(sources, schema)
     return (
-        df.join(F.broadcast(lines), F.col("source").eqNullSafe(F.col("_name")), "left").drop("_name")
+        df.drop(*lines.columns, *ADDED).join(F.broadcast(lines), F.col("source").eqNullSafe(F.col("_name")), "left").drop("_name")
         .withColumn("_order", F.xxhash64(F.lit(seed), "key", "size"))
         .withColumn("_block", F.pmod(F.xxhash64("_order"), F.col("_blocks")))
     )

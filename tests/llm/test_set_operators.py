@@ -302,3 +302,28 @@ def test_pipeline_on_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
     assert empty.count() == 0
+
+
+def test_pipeline_keeps_columns_named_like_its_results(spark):
+    text = "the quick brown fox jumps over the lazy dog and password=abcdef123456 is here for all to see"
+    rows = [(i, text + f" number {i} " + " ".join(f"w{i}x{j}" for j in range(60)), "en", "s", 1, 0.25, "mine", "own", 7, 9.5) for i in range(30)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, secrets string, draws int, target double"
+    docs = spark.createDataFrame(rows, names)
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == docs.columns
+    got = now.collect()
+    assert got and all((r.score, r.lang_pred, r.secrets, r.draws, r.target) == (0.25, "mine", "own", 7, 9.5) for r in got)
+    assert all("abcdef123456" not in r.text and r.n_chars == len(r.text) for r in got)
+
+
+def test_mixing_replaces_columns_named_like_those_added(spark):
+    rows = [(i, "ab"[i % 2], 10 + i) for i in range(50)]
+    sizes = spark.createDataFrame(rows, "key long, source string, size long")
+    made = mixing.plan(sizes)
+    want = sorted(tuple(r) for r in mixing.draw(sizes, made).select("key", "source_size", "target", "draws").collect())
+    clash = sizes.selectExpr("*", "1 AS source_size", "'x' AS target", "2 AS draws", "3 AS _s", "4 AS _block", "5 AS shard", "6 AS epoch", "7 AS place")
+    drawn = mixing.draw(clash, made)
+    assert sorted(tuple(r) for r in drawn.select("key", "source_size", "target", "draws").collect()) == want
+    assert mixing.deal(drawn, made, 2).count() == sum(r[3] for r in want)

@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicate removal, secret redaction, mixing and tokenisation of ``documents``.
 
 Each stage reads what the one before wrote as Parquet. Rows with a NULL id are never duplicates of others; NULL and
-letterless texts have no language and go in the first stage. Columns beyond those of ``documents`` pass through.
+letterless texts have no language and go in the first stage. Columns beyond those of ``documents`` pass through whatever
+their names; the stages see them inside a struct.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which one known language has at least the share LEAST_SHARE of the letters."""
-    found = language_id.identify(docs, language_id.train(docs), with_spans=False)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    found = language_id.identify(rows, language_id.train(docs), with_spans=False)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +48,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and ``n_chars`` as it is then."""
-    found = secret_scan.scan(docs, secret_scan.train(docs), redact=MARK)
-    length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return found.withColumn("n_chars", F.when(F.size("secrets") > 0, length).otherwise(F.col("n_chars"))).select(docs.columns)
+    rows = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    found = secret_scan.scan(rows, secret_scan.train(docs), redact=MARK)
+    length = F.when(F.size("secrets") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    made = {"text": F.col("text"), "n_chars": length}
+    return found.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from faultline.llm import byte_bpe, jaccard_join, language_id, mixing, secret_sc
 from faultline.session import materialize
 
 LEAST_SHARE = 0.3
+#: At most this many ids of dropped documents (8 bytes each, about 30 in a hash table) are broadcast.
+MOST_IDS = 4_000_000
 MARK = "[secret]"
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -35,8 +37,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     joined = materialize(jaccard_join.join(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id", "set_id", "part"), "joined")
     repeated = materialize(joined.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated-ids")
     kept = joined.where("doc_id = component_id").groupBy("doc_id", "part").agg(F.min("set_id").alias("set_id"))
-    once = materialize(kept.join(repeated, "doc_id", "left_anti").select("doc_id"), "kept")
-    out = docs.join(once, "doc_id", "left_semi").select(docs.columns)
+    gone = joined.where("doc_id <> component_id").select("doc_id").union(repeated).distinct()
+    gone = materialize(gone, "dropped")
+    # Few ids go to the texts; many cannot be broadcast, and then the texts go to the ids.
+    ids = F.broadcast(gone) if gone.count() <= MOST_IDS else gone
+    out = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").select(docs.columns)
     several = kept.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_kept"))
     several = materialize(several, "kept-of-repeated")
     rows = jaccard_join.with_set_ids(docs.join(repeated, "doc_id", "left_semi").select(docs.columns), "_set")

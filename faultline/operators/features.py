@@ -170,7 +170,7 @@ def flag_detected(points: DataFrame, scenarios: DataFrame, threshold: float = 3.
     peak = deviation(points).groupBy("sample_id", "metric").agg(F.max(F.abs("z")).alias("peak"))
     needed = scenarios.select("scenario_id", F.explode("detection_params").alias("metric"))
     return (
-        peak.join(F.broadcast(needed), "metric")
+        peak.join(needed, "metric")
         .groupBy("sample_id", "scenario_id")
         .agg(
             F.count_if(F.col("peak") > threshold).alias("metrics_hit"),

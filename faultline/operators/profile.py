@@ -149,7 +149,7 @@ def mean_levels_by_class(counts: DataFrame, manifest: DataFrame, n: int = 50) ->
     """Mean level counts over the first ``n`` samples of each class."""
     first = Window.partitionBy("is_anomaly").orderBy("sample_id")
     chosen = manifest.select("sample_id", "is_anomaly", F.row_number().over(first).alias("r")).where(F.col("r") <= n)
-    return counts.join(F.broadcast(chosen), "sample_id").groupBy("is_anomaly").agg(
+    return counts.join(chosen, "sample_id").groupBy("is_anomaly").agg(
         *[F.avg(c).alias(f"avg_{c}") for c in ("info", "warn", "error", "critical")]
     )
 
@@ -225,7 +225,7 @@ def top_and_bottom(df: DataFrame, score: str, name: str, k: int = 20) -> DataFra
 def preview(lines: DataFrame, n: int = 5, files: int = 3) -> DataFrame:
     """First ``n`` lines of the first ``files`` files."""
     names = lines.select("file").distinct().orderBy("file").limit(files)
-    return lines.where(F.col("line_no") <= n).join(F.broadcast(names), "file", "left_semi")
+    return lines.where(F.col("line_no") <= n).join(names, "file", "left_semi")
 
 
 def subsample(df: DataFrame, key: str, n: int = 5000, seed: int = 42) -> DataFrame:

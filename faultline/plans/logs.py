@@ -488,7 +488,7 @@ def remediation(spark, sf):
 @query("S11_scenario_layers", W("manifest catalogue", "SELECT c.layer, c.category, count(*) AS n FROM manifest JOIN catalogue c USING (scenario_id) GROUP BY 1, 2"))
 def scenario_layers(spark, sf):
     dim = cat.scenarios(spark).select("scenario_id", F.col("layer").alias("clayer"), F.col("root_cause_category").alias("category"))
-    joined = v.manifest(spark, sf).join(F.broadcast(dim), "scenario_id")
+    joined = v.manifest(spark, sf).join(dim, "scenario_id")
     return joined.groupBy(F.col("clayer").alias("layer"), "category").agg(F.count("*").alias("n"))
 
 
@@ -501,7 +501,7 @@ def layers_of_metrics(spark, sf):
     per_metric = v.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     names = F.create_map(*[F.lit(x) for kv in v.METRICS.items() for x in kv])
     counted = per_metric.select(names[F.col("event_type")].alias("metric"), "n")
-    return counted.join(F.broadcast(pairs), "metric").groupBy("layer").agg(F.sum("n").alias("points"))
+    return counted.join(pairs, "metric").groupBy("layer").agg(F.sum("n").alias("points"))
 
 
 @query(

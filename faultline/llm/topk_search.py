@@ -1,20 +1,23 @@
 """Exact top-k by integer inner product with an impact-ordered index, score at a time.
 
-Vectors are quantised to integers and dealt into shards. A shard's index holds, per dimension, its vectors in order of
-their value; vectors with one value are a posting segment, and for a query its impact is the query's component times
-that value, less the least such product of the dimension. A query takes the segments of all dimensions by descending
-impact, in rounds, and adds them to its accumulators. At any time no vector can gain more than the sum of the next
-impacts of all dimensions. Once the vectors whose accumulator plus that bound still reaches the k-th accumulator are
-few, the rest is proven out; those few are scored again from their whole vectors. If that never happens the last round
-has every posting, so the answer is exact either way.
-
-Queries travel in blocks to every shard, which keeps k rows per query; the best k of those are the answer. Ties go to
-the smaller id. Shards and blocks have a fixed number of rows, so memory does not grow with the table, and a vector
-that fills a third of the table is spread over all shards.
-
-Vectors that are NULL, empty, or hold NULL, NaN or infinity take no part, neither as query nor as candidate; nor do
-rows with a NULL id. Shorter vectors count as padded with zeros. Quantised components are kept within +-2^27. Repeated
-ids are repeated candidates, and a query's own id is never its candidate. Other columns are ignored.
+Vectors are quantised to integers and dealt into shards, near vectors to the same one. A shard's index, written once,
+holds per dimension its vectors in order of their value, cut into posting segments of equal levels. For a query q, after
+both sides are scaled to like lengths, q.x = (|q|^2 + |x|^2) / 2 - sum of (q_d - x_d)^2 / 2, so a posting's impact is how
+much it takes from the most that its vector can still score: the square of the distance between the query's component
+and the segment's levels, halved. Segments are taken by descending quantised impact. After every step the best vectors
+are scored exactly; those whose bound is below the k-th exact score are proven out, and once the others are few they are
+all scored from their whole vectors. If that never happens all postings are taken, so the answer is exact either way.
+
+Every query first searches the shard of its own cell; the k-th score found there is the threshold with which it goes to
+the others, where the shard's centre and radius may prove it out before any posting is read. Cells are the nearest of at
+most ``CELLS`` centres drawn from the rows; a larger cell is split by row number, so shards have a bounded number of
+postings whatever the table, and a vector that fills a third of the table is spread over many. Queries travel in blocks.
+
+Ties go to the smaller id. Vectors that are NULL, empty, or hold NULL, NaN or infinity take no part, neither as query
+nor as candidate; nor do rows with a NULL id. Shorter vectors count as padded with zeros. Repeated ids are repeated
+candidates and repeated queries, each with its own answer, and a query's own id is never its candidate. Components are
+exact integers of any size up to 2^500 (kept within that); scores rank exactly up to 2^123 and are written as the nearest
+long where they exceed one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,15 @@ from pyspark.sql import functions as F
 from faultline.session import materialize
 
 SHARD_ROWS = 16_384
-QUERY_ROWS = 128
+POSTINGS = 1 << 20
+QUERY_ROWS = 512
+MOST_QUERY_ROWS = 4_096
+CELLS = 1_024
 SCALE = 64.0
-BOUND = 1 << 27
-ROUNDS = 4
+BOUND = 2.0**500
+LEVELS = 128
+STEPS = (0.03, 0.12, 0.2, 0.26, 0.32, 0.4, 0.5, 0.7, 1.0)
+HIGH = 1 << 61  # scores travel as high * 2^62 + low
 
 
 def usable(vector: str, key: str) -> Column:
@@ -41,120 +49,248 @@ def usable(vector: str, key: str) -> Column:
 
 
 def quantised(vector: str, scale: float = SCALE) -> Column:
-    """floor(scale * component) as int, within the bound."""
-    return F.transform(
-        vector, lambda x: F.least(F.lit(float(BOUND)), F.greatest(F.lit(-float(BOUND)), F.floor(F.lit(scale) * x.cast("double")).cast("double"))).cast("int")
-    )
+    """floor(scale * component), an integer held in a double; from 2^52 on every double is one."""
+
+    def one(x: Column) -> Column:
+        scaled = F.lit(scale) * x.cast("double")
+        return F.when(F.abs(scaled) < F.lit(2.0**52), F.floor(scaled).cast("double")).otherwise(F.least(F.lit(BOUND), F.greatest(F.lit(-BOUND), scaled)))
+
+    return F.transform(vector, one)
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     flat = column.combine_chunks()
     ends = flat.offsets.to_numpy()
-    out = np.zeros((len(flat), width), np.int32)
+    out = np.zeros((len(flat), width))
     counts = np.diff(ends)
     out[np.arange(width)[None, :] < counts[:, None]] = flat.values.to_numpy()[ends[0] : ends[-1]]
     return out
 
 
-def _blocks(df: DataFrame, groups: str, name: str, width: int) -> DataFrame:
-    """One row per group: ids and the matrix of its vectors, as binaries."""
+def _packed(matrix: np.ndarray) -> bytes:
+    return matrix.astype("<i4" if np.abs(matrix).max(initial=0) < 1 << 31 else "<f8").tobytes()
+
+
+def _unpacked(data: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, "<i4" if len(data) == 4 * rows * width else "<f8").reshape(rows, width).astype(np.float64)
 
-    def pack(table: pa.Table) -> pa.Table:
-        return pa.table({
-            name: pa.array([table.column("_g")[0].as_py()], pa.int64()), f"{name}_ids": pa.array([table.column("id").to_numpy().astype("<i8").tobytes()]),
-            f"{name}_data": pa.array([_matrix(table.column("v"), width).astype("<i4").tobytes()]),
-        })
 
-    return df.withColumn("_g", F.expr(groups)).groupBy("_g").applyInArrow(pack, f"{name} long, {name}_ids binary, {name}_data binary")
+def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of integers held in doubles: int64 where all are sure to fit, else Python integers."""
+    reach, peak = np.abs(rows).max(axis=1, initial=0), float(np.abs(query).max(initial=0))
+    most = reach * peak * max(len(query), 1)
+    if (most < 2.0**52).all():
+        return (rows @ query).astype(np.int64)
+    fits = (most < 2.0**62) & (reach < 2.0**62)
+    if fits.all() and peak < 2.0**62:
+        return rows.astype(np.int64) @ query.astype(np.int64)
+    out = np.empty(len(rows), object)
+    if peak < 2.0**62:
+        out[fits] = (rows[fits].astype(np.int64) @ query.astype(np.int64)).astype(object)
+    else:
+        fits[:] = False
+    whole = [int(x) for x in query]
+    for i in np.flatnonzero(~fits):
+        out[i] = sum(int(x) * y for x, y in zip(rows[i], whole, strict=True))
+    return out
 
 
 class ImpactIndex:
-    """Posting segments of one shard."""
+    """Posting segments of one shard: per dimension the rows by value, cut where the quantised level changes."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, matrix = ids[order], matrix[order]
-        self.reach = int(np.abs(matrix).max(initial=0))
-        self.matrix = matrix
-        self.rows = np.ascontiguousarray(np.argsort(matrix, axis=0, kind="stable").T.astype(np.int32))
-        self.values = np.ascontiguousarray(np.take_along_axis(matrix.T, self.rows, axis=1))
-        heads = [np.flatnonzero(np.diff(v, prepend=v[0] - 1)) for v in self.values]
-        self.dims = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-        self.heads = np.concatenate(heads)
-        self.sizes = np.concatenate([np.diff(np.append(h, len(ids))) for h in heads])
-        self.level = self.values[self.dims, self.heads].astype(np.int64)
-        self.whole = matrix.astype(np.float64 if self.reach < 1 << 20 else np.int64)
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and exact scores of the best k vectors, best first."""
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, rows: np.ndarray | None = None):
+        self.ids, self.matrix = ids, matrix
+        n, width = matrix.shape
+        self.rows = rows if rows is not None else np.ascontiguousarray(np.argsort(matrix, axis=0, kind="stable").T.astype("<u2" if n <= 1 << 16 else "<u4"))
+        values = np.take_along_axis(matrix.T, self.rows, axis=1)
+        low, high = values[:, :1], values[:, -1:]
+        step = np.maximum(1.0, np.ceil((high - low + 1) / LEVELS))
+        self.edges = low + step * np.arange(LEVELS + 1)[None, :]
+        self.starts = np.stack([np.searchsorted(v, e) for v, e in zip(values, self.edges, strict=True)])
+        self.starts[:, -1] = n
+        self.sizes = np.diff(self.starts, axis=1)
+        self.norms = np.einsum("ij,ij->i", matrix, matrix)
+        self.centre = matrix.mean(axis=0)
+        self.radius = float(np.sqrt(((matrix - self.centre) ** 2).sum(axis=1).max())) * (1 + 1e-9)
+        self.taken = self.postings = 0
+
+    def may_reach(self, queries: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Queries for which some vector of the ball around the centre reaches the threshold."""
+        length = np.sqrt((queries**2).sum(axis=1))
+        error = 1e-9 * length * (np.sqrt((self.centre**2).sum()) + self.radius)
+        return queries @ self.centre + length * self.radius + error >= least
+
+    def search(self, query: np.ndarray, own: int, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and exact scores of the best k vectors, best first; those below ``least`` may be missing."""
         n, width = self.matrix.shape
-        peak = int(np.abs(query).max(initial=0))
-        kind = np.int32 if 2 * peak * self.reach * width < 1 << 31 else np.int64
-        weights, values = query.astype(kind), self.values
-        query = query.astype(np.int64)
-        floor = query * np.where(query >= 0, values[:, 0], values[:, -1])
-        impact = query[self.dims] * self.level - floor[self.dims]
-        order = np.argsort(-impact, kind="stable")
-        sizes = np.cumsum(self.sizes[order])
-        total = np.zeros(n, kind)
-        mine = self.ids == own
-        wanted = min(k, n - int(mine.sum()))
-        if wanted <= 0:
+        possible = np.flatnonzero(self.ids != own)
+        self.postings += n * width
+        if not len(possible) or k <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # in a dimension, what has been taken is a run of its order: from the top for a positive component, else from the bottom
-        taken, useful, few = np.zeros(width, np.int64), int(np.searchsorted(-impact[order], 0)), max(4 * k, n // 16)
-        possible = np.flatnonzero(~mine)
-        for turn in range(1, ROUNDS + 1):
-            stop = useful if turn == ROUNDS else min(useful, int(np.searchsorted(sizes, n * width * turn / ROUNDS)))
-            segments = order[:stop]
-            now = np.bincount(self.dims[segments], self.sizes[segments], width).astype(np.int64)
-            for d in np.flatnonzero(now > taken):
-                run = slice(n - now[d], n - taken[d]) if query[d] >= 0 else slice(taken[d], now[d])
-                total[self.rows[d, run]] += weights[d] * values[d, run].astype(kind, copy=False) - kind(floor[d])
-            taken = now
-            low = np.partition(total[possible], len(possible) - wanted)[len(possible) - wanted]
-            possible = possible[total[possible] >= low - self._rest(query, floor, taken, n)]
-            if len(possible) <= few or stop == useful:
+        norm, usual = float(query @ query), float(self.norms.mean())
+        ratio = np.sqrt(usual / norm) if usual > 0 and norm > 0 else 1.0
+        # the most each vector can score, with more than all roundings to come on top
+        most = (self.norms / ratio + norm * ratio) / 2 * (1 + (width + 16) * 2.0**-49)
+        side = query * ratio
+        gap = np.maximum(0.0, np.maximum(self.edges[:, :-1] - side[:, None], side[:, None] - (self.edges[:, 1:] - 1)))
+        impact = gap * gap / (2 * ratio) * (1 - 2.0**-40)
+        peak = float(impact.max())
+        level = np.ceil(impact * (4095 / peak)).astype(np.int64) if peak > 0 else np.zeros(impact.shape, np.int64)
+        below = self.edges[:, :-1] <= side[:, None]  # a dimension's taken segments are one run from each end
+        mass = np.cumsum(np.bincount(level.ravel(), self.sizes.ravel(), 4096)[::-1])[::-1]
+        few, last = max(4 * k, n // 8), 4096
+        wanted = min(k, len(possible))
+        for share in STEPS:
+            cut = 1 if share == 1.0 else max(1, 4096 - int(np.searchsorted(mass[::-1], share * n * width, side="right")))
+            if cut < last:
+                new = (level >= cut) & (level < last) & (self.sizes > 0)
+                last = cut
+                runs = []
+                for mask in (new & below, new & ~below):
+                    dims = np.flatnonzero(mask.any(axis=1))
+                    first, end = mask[dims].argmax(axis=1), LEVELS - mask[dims][:, ::-1].argmax(axis=1)
+                    runs += zip(dims.tolist(), self.starts[dims, first].tolist(), self.starts[dims, end].tolist(), first.tolist(), end.tolist(), strict=True)
+                for begin in range(0, len(runs), 16):  # small enough to stay in the processor's cache
+                    part = runs[begin : begin + 16]
+                    rows = np.concatenate([self.rows[d, a:b] for d, a, b, _, _ in part])
+                    gains = np.repeat(np.concatenate([impact[d, f:e] for d, _, _, f, e in part]), np.concatenate([self.sizes[d, f:e] for d, _, _, f, e in part]))
+                    most -= np.bincount(rows, gains, n)
+                    self.taken += len(rows)
+            bound = most[possible]
+            top = possible if len(possible) <= 4 * k else possible[np.argpartition(-bound, 4 * k)[: 4 * k]]
+            scores = exact_scores(self.matrix[top], query)
+            if len(top) >= wanted:
+                kth = np.sort(scores)[len(top) - wanted]
+                if wanted == k:
+                    least = max(least, float(kth))
+            possible = possible[bound >= least - abs(least) * 2.0**-50]
+            if len(possible) <= few or cut == 1:
                 break
-        exact = np.float64 if self.whole.dtype == np.float64 and peak < 1 << 20 else np.int64
-        score = (self.whole[possible].astype(exact, copy=False) @ query.astype(exact)).astype(np.int64)
-        best = np.lexsort((self.ids[possible], -score))[:k]
+        score = exact_scores(self.matrix[possible], query)
+        best = np.lexsort((self.ids[possible], -score))[:k] if score.dtype != object else np.array(
+            sorted(range(len(score)), key=lambda i: (-score[i], self.ids[possible[i]]))[:k], np.int64)
         return possible[best], score[best]
 
-    def _rest(self, query: np.ndarray, floor: np.ndarray, taken: np.ndarray, n: int) -> int:
-        """The most that any vector can still gain: the next impact of every dimension."""
-        open_ = np.flatnonzero(taken < n)
-        at = np.where(query[open_] >= 0, n - 1 - taken[open_], taken[open_])
-        return int((query[open_] * self.values[open_, at] - floor[open_]).sum())
+
+def _parts(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(high, low) of high * 2^62 + low, which order like the scores."""
+    if scores.dtype != object:
+        return scores >> 62, scores & ((1 << 62) - 1)
+    kept = [max(-HIGH << 62, min((HIGH << 62) - 1, s)) for s in scores]
+    return np.array([s >> 62 for s in kept], np.int64), np.array([s & ((1 << 62) - 1) for s in kept], np.int64)
+
+
+def _number(df: DataFrame) -> DataFrame:
+    return df.withColumn("u", F.monotonically_increasing_id())
+
+
+def _to_cells(df: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Add the nearest centre of every row."""
+    width, half = centres.shape[1], (centres**2).sum(axis=1) / 2
+
+    def place(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            cell = np.concatenate([np.zeros(0, np.int64), *[
+                (part @ centres.T - half).argmax(axis=1) for part in np.array_split(_matrix(table.column("v"), width), max(1, len(table) // 1024))
+            ]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["id", "v", "u", "cell"])
+
+    return df.mapInArrow(place, "id long, v array<double>, u long, cell int")
+
+
+def _pack_queries(df: DataFrame, width: int) -> DataFrame:
+    """One row per (shard, block) with the block's queries as binaries; ``shard`` is -1 for those who go to all."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        data = {name: pa.array([table.column(name).to_numpy().astype(kind).tobytes()]) for name, kind in (("id", "<i8"), ("u", "<i8"), ("home", "<i8"), ("least", "<f8"))}
+        return pa.table({**{name: pa.array([table.column(name)[0].as_py()], pa.int64()) for name in ("to", "block")}, **data, "data": pa.array([_packed(_matrix(table.column("v"), width))])})
+
+    return df.groupBy("to", "block").applyInArrow(pack, "to long, block long, id binary, u binary, home binary, least binary, data binary")
+
+
+def _pack_index(df: DataFrame, width: int) -> DataFrame:
+    """One row per shard: ids, vectors, and the rows of every dimension by value, in order of id."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids, matrix = table.column("id").to_numpy(), _matrix(table.column("v"), width)
+        order = np.argsort(ids, kind="stable")
+        made = ImpactIndex(ids[order], matrix[order])
+        return pa.table({
+            "shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "ids": pa.array([made.ids.astype("<i8").tobytes()]),
+            "vectors": pa.array([_packed(made.matrix)]), "rows": pa.array([made.rows.tobytes()]),
+        })
+
+    return df.select("id", "v", "shard").groupBy("shard").applyInArrow(pack, "shard long, ids binary, vectors binary, rows binary")
+
+
+def _run(index: DataFrame, blocks: DataFrame, tasks: int, width: int, k: int) -> DataFrame:
+    """Every block against the shard it meets."""
+
+    def find(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], "<i8")
+                order = np.frombuffer(row["rows"], "<u2" if len(row["rows"]) == 2 * len(ids) * width else "<u4").reshape(width, len(ids))
+                made = ImpactIndex(ids, _unpacked(row["vectors"], len(ids), width), order)
+                own, number, home, least = (np.frombuffer(row[c], t) for c, t in (("id", "<i8"), ("u", "<i8"), ("home", "<i8"), ("least", "<f8")))
+                queries = _unpacked(row["data"], len(own), width)
+                todo = np.flatnonzero(made.may_reach(queries, least) & ((home != row["shard"]) | (row["to"] >= 0)))
+                for i in todo:
+                    at, score = made.search(queries[i], int(own[i]), k, float(least[i]))
+                    high, low = _parts(score)
+                    yield pa.RecordBatch.from_pydict({
+                        "q": np.full(len(at), number[i]), "query_id": np.full(len(at), own[i]), "vec_id": ids[at], "high": high, "low": low,
+                    })
+
+    return index.join(blocks, "shard").repartition(tasks, "shard", "block").mapInArrow(find, "q long, query_id long, vec_id long, high long, low long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score) with the k best candidates of every query."""
 
-    def ready(df: DataFrame) -> DataFrame:
-        return df.where(usable(vector, key)).select(F.col(key).cast("long").alias("id"), quantised(vector, scale).alias("v"))
+    def ready(df: DataFrame, name: str) -> DataFrame:
+        return materialize(_number(df.where(usable(vector, key)).select(F.col(key).cast("long").alias("id"), quantised(vector, scale).alias("v"))), name)
 
-    rows, asked = materialize(ready(vectors), "vectors"), materialize(ready(queries), "queries")
+    rows, asked = ready(vectors, "vectors"), ready(queries, "queries")
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
     wide = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
-    shards, blocks, width = max(1, -(-size.n // SHARD_ROWS)), max(1, -(-wide.n // QUERY_ROWS)), max(size.w or 1, wide.w or 1)
-    index = materialize(_blocks(rows, f"pmod(xxhash64(id, 1), {shards})", "shard", width), "index")
-    sent = _blocks(asked, f"pmod(xxhash64(id, 2), {blocks})", "block", width)
-    sent = sent.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = index.join(sent, F.col("shard") == F.col("_to")).repartition(min(4096, shards * blocks), "shard", "block")
+    width = max(size.w or 1, wide.w or 1)
+    full = min(SHARD_ROWS, max(256, POSTINGS // width))
+    cells = min(CELLS, max(1, -(-size.n // full)))
+    if cells > 1:
+        drawn = rows.orderBy(F.xxhash64("u"), "u").limit(cells).select("v").toArrow()
+        centres = _matrix(drawn.column("v"), width)
+        rows, asked = materialize(_to_cells(rows, centres), "celled"), materialize(_to_cells(asked, centres), "asked")
+    else:
+        rows, asked = rows.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0))
+    counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    parts = [max(1, -(-counts.get(c, 0) // full)) for c in range(cells)]
+    first = np.concatenate([[0], np.cumsum(parts)]).tolist()
+    shards = first[-1]
+    sizes = F.array(*[F.lit(x) for x in parts])
+    starts = F.array(*[F.lit(x) for x in first[:-1]])
+    home = (F.get(starts, F.col("cell")) + F.pmod(F.xxhash64("u"), F.get(sizes, F.col("cell")))).cast("long")
+    index = materialize(_pack_index(rows.withColumn("shard", home), width), "index")
 
-    def find(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                made = ImpactIndex(np.frombuffer(row["shard_ids"], "<i8"), np.frombuffer(row["shard_data"], "<i4").reshape(-1, width))
-                ids = np.frombuffer(row["block_ids"], "<i8")
-                found = [(own, *made.search(query, int(own), k)) for own, query in zip(ids, np.frombuffer(row["block_data"], "<i4").reshape(-1, width), strict=True)]
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": np.repeat(ids, [len(at) for _, at, _ in found]), "vec_id": made.ids[np.concatenate([at for _, at, _ in found])],
-                    "score": np.concatenate([score for *_, score in found]),
-                })
-
-    found = pairs.mapInArrow(find, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    def blocks(df: DataFrame, each: int) -> DataFrame:
+        return df.withColumn("block", F.pmod(F.xxhash64("u", F.lit(2)), F.lit(each)).cast("long"))
+
+    busiest = asked.groupBy(home.alias("home")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    near = blocks(asked.withColumn("home", home).withColumn("to", home).withColumn("least", F.lit(float("-inf"))), -(-busiest // QUERY_ROWS))
+    near = _pack_queries(near, width).withColumn("shard", F.col("to"))
+    found = materialize(_run(index, near, min(4096, shards * -(-busiest // QUERY_ROWS)), width, k), "near")
+    if shards > 1:
+        score = F.col("high").cast("double") * F.lit(2.0**62) + F.col("low").cast("double")
+        known = found.groupBy("q").agg(F.count("*").alias("m"), F.min(score).alias("kth"))
+        known = known.select(F.col("q").alias("u"), F.when(F.col("m") >= k, F.col("kth") - F.abs("kth") * 2.0**-48).alias("kth"))
+        far = asked.withColumn("home", home).join(known, "u", "left").withColumn("least", F.coalesce("kth", F.lit(float("-inf")))).withColumn("to", F.lit(-1).cast("long"))
+        each = min(MOST_QUERY_ROWS, max(QUERY_ROWS, wide.n * shards // CELLS))
+        number = max(1, -(-wide.n // each))
+        far = _pack_queries(blocks(far, number), width).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+        found = found.unionByName(_run(index, far, min(4096, shards * number), width, k))
+    order = Window.partitionBy("q").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    # the two parts as one long: high is 0 or -1 up to 2^62, one further on each side still fits
+    score = F.when(F.col("high") > 1, F.lit((1 << 63) - 1)).when(F.col("high") < -2, F.lit(-(1 << 63))).otherwise(F.col("high") * F.lit(1 << 62) + F.col("low"))
+    return best.select("query_id", "rank", "vec_id", score.cast("long").alias("score"))

@@ -183,22 +183,65 @@ def test_graph_search_reaches_all():
 # Top-k search
 
 
+def _topk_by_hand(data, width, k):
+    whole = {i: [int(np.floor(64 * x)) for x in v + [0.0] * (width - len(v))] for i, v in enumerate(data)}
+    for q in range(0, len(data), 20):
+        yield q, sorted(((-sum(x * y for x, y in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q))[:k]
+
+
+def _topk(spark, rows, k):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS rank", "2 AS shard", "3 AS u")
+    got = defaultdict(list)
+    for r in topk_search.search(df, df.where("vec_id % 20 = 0"), k=k).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(x) for q, x in got.items()}
+
+
 def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "SHARD_ROWS", 90)
     monkeypatch.setattr(topk_search, "QUERY_ROWS", 11)
     rng = np.random.default_rng(3)
-    data = [[float(x) for x in v] for v in np.round(rng.normal(size=(400, 8)) / 3, 1)] + [[0.1] * 8] * 60 + [[0.5] * 3, [1e30] * 8]
-    rows = list(enumerate(data)) + [(900, None), (920, [float("nan")] * 8), (940, [None] * 8), (960, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS rank")
-    got = defaultdict(list)
-    for r in topk_search.search(df, df.where("vec_id % 20 = 0"), k=7).collect():
-        got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    bound = topk_search.BOUND
-    whole = {i: np.clip(np.floor(64 * np.array(v + [0.0] * (8 - len(v)))), -bound, bound).astype(object) for i, v in enumerate(data)}
-    for q in range(0, len(data), 20):
-        best = sorted(((-int(sum(whole[q] * v)), i) for i, v in whole.items() if i != q))[:7]
-        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert set(got) == set(range(0, len(data), 20))
+    data = [[float(x) for x in v] for v in np.round(rng.normal(size=(400, 8)) / 3, 1)] + [[0.1] * 8] * 60 + [[0.5] * 3, [0.0] * 8, [3e4] * 8]
+    got = _topk(spark, [*enumerate(data), (900, None), (920, [float("nan")] * 8), (940, [None] * 8), (960, []), (None, [1.0] * 8)], 7)
+    want = {q: [(k + 1, i, -s) for k, (s, i) in enumerate(best)] for q, best in _topk_by_hand(data, 8, 7)}
+    assert got == want
+
+
+def test_topk_of_large_components(spark, monkeypatch):
+    """Scores beyond doubles and beyond long rank like Python integers."""
+    monkeypatch.setattr(topk_search, "POSTINGS", 30 * 1024)
+    rng = np.random.default_rng(4)
+    wide = [[float(x) for x in v] for v in rng.integers(-10_000_000, 10_000_000, (40, 1024))] + [[1e7] * 1024, [1e7] * 1023 + [9_999_999.0]]
+    for data in (wide, [[4e6, 1.0], [3e6, 0.0], [5e6, 0.0], [3e6, 0.015625], [1e30, 0.0]]):
+        most = (1 << 63) - 1
+        want = {q: [(k + 1, i, max(-most - 1, min(most, -s))) for k, (s, i) in enumerate(best)] for q, best in _topk_by_hand(data, len(data[0]), 5)}
+        assert _topk(spark, list(enumerate(data)), 5) == want
+
+
+def test_topk_of_one_vector_repeated(spark, monkeypatch):
+    """A third of all rows, their ids too, are one row; each of its queries has its own answer."""
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 40)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(200, 6)), 1)] + [(300, [0.5] * 6)] * 100
+    got = _topk(spark, rows, 3)
+    assert len(got[300]) == 300 and all(len(x) == 3 for q, x in got.items() if q != 300)
+    assert {v for _, v, _ in got[300]} <= set(range(1, 201))
+
+
+def test_topk_proof_stops_before_all_postings():
+    """Random unit vectors, the hardest case, and near copies: most postings are never read."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(8_000, 64))
+    points[4_000:] = points[0] + rng.normal(size=(4_000, 64)) / 10
+    points = np.floor(64 * points / np.linalg.norm(points, axis=1, keepdims=True))
+    for part, most in ((points[:4_000], 0.5), (points, 0.6)):
+        index = topk_search.ImpactIndex(np.arange(len(part)), part)
+        for q in range(0, 4_000, 200):
+            scores = part @ part[q]
+            scores[q] = -(2**40)
+            at, score = index.search(part[q], q, 20)
+            assert at.tolist() == np.lexsort((np.arange(len(part)), -scores))[:20].tolist() and score.tolist() == scores[at].tolist()
+        assert index.taken < most * index.postings
 
 
 def test_topk_few_or_no_rows(spark):

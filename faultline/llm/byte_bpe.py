@@ -2,8 +2,10 @@
 
 Texts are split by the tokenizer's pattern. Every piece that is not in the vocabulary becomes a row of a padded
 matrix of byte ranks; rows of similar length share a matrix. In each round every row looks up the ranks of all its
-neighbouring pairs in a hashed table and merges its leftmost pair of the lowest rank; finished rows leave. Pieces
-are encoded once per slice and remembered per worker in a cache that is emptied when full.
+neighbouring pairs in a hashed table and merges its leftmost pair of the lowest rank; finished rows leave. A row of more
+than ``LONG`` bytes would pay for its whole length in every round: it keeps its places by rank and takes all places of
+the lowest rank in one round, leftmost first, as long as no pair with the new id has a lower rank; the ids are the same
+and the work grows with the merges. Pieces are encoded once per slice and remembered per worker in a cache that is emptied when full.
 
 NULL text counts as empty and gives no ids. Repeated rows are encoded one by one. No row is cut, so a text of any
 length is encoded whole. Other columns pass through; columns that have the names of results are replaced.
@@ -12,6 +14,7 @@ length is encoded whole. Other columns pass through; columns that have the names
 from __future__ import annotations
 
 import base64
+import heapq
 from functools import lru_cache
 from itertools import chain
 
@@ -25,6 +28,7 @@ from faultline.llm.textbytes import repeat_ranges, small_batches, text_slices
 
 CACHE_PIECES = 100_000
 SLICE = 1 << 19
+LONG = 512
 NONE = np.int32(2**31 - 1)
 
 
@@ -49,7 +53,11 @@ class Vocabulary:
             (self.ranks[w[:i]], self.ranks[w[i:]], r)
             for w, r in self.ranks.items() for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks
         ]
-        self._build_table(np.array(pairs, np.int64).reshape(-1, 3))
+        pairs = np.array(pairs, np.int64).reshape(-1, 3)
+        self.least = np.full(top, NONE)  # the lowest rank of the pairs that an id is part of
+        for side in (0, 1):
+            np.minimum.at(self.least, pairs[:, side], pairs[:, 2].astype(np.int32))
+        self._build_table(pairs)
 
     def _build_table(self, pairs: np.ndarray) -> None:
         keys = (pairs[:, 0].astype(np.uint64) << np.uint64(32)) | pairs[:, 1].astype(np.uint64)
@@ -126,6 +134,54 @@ class Vocabulary:
             ranks[here[left], at[left] - 1] = self.pair_ranks(ids[here[left], at[left] - 1], ids[here[left], at[left]])
         return done[np.arange(done.shape[1])[None, :] < done_lengths[:, None]], done_lengths
 
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """The ids of one long row, whose places are linked in a list and grouped by the rank of the pair that starts there."""
+        n = len(ids)
+        ids, after, before = ids.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        ranks = np.append(self.pair_ranks(ids[:-1], ids[1:]), NONE)
+        alive = np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def add(at: np.ndarray) -> None:
+            at = at[ranks[at] != NONE]
+            at = at[np.argsort(ranks[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(ranks[at])) + 1
+            for part in np.split(at, cuts) if len(at) else []:
+                rank = int(ranks[part[0]])
+                if rank not in places:
+                    places[rank] = []
+                    heapq.heappush(heap, rank)
+                places[rank].append(part)
+
+        add(np.arange(n - 1))
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(rank)))
+            at = at[alive[at] & (ranks[at] == rank)]
+            if not len(at):
+                continue
+            if self.least[rank] <= rank:
+                at, rest = at[:1], at[1:]
+                if len(rest):
+                    places[rank] = [rest]
+                    heapq.heappush(heap, rank)
+            else:  # of places that overlap in a chain, every other one
+                heads = np.append(True, at[1:] != after[at[:-1]])
+                turn = np.arange(len(at)) - np.maximum.accumulate(np.where(heads, np.arange(len(at)), 0))
+                at = at[turn % 2 == 0]
+            gone = after[at]
+            alive[gone], ranks[gone], ids[at] = False, NONE, rank
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            ranks[at] = NONE
+            new = np.concatenate([at[inside], before[at][before[at] >= 0]])
+            new = np.unique(new)
+            ranks[new] = self.pair_ranks(ids[new], ids[after[new]])
+            add(new)
+        return ids[alive]
+
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct pieces, with the start and length of each: whole words of the vocabulary directly, the rest in length buckets."""
         raw = [p.encode("utf-8") for p in pieces]
@@ -141,6 +197,13 @@ class Vocabulary:
             members, step = np.flatnonzero(bucket == width), max(1, (1 << 20) // int(width))
             for begin in range(0, len(members), step):
                 part = members[begin : begin + step]
+                if width > LONG:
+                    rows = [self.merge_long(self.byte_ids[np.frombuffer(raw[i], np.uint8)]) for i in part]
+                    merged, counts = np.concatenate(rows), np.array([len(x) for x in rows])
+                    starts[part], lengths[part] = end + np.cumsum(counts) - counts, counts
+                    flat.append(merged)
+                    end += len(merged)
+                    continue
                 ids = np.zeros((len(part), int(width)), np.int32)
                 ids[np.arange(width)[None, :] < sizes[part][:, None]] = self.byte_ids[np.frombuffer(b"".join([raw[i] for i in part]), np.uint8)]
                 merged, counts = self.merge_rows(ids, sizes[part])

@@ -265,6 +265,21 @@ def test_bpe_frames(spark, library):
     assert byte_bpe.encode(df.limit(0), *BPE).count() == 0
 
 
+def test_bpe_of_long_pieces(library, monkeypatch):
+    """Rows with places by rank equal the library's, and equal rows of the matrix when ranks don't grow with merges."""
+    vocabulary, rng = byte_bpe.load(*BPE), np.random.default_rng(8)
+    texts = ["".join(rng.choice(list(letters), n)) for letters in ("ab", "aeiou", "abcdefghijklmnopqrstuvwxyz", "éüñß", "日本語の文") for n in (513, 1500, 4001)]
+    texts += ["a" * n for n in (512, 513, 1023, 5000)] + ["=" * 3000, "ab" * 1500 + "a", " " * 2000 + "x"]
+    ids, offsets = vocabulary.encode(texts)
+    for text, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == library.encode_ordinary(text)
+    monkeypatch.setattr(vocabulary, "least", np.zeros_like(vocabulary.least))  # as if any new pair could come first
+    for text in texts[::3]:
+        raw = vocabulary.byte_ids[np.frombuffer(text.encode(), np.uint8)]
+        rows, _ = vocabulary.merge_rows(raw[None, :], np.array([len(raw)]))
+        assert vocabulary.merge_long(raw).tolist() == rows.tolist()
+
+
 def test_bpe_cache_may_be_emptied(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 3)
     vocabulary = byte_bpe.Vocabulary(*BPE)

@@ -8,7 +8,8 @@ node then searches the graphs of the cells it visits: a greedy beam from the med
 there), and from each neighbour within range on to all its neighbours, until no neighbour in range is left. A found
 pair counts only if its cosine in double precision reaches the threshold.
 
-The recall of the links is audited against brute force for a bounded set of nodes; below the goal the search is
+The recall of the links is audited against brute force for two bounded sets of nodes, some drawn from all and some
+that are known to have links, as a mean over nodes, so that large groups hide nothing; below the goal the search is
 repeated with twice as many cells to visit, at last all. Counts of links are added up where the pairs are found and
 only one edge per node and cell leaves it, so a group of thousands of near copies sends no pairs anywhere. Cells with
 too many nodes are split by hash, and each part is searched by all visitors of the cell.
@@ -33,7 +34,7 @@ THRESHOLD = 0.95
 CELL_NODES, PART_NODES, QUERY_NODES, MOST_CELLS = 2048, 4096, 1024, 4096
 SHARD_NODES, CANDIDATES, DEGREE, ALPHA = 512, 40, 14, 1.2
 HOMES, VISITS, MEDOIDS, BEAM, WIDTH = 2, 5, 8, 24, 4
-SAMPLE, AUDIT, GOAL = 20_000, 256, 0.99
+SAMPLE, DRAWN, AUDIT, GOAL = 20_000, 2_048, 256, 0.99
 SLACK = 1e-4
 
 
@@ -288,29 +289,41 @@ def _search(nodes: DataFrame, centers: np.ndarray, width: int, visits: int, thre
     return pairs.mapInArrow(find, "id long, links long, root long")
 
 
-def audit(nodes: DataFrame, found: DataFrame, width: int, threshold: float = THRESHOLD, size: int = AUDIT) -> float:
-    """Share of the links of ``size`` nodes (picked by hash) that the search found, against brute force over all nodes."""
-    picked = nodes.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(size).collect()  # bounded by size
+def audit(nodes: DataFrame, found: DataFrame, width: int, threshold: float = THRESHOLD, drawn: int = DRAWN, linked: int = AUDIT) -> tuple[float | None, int]:
+    """(recall, nodes it was measured on), against brute force over all nodes.
+
+    ``drawn`` nodes are picked by hash from all, which shows what the search lost altogether, and ``linked`` from those
+    it found links of, which shows what it lost of groups too rare for the first. A node's recall is the share of its
+    links that were found, so large groups weigh no more than pairs; the lower of the two means counts. Without any
+    node that has links there is nothing to measure and the recall is None.
+    """
+    hashed = F.xxhash64("id", F.lit(17))
+    some = nodes.orderBy(hashed, "id").limit(drawn).select("id", "v", F.lit(0).alias("group"))
+    got = found.groupBy("id").agg(F.sum("links").alias("got"))
+    known = nodes.join(got.where("got > 0").orderBy(hashed, "id").limit(linked), "id").select("id", "v", F.lit(1).alias("group"))
+    picked = some.unionByName(known).collect()  # bounded by drawn + linked
     if not picked:
-        return 1.0
-    ids, points = np.array([r.id for r in picked]), np.array([r.v for r in picked])
+        return None, 0
+    ids, points, group = np.array([r.id for r in picked]), np.array([r.v for r in picked]), np.array([r.group for r in picked])
 
     def count(batches):
         total = np.zeros(len(ids))
         for batch in batches:
             data = np.array(batch.column("v").flatten()).reshape(-1, width)
-            near = (data @ points.T >= threshold) & (batch.column("id").to_numpy()[:, None] != ids[None, :])
-            total += batch.column("copies").to_numpy() @ near
-        yield pa.RecordBatch.from_pydict({"id": ids, "links": total.astype(np.int64)})
+            own, copies = batch.column("id").to_numpy(), batch.column("copies").to_numpy()
+            for a in range(0, len(own), 1024):
+                near = (data[a : a + 1024] @ points.T >= threshold) & (own[a : a + 1024, None] != ids[None, :])
+                total += copies[a : a + 1024] @ near
+        yield pa.RecordBatch.from_pydict({"id": ids, "group": group.astype(np.int32), "links": total.astype(np.int64)})
 
-    truth = nodes.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("all"))
-    got = found.where(F.col("id").isin(ids.tolist())).groupBy("id").agg(F.sum("links").alias("got"))
-    row = truth.join(got, "id", "left").agg(F.sum("all").alias("all"), F.sum(F.least("all", F.coalesce("got", F.lit(0)))).alias("got")).first()
-    return row.got / row["all"] if row["all"] else 1.0
+    truth = nodes.mapInArrow(count, "id long, group int, links long").groupBy("id", "group").agg(F.sum("links").alias("all")).where(F.col("all") > 0)
+    share = F.least("all", F.coalesce("got", F.lit(0))) / F.col("all")
+    means = truth.join(got, "id", "left").groupBy("group").agg(F.avg(share).alias("recall"), F.count("*").alias("n")).collect()  # two rows at most
+    return (min(r.recall for r in means), sum(r.n for r in means)) if means else (None, 0)
 
 
-def dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, visits: int = VISITS, goal: float = GOAL) -> DataFrame:
-    """(key, n_links, component_id, kept) per row."""
+def dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, visits: int = VISITS, goal: float = GOAL, with_recall: bool = False) -> DataFrame:
+    """(key, n_links, component_id, kept) per row; ``with_recall`` adds the audited recall of the links (NULL if no audited node has any)."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("raw"), usable(vector, key).alias("ok"))
     doubles = F.transform("raw", lambda x: x.cast("double"))
     most = F.array_max(F.transform(doubles, F.abs))
@@ -320,7 +333,7 @@ def dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", thresho
     groups = rows.where(F.col("s").isNotNull()).groupBy("raw").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("s").alias("s"))
     nodes = materialize(groups.select("raw", "id", "copies", F.size("s").alias("width"), F.transform("s", lambda x: x / norm).alias("v")), "nodes")
     widths = [r.width for r in nodes.select("width").distinct().collect()]  # vector lengths in use
-    links = None
+    links, recalls = None, []
     for width in sorted(widths):
         mine = nodes.where(F.col("width") == width).select("id", "copies", "v")
         total = mine.count()
@@ -332,12 +345,15 @@ def dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", thresho
         reach = visits
         while True:
             found = materialize(_search(mine, centers, width, reach, threshold), "links-found")
-            if reach >= len(centers) or audit(mine, found, width, threshold) >= goal:
+            recall, _ = audit(mine, found, width, threshold) if with_recall or reach < len(centers) else (None, 0)
+            if reach >= len(centers) or recall is None or recall >= goal:
                 break
             reach *= 2
+        recalls += [] if recall is None else [recall]
         links = found if links is None else links.unionByName(found)
+    more = [F.lit(min(recalls, default=None)).cast("double").alias("recall")] if with_recall else []
     if links is None:
-        return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.col("key").isNotNull().alias("kept"))
+        return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.col("key").isNotNull().alias("kept"), *more)
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = nodes.select("raw", "id", "copies").join(counts, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
@@ -348,5 +364,5 @@ def dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", thresho
     out = rows.join(named, (F.col("h") == F.col("rh")) & (F.col("raw") == F.col("r")), "left")
     return out.select(
         F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("part", "key").alias("component_id"),
-        F.coalesce(F.coalesce("part", "key") == F.col("key"), F.lit(True)).alias("kept"),
+        F.coalesce(F.coalesce("part", "key") == F.col("key"), F.lit(True)).alias("kept"), *more,
     )

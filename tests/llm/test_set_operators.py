@@ -160,6 +160,36 @@ def test_dedup_equals_brute_force(spark, monkeypatch):
     assert all(got[i][0] <= want[i][0] for i in want) and sum(got[i] != want[i] for i in want) <= 3
 
 
+def test_audit_sees_lost_links(spark):
+    """A few pairs beside many lone vectors and a large group: lost pairs lower the recall, and lone vectors alone have none."""
+    rng = np.random.default_rng(12)
+    lone, group, pairs = rng.normal(size=(2_000, 24)), rng.normal(size=24) + rng.normal(size=(200, 24)) * 0.02, np.repeat(rng.normal(size=(60, 24)), 2, axis=0)
+    pairs += rng.normal(size=pairs.shape) * 0.01
+    frames, groups = {}, {}
+    for name, parts in {"all": (lone, group, pairs), "pairs": (lone, pairs), "lone": (lone,)}.items():
+        points = np.concatenate(parts)
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+        frames[name] = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(points)], "id long, copies long, v array<double>")
+        groups[name] = [(i, int(n) - 1, i) for i, n in enumerate((points @ points.T >= 0.95).sum(axis=1)) if n > 1]
+    found = lambda rows: spark.createDataFrame(rows, "id long, links long, root long")
+    assert embedding_dedup.audit(frames["lone"], found([]), 24) == (None, 0)
+    lost, seen = embedding_dedup.audit(frames["pairs"], found([]), 24)
+    assert lost == 0.0 and seen > 50
+    assert embedding_dedup.audit(frames["all"], found(groups["all"]), 24)[0] == 1.0
+    assert embedding_dedup.audit(frames["all"], found([r for r in groups["all"] if r[1] > 1]), 24)[0] < 0.75
+
+
+def test_dedup_reports_its_recall(spark):
+    rng = np.random.default_rng(13)
+    points = np.concatenate([rng.normal(size=(6_000, 32)), rng.normal(size=32) + rng.normal(size=(700, 32)) * 0.05, np.repeat(rng.normal(size=(300, 32)), 2, axis=0)])
+    points[-600:] += rng.normal(size=(600, 32)) * 0.02
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.dedup(df, with_recall=True).collect()}
+    assert min(r.recall for r in got.values()) >= 0.99 and len({r.recall for r in got.values()}) == 1
+    for i in range(6_700, 7_300, 2):
+        assert got[i].component_id == got[i + 1].component_id == i and got[i].n_links == 1
+
+
 def test_dedup_without_usable_rows(spark):
     kind = "vec_id long, embedding array<float>"
     got = embedding_dedup.dedup(spark.createDataFrame([(1, None), (2, [0.0, 0.0])], kind)).collect()

@@ -119,8 +119,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(f"NOT ({HELD_OUT})"))
-    found = language_id.identify(docs.select("doc_id", "text"), model, with_spans=False)
-    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score", "spans")
 
 
 @query("op4_secret_scan")
@@ -141,8 +141,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     labels = table(spark, sf, "labels").where(f"NOT ({HELD_OUT})").select("doc_id", "toxic")
     model = toxicity.train(docs, labels)
-    scored = toxicity.score(docs, model, with_spans=False)
-    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted", "toxic_spans")
 
 
 _JACCARD_SQL = rf"""

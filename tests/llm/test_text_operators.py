@@ -185,6 +185,53 @@ def test_toxicity_finds_the_sentence(spark):
     assert by[3].score == by[4].score and all(0 <= r.score <= 1 for r in got)
 
 
+def _toxic_by_hand(text, model):
+    """(score, offending sentences) by a plain loop over the sentences of one text."""
+    shift, one = 64 - toxicity.BUCKET_BITS, np.uint64(1)
+    logits = []
+    for sentence in re.finditer(r"[^\n\r!.?]+", text):
+        words = re.findall(r"[A-Za-z\u0080-\U0010ffff]+", sentence.group())
+        if not words:
+            continue
+        z = model.bias
+        for word in words:
+            low = "".join(c.lower() if c.isascii() else c for c in word).encode()
+            z += model.weights[textbytes.hash_spans(np.frombuffer(low, np.uint8), np.array([0]), np.array([len(low)]))[0] >> np.uint64(shift)]
+            for i, length in enumerate(toxicity.BEGINNINGS, 1):
+                part = np.frombuffer(low[:length], np.uint8)
+                key = textbytes.hash_spans(part, np.array([0]), np.array([len(part)])) + one * np.uint64(i)
+                z += model.weights[textbytes.mix(key)[0] >> np.uint64(shift)]
+        at = sentence.start() + sentence.group().index(words[0])
+        logits.append((z, at, sentence.start() + sentence.group().rindex(words[-1]) + len(words[-1])))
+    clean = 1 / (1 + np.exp(model.leak))
+    for z, _, _ in logits:
+        clean *= 1 / (1 + np.exp(z))
+    hits = [(a, b) for z, a, b in logits if z >= 0] or [max(logits)[1:]] if logits and clean <= 0.5 else []
+    return 1 - clean, hits
+
+
+def test_toxicity_equals_a_loop_over_sentences(spark):
+    rng = np.random.default_rng(14)
+    model = toxicity.Model(rng.normal(scale=1.5, size=1 << toxicity.BUCKET_BITS).astype(np.float32), -4.0, -5.0)
+    words, ends = ["alpha", "Beta", "Ärger", "naïve", "x", "gamma-delta", "日本", "12", "omicron"], [". ", "! ", "?\n", ", ", " ", "... "]
+    texts = ["".join(rng.choice(words) + rng.choice(ends) for _ in range(rng.integers(0, 30))) for _ in range(150)] + [None, "", "12. 34!", " . "]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, text in enumerate(texts):
+        score, hits = _toxic_by_hand(text or "", model)
+        assert abs(got[i].score - score) < 1e-6 and got[i].predicted == int(got[i].score >= 0.5)
+        assert [(x.start, x.end) for x in got[i].toxic_spans] == hits
+
+
+def test_located_sentences_and_languages_of_the_queries(spark):
+    sf = "/root/testdata/sf0.01"
+    found = queries.op7(spark, sf).join(queries.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").collect()
+    assert all(bool(r.toxic_spans) == bool(r.predicted) for r in found if r.text) and any(r.predicted for r in found)
+    assert all(0 <= s.start < s.end <= len(r.text) for r in found for s in r.toxic_spans)
+    named = queries.op3(spark, sf).collect()
+    assert all(r.lang_pred in {s.lang for s in r.spans} for r in named if r.lang_pred != "und")
+
+
 def test_toxicity_with_one_label_or_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], DOCS)
     only = toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))

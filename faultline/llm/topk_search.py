@@ -37,7 +37,8 @@ CELLS = 1_024
 SCALE = 64.0
 BOUND = 2.0**500
 LEVELS = 128
-STEPS = (0.03, 0.12, 0.2, 0.26, 0.32, 0.4, 0.5, 0.7, 1.0)
+STEPS = (0.03, 0.15, 0.25, 0.32, 0.4, 0.55, 1.0)
+PART = 60_000  # postings added at once: what stays in a processor's cache
 HIGH = 1 << 61  # scores travel as high * 2^62 + low
 
 
@@ -150,8 +151,9 @@ class ImpactIndex:
                     dims = np.flatnonzero(mask.any(axis=1))
                     first, end = mask[dims].argmax(axis=1), LEVELS - mask[dims][:, ::-1].argmax(axis=1)
                     runs += zip(dims.tolist(), self.starts[dims, first].tolist(), self.starts[dims, end].tolist(), first.tolist(), end.tolist(), strict=True)
-                for begin in range(0, len(runs), 16):  # small enough to stay in the processor's cache
-                    part = runs[begin : begin + 16]
+                each = -(-len(runs) // max(1, sum(b - a for _, a, b, _, _ in runs) // PART))
+                for begin in range(0, len(runs), max(1, each)):
+                    part = runs[begin : begin + each]
                     rows = np.concatenate([self.rows[d, a:b] for d, a, b, _, _ in part])
                     gains = np.repeat(np.concatenate([impact[d, f:e] for d, _, _, f, e in part]), np.concatenate([self.sizes[d, f:e] for d, _, _, f, e in part]))
                     most -= np.bincount(rows, gains, n)

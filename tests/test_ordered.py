@@ -4,6 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.functions import ordered
 from faultline.functions.ordered import carry_last, id_bucket, number_rows, quantiles, running_sum
 
 
@@ -148,3 +149,17 @@ def test_sketches_of_parts_merge_within_their_bound(spark):
     assert whole["rows"] == 20_000 and whole.q0 == values.min() and whole.q100 == values.max()
     for p in (0.25, 0.5, 0.75):
         assert abs((values <= whole[f"q{int(100 * p)}"]).mean() - p) < 2.3 / 400
+
+
+def test_quantiles_see_the_same_edges_in_every_branch(spark, monkeypatch):
+    """Edges that come out otherwise each time they are computed, as approximate ones do when tasks end in another order."""
+    cuts = F.udf(lambda top: sorted(random.uniform(0, top) for _ in range(9)), "array<double>")
+    monkeypatch.setattr(ordered, "edges", lambda value: cuts(F.max(value)))
+    rng = random.Random(4)
+    values = [rng.uniform(0, 100) for _ in range(999)]
+    df = spark.createDataFrame([("a", x) for x in values], "k string, v double")
+    want = sorted(values)
+    for keys in (["k"], []):
+        for _ in range(3):
+            got = quantiles(df, keys, "v", {"q25": 0.25, "q50": 0.5}).first()
+            assert got.q50 == want[499] and abs(got.q25 - (want[249] + want[250]) / 2) < 1e-9

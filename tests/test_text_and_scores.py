@@ -1,12 +1,16 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.functions.numbers import steady_avg
 from faultline.operators import answers as an
 from faultline.operators import evaluate as ev
+from faultline.operators import features as ft
 from faultline.operators import fusion as fu
 from faultline.operators import prompts as pr
+from faultline.operators import series as sr
 from faultline.operators import sessions as ss
 from faultline.sources import catalogue as cat
 from faultline.sources import samples as sm
@@ -219,3 +223,24 @@ def test_answers_already_written_are_not_asked_again(spark, tmp_path):
     assert again == {i: "second" if i % 4 == 0 or i > 11 else "first" for i in range(14)}
     kept = pr.ask(prompts_of(spark, 14), lambda s, u: "third", answered=first)
     assert sorted(r.raw for r in kept.collect()) == ["first"] * 9 + ["third"] * 5
+
+
+def test_observations_after_a_mean_of_zero(spark):
+    """As in SQL, x / 0.0 is infinite and 0.0 / 0.0 is NaN, which is above every limit."""
+    rows = [("1", "m", 0, 0.0, 1), ("1", "m", 1, 3.0, 1), ("2", "m", 0, 0.0, 1), ("2", "m", 1, 0.0, 1), ("3", "m", 0, 2.0, 1), ("3", "m", 1, 2.0, 1), ("4", "m", 0, 0.0, 1)]
+    points = spark.createDataFrame(rows, "sample_id string, metric string, idx int, value double, start_idx int")
+    told = {r.sample_id: (r.ratio, r.finding) for r in sr.observations(ft.before_after(points)).collect()}
+    assert told["1"] == (float("inf"), "spike") and math.isnan(told["2"][0]) and told["2"][1] == "spike"
+    assert told["3"] == (1.0, "normal") and told["4"] == (None, "no window")
+
+
+def test_averages_do_not_depend_on_the_order_of_rows(spark):
+    """0.1 ten times after 1e6, or before it, and shares that a plain sum gets wrong in the last digit."""
+    values = [1e6 + 0.01, *[0.1] * 500, 1e-9, -3.3]
+    exact = math.fsum(values) / len(values)
+    for order in (values, values[::-1]):
+        rows = spark.createDataFrame([(x,) for x in [*order, None]], "x double").coalesce(1)
+        assert rows.agg(steady_avg(F.col("x"))).first()[0] == exact
+    odd = spark.createDataFrame([("a", float("inf")), ("a", 1.0), ("b", float("nan")), ("c", None), ("d", 1e300), ("d", 3e300)], "k string, x double")
+    told = {r.k: r.v for r in odd.groupBy("k").agg(steady_avg(F.col("x")).alias("v")).collect()}
+    assert told["a"] == float("inf") and math.isnan(told["b"]) and told["c"] is None and told["d"] == 2e300

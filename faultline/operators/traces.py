@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.numbers import ratio
+from faultline.functions.numbers import ratio, steady_avg
 from faultline.operators.parse import slow_call
 
 
@@ -30,9 +30,9 @@ def calls_with_resources(calls: DataFrame, resources: DataFrame, interval: int =
     """
     slot = F.floor(F.col("timestamp") / interval)
     load = calls.groupBy(F.col("dminstanceid").alias("msinstanceid"), slot.alias("slot")).agg(
-        F.count("*").alias("calls"), F.avg("rt").alias("avg_rt"), F.max("rt").alias("max_rt")
+        F.count("*").alias("calls"), steady_avg(F.col("rt")).alias("avg_rt"), F.max("rt").alias("max_rt")
     )
     use = resources.groupBy("msinstanceid", slot.alias("slot")).agg(
-        F.avg("cpu_utilization").alias("cpu"), F.avg("memory_utilization").alias("memory")
+        steady_avg(F.col("cpu_utilization")).alias("cpu"), steady_avg(F.col("memory_utilization")).alias("memory")
     )
     return load.join(use, ["msinstanceid", "slot"])

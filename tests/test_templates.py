@@ -157,3 +157,12 @@ def test_a_deeper_tree_limits_children_of_each_node(spark):
     assert tp.mine(df, depth=5, max_children=3).catalogue.count() == 6
     assert tp.mine(df, depth=4).catalogue.count() == 2
     assert tp.mine(df, depth=3).catalogue.count() == 1
+
+
+def test_templates_are_numbered_without_their_texts(spark, monkeypatch):
+    """Numbering meets up to a million templates in one task, and of prose nearly every message is one."""
+    seen, number = [], tp.ids_by_first_appearance
+    monkeypatch.setattr(tp, "ids_by_first_appearance", lambda df, *a: number(seen.append(df.columns) or df, *a))
+    told = {r.event_id: (r.template, r["count"], r.first_line) for r in tp.mine(messages(spark)).catalogue.collect()}
+    assert seen == [["leaf", "tkey", "first_line"]]
+    assert [told[i][2] for i in sorted(told)] == sorted(t[2] for t in told.values()) and sum(t[1] for t in told.values()) == 70

@@ -227,7 +227,10 @@ def _pack_index(df: DataFrame, width: int) -> DataFrame:
 
 
 def _run(index: DataFrame, blocks: DataFrame, tasks: int, width: int, k: int) -> DataFrame:
-    """Every block against the shard it meets."""
+    """Every block against the shard it meets.
+
+    Spark does not see how often ``blocks`` are repeated, so it would take them for small and gather all of them on the driver.
+    """
 
     def find(batches):
         for batch in batches:
@@ -245,7 +248,7 @@ def _run(index: DataFrame, blocks: DataFrame, tasks: int, width: int, k: int) ->
                         "q": np.full(len(at), number[i]), "query_id": np.full(len(at), own[i]), "vec_id": ids[at], "high": high, "low": low,
                     })
 
-    return index.join(blocks, "shard").repartition(tasks, "shard", "block").mapInArrow(find, "q long, query_id long, vec_id long, high long, low long")
+    return index.join(blocks.hint("merge"), "shard").repartition(tasks, "shard", "block").mapInArrow(find, "q long, query_id long, vec_id long, high long, low long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:

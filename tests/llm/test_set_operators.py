@@ -258,6 +258,25 @@ def test_topk_of_one_vector_repeated(spark, monkeypatch):
     assert {v for _, v, _ in got[300]} <= set(range(1, 201))
 
 
+def test_topk_sends_no_blocks_through_the_driver(spark, monkeypatch):
+    """Blocks of queries, repeated for every shard, must not be taken for a small table."""
+    plans, run = [], topk_search._run
+
+    def kept(*given):
+        out = run(*given)
+        ran = out.groupBy().count()
+        ran.collect()
+        plans.append(ran._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 60)
+    monkeypatch.setattr(topk_search, "_run", kept)
+    data = np.random.default_rng(5).normal(size=(300, 4)).tolist()
+    want = {q: [(k + 1, i, -s) for k, (s, i) in enumerate(best)] for q, best in _topk_by_hand(data, 4, 3)}
+    assert _topk(spark, list(enumerate(data)), 3) == want
+    assert len(plans) == 2 and not any("BroadcastHashJoin Inner" in p.split("Initial Plan")[0] or re.search(r"BroadcastHashJoin \[shard", p) for p in plans)
+
+
 def test_topk_proof_stops_before_all_postings():
     """Random unit vectors, the hardest case, and near copies: most postings are never read."""
     rng = np.random.default_rng(6)

@@ -166,3 +166,22 @@ def test_templates_are_numbered_without_their_texts(spark, monkeypatch):
     told = {r.event_id: (r.template, r["count"], r.first_line) for r in tp.mine(messages(spark)).catalogue.collect()}
     assert seen == [["leaf", "tkey", "first_line"]]
     assert [told[i][2] for i in sorted(told)] == sorted(t[2] for t in told.values()) and sum(t[1] for t in told.values()) == 70
+
+
+def test_texts_are_stored_once(spark, monkeypatch):
+    """Of prose every table with texts is as large as the messages."""
+    kept, store = {}, tp.materialize
+    monkeypatch.setattr(tp, "materialize", lambda df, name="stage": kept.setdefault(name, store(df, name)))
+    rows = [(i, f"alpha beta word{chr(97 + i)} number {i} ends") for i in range(20)]
+    found = tp.mine(spark.createDataFrame(rows, "line_no long, content string")).catalogue.collect()
+    assert [(r.template, r["count"]) for r in found] == [("alpha beta <*> number <*> ends", 20)]
+    texts = {name for name, df in kept.items() if {"shape", "text", "template", "content"} & set(df.columns)}
+    assert texts == {"clusters"}
+
+
+def test_repeated_and_missing_lines(spark):
+    """Lines need not be unique or known; a shape counts once whatever its line, and a wildcard without a line stays one."""
+    rows = [(1, "send 5 to ana now"), (1, "send 7 to ana now"), (1, "take 5 from ben here"), (2, "take 5 from ben here"), (None, "drop 9 items"), (None, "drop 9 items"), (3, "<*> is up"), (4, "12 is up")]
+    found = tp.mine(spark.createDataFrame(rows, "line_no long, content string"))
+    got = {r.template: (r["count"], r.first_line) for r in found.catalogue.collect()}
+    assert got == {"send <*> to ana now": (2, 1), "take 5 from ben here": (2, 1), "drop <*> items": (2, None), "<*> is up": (2, 3)}
